@@ -29,3 +29,19 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@_query
+def op9_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from evergrove.llm.packing import pack
+
+    return pack(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op2_winnowing(spark, sf_dir):
+    from evergrove.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(read_documents(spark, sf_dir))
