@@ -45,3 +45,10 @@ def op2_winnowing(spark, sf_dir):
     from evergrove.llm.fingerprints import fingerprint_edits
 
     return fingerprint_edits(read_documents(spark, sf_dir))
+
+
+@_query
+def op8_pii(spark, sf_dir):
+    from evergrove.llm.pii import pii_report
+
+    return pii_report(read_documents(spark, sf_dir))
