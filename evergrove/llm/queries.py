@@ -52,3 +52,17 @@ def op8_pii(spark, sf_dir):
     from evergrove.llm.pii import pii_report
 
     return pii_report(read_documents(spark, sf_dir))
+
+
+@_query
+def op3_quality(spark, sf_dir):
+    from evergrove.llm.quality import score_quality
+
+    return score_quality(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "labels"))
+
+
+@_query
+def op5_toxicity(spark, sf_dir):
+    from evergrove.llm.toxicity import score_toxicity
+
+    return score_toxicity(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "labels"))
