@@ -66,3 +66,10 @@ def op5_toxicity(spark, sf_dir):
     from evergrove.llm.toxicity import score_toxicity
 
     return score_toxicity(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "labels"))
+
+
+@_query
+def op10_near_dedup(spark, sf_dir):
+    from evergrove.llm.near_dedup import near_duplicates
+
+    return near_duplicates(read_documents(spark, sf_dir), words=2)
