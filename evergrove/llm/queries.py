@@ -73,3 +73,20 @@ def op10_near_dedup(spark, sf_dir):
     from evergrove.llm.near_dedup import near_duplicates
 
     return near_duplicates(read_documents(spark, sf_dir), words=2)
+
+
+@_query
+def op4_lm_scoring(spark, sf_dir):
+    from evergrove.llm.lm_scoring import score_by_cross_entropy
+
+    good = read_documents(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return score_by_cross_entropy(read_documents(spark, sf_dir), good)
+
+
+@_query
+def op7_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    from evergrove.llm.sentencepieces import encode_report
+
+    return encode_report(read_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
