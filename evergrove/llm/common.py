@@ -12,18 +12,20 @@ def read_documents(spark: SparkSession, sf_dir: str, table: str = "documents") -
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``; only
+    where that is unset (tests, notebooks) one of our own."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="evergrove-checkpoint-"))
+    return named or context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the cluster's shared checkpoint folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests, notebooks) a folder of our own is made.  Spark deletes the
-    files when the returned frame is no longer referenced.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evergrove-ckpt-")
-        )
+    """``df`` written once to the shared checkpoint folder.  Spark deletes the
+    files when the returned frame is no longer referenced."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -282,22 +282,25 @@ def _listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """All personal-data spans of every whole text: the id, ``base`` and
-    ``spans``, arrays of (start, rank, end, kind, form, text) in code points.
+def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carried: list[str] | None = None) -> DataFrame:
+    """All personal-data spans of every whole text: the id (or the ``carried``
+    columns), the text, ``base`` and ``spans``, arrays of (start, rank, end,
+    kind, form, text) in code points.
 
     Null text counts as empty and has no spans.  Repeated rows give repeated
     rows; other columns are ignored.  An empty table gives an empty result.
     """
     text = F.col("text")
-    rows = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"))
+    own = [F.col(c) for c in carried] if carried else [F.col(id_column).alias("doc_id")]
+    names = carried or ["doc_id"]
+    rows = docs.select(*own, whole_text(text_column).alias("text"))
     # most texts have no digit, no sign and no bracket that any pattern needs
     possible = text.rlike("[0-9@+]|[(\\[{]at|[0-9A-Fa-f]:[0-9A-Fa-f]")
     none = F.array().cast(NO_SPANS)
     both = F.when(possible, let(base_spans(text), lambda base: F.struct(base.alias("base"), all_spans(docs.sparkSession, text, base).alias("spans")))).otherwise(
         F.struct(none.alias("base"), none.alias("spans"))
     )
-    return rows.select("doc_id", "text", both.alias("found")).select("doc_id", "text", "found.base", "found.spans")
+    return rows.select(*names, "text", both.alias("found")).select(*names, "text", "found.base", "found.spans")
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
