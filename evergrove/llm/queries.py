@@ -90,3 +90,10 @@ def op7_sentencepiece(spark, sf_dir):
     from evergrove.llm.sentencepieces import encode_report
 
     return encode_report(read_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op6_secret_scan(spark, sf_dir):
+    from evergrove.llm.secret_scan import secret_report
+
+    return secret_report(read_documents(spark, sf_dir))
