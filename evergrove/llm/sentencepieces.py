@@ -6,6 +6,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,13 +54,24 @@ class WordPieces:
         return b"".join(map(memory.__getitem__, units))
 
 
+@lru_cache(maxsize=1)
+def worker_model(path: str) -> PieceModel:
+    """The process's own model; what it remembers serves all its tasks."""
+    return PieceModel(path)
+
+
+@lru_cache(maxsize=1)
+def worker_words(path: str) -> WordPieces:
+    return WordPieces(worker_model(path))
+
+
 _ENCODED = "doc_id long, ids binary"
 _ENCODED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
 
 def _encode_whole(path: str):
     def run(batches):
-        words = WordPieces(PieceModel(path))
+        words = worker_words(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -77,7 +89,7 @@ def _matrices(path: str):
     schema = pa.schema([("row", pa.int64()), ("k", pa.int64()), ("matrix", pa.string())])
 
     def run(batches):
-        model = PieceModel(path)
+        model = worker_model(path)
         for batch in batches:
             for row, k, context, before, length, final in zip(*(c.to_pylist() for c in batch.columns)):
                 matrix = _chunk(model, context, before, length, final).matrix()
@@ -101,8 +113,7 @@ def _backtrace(path: str):
     schema = pa.schema([("row", pa.int64()), ("k", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        model = PieceModel(path)
-        words = WordPieces(model)
+        model, words = worker_model(path), worker_words(path)
 
         def complete(text: str) -> list[int]:
             return np.frombuffer(words.complete(text.replace(BLANK, " ")), "<u4").tolist()
@@ -155,7 +166,7 @@ def _decoder(path: str):
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("row", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
 
     def run(batches):
-        raw = PieceModel(path).raw
+        raw = worker_model(path).raw
         for batch in batches:
             texts = []
             for part, ids in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
