@@ -122,7 +122,7 @@ def _custom(custom: Custom, text: str) -> None:
 
 
 def _field(name: str, rest: str, number: int) -> Field:
-    moves_text, _, patterns_text = rest.rpartition(":") if not rest.rstrip().endswith('"') else _before_patterns(rest)
+    moves_text, _, patterns_text = _before_patterns(rest)
     moves = []
     for m in _MOVE.finditer(moves_text):
         if m[5]:
@@ -138,7 +138,7 @@ def _field(name: str, rest: str, number: int) -> Field:
 def _before_patterns(rest: str) -> tuple[str, str, str]:
     """Moves and patterns, where the pattern's own text may hold a colon."""
     at = re.match(r"[^\"]*:", rest)
-    return (rest[: at.end() - 1], ":", rest[at.end() :]) if at else ("", "", rest)
+    return (rest[: at.end() - 1], ":", rest[at.end() :]) if at else ("", ":", rest)
 
 
 def _regex(pattern: str, types: dict[str, Custom]) -> str:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from evergrove.functions import model
 
 OPTIONS = {"attributePrefix": "", "valueTag": "_text"}
+#: Writers need a prefix to tell attributes; names that start with '@' become some.
+WRITE_OPTIONS = {"attributePrefix": "@", "valueTag": "_text"}
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str | None = None) -> DataFrame:
@@ -25,7 +27,7 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str | None =
 
 
 def write_xml(rows: DataFrame, path: str, row_tag: str = "record", root_tag: str = "records") -> None:
-    rows.write.mode("overwrite").format("xml").options(rowTag=row_tag, rootTag=root_tag, **OPTIONS).save(path)
+    rows.write.mode("overwrite").format("xml").options(rowTag=row_tag, rootTag=root_tag, **WRITE_OPTIONS).save(path)
 
 
 def parse_column(text: Column, schema: str) -> Column:
@@ -34,7 +36,7 @@ def parse_column(text: Column, schema: str) -> Column:
 
 
 def to_column(record: Column, row_tag: str = "record") -> Column:
-    return F.to_xml(record, {"rowTag": row_tag, **OPTIONS})
+    return F.to_xml(record, {"rowTag": row_tag, **WRITE_OPTIONS})
 
 
 def _local(tag: str) -> str:
