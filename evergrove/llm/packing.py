@@ -154,9 +154,9 @@ def _tokenise(path: str, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), ("chunk", pa.int64()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        from evergrove.llm.word_bpe import WordEncoder
+        from evergrove.llm.word_bpe import worker_encoder
 
-        encoder = WordEncoder(path)
+        encoder = worker_encoder(path)
         end = np.array([end_id], encoder.width).tobytes()
         width, chunk, totals = len(end), TaskContext.get().partitionId(), {}
         for batch in batches:

@@ -10,6 +10,7 @@ character goes through the tokenizer itself.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -19,7 +20,7 @@ _LETTER = "a-zªµºÀ-ÖØ-öø-ſ"
 _NUMBER = "0-9²³¹¼-¾"
 _PRETOKEN = re.compile(f"[{_LETTER}]+|[{_NUMBER}]|'(?:[stmd]|re|ve|ll)|[^\\s{_LETTER}{_NUMBER}]+")
 
-CACHE_ENTRIES = 300_000  # a worker's memory is bounded; the cache starts anew when full
+CACHE_ENTRIES = 600_000  # a worker's memory is bounded; the cache starts anew when full
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -71,3 +72,9 @@ class _Memory(dict):
     def __missing__(self, key):
         self[key] = value = self.make(key)
         return value
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> WordEncoder:
+    """The process's own encoder: what one task has learnt, the next one uses."""
+    return WordEncoder(path)
