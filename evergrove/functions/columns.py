@@ -569,5 +569,21 @@ def parse_time(c: Cell) -> Cell:
     return guarded(Cell(time_struct(at, precision), "time", first_reason(c.reason, bad)))
 
 
+def add_time(t: Cell, amount: Cell, unit: Cell) -> Cell:
+    """The time moved by a constant unit; its precision stays."""
+    name = str(unit.constant or "").rstrip("s")
+    months, seconds = {"year": 12, "month": 1}.get(name), {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}.get(name)
+    n = to_number(amount)
+    if months is None and seconds is None:
+        return Cell(F.lit(None).cast("struct<ts:timestamp_ntz,prec:tinyint>"), "time", F.lit(f"unknown unit: {name}"))
+    if months is not None:
+        moved = t.value["ts"] + F.make_ym_interval(F.lit(0), (n.value * months).cast("int"))
+    else:
+        moved = t.value["ts"] + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (n.value * seconds).cast("decimal(18,6)"))
+    return guarded(Cell(time_struct(moved, t.value["prec"]), "time", first_reason(t.reason, n.reason)))
+
+
 FUNCTIONS["parse_time"] = parse_time
+FUNCTIONS["add_time"] = add_time
+FUNCTIONS["format_time"] = lambda t, form: Cell(F.date_format(t.value["ts"], str(form.constant)), "text", t.reason)
 

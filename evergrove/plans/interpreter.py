@@ -6,14 +6,17 @@ from __future__ import annotations
 import math
 import random
 import uuid as _uuid
+from calendar import monthrange
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evergrove.functions import model
 from evergrove.functions.model import Unknown
+from evergrove.functions.paths import resolve
 from evergrove.operators import log as L
 from evergrove.operators.collections import Collection
 from evergrove.operators.templates import heritage
@@ -74,18 +77,45 @@ class Engine:
         self.log = log if log is not None else L.InstanceLog(spark)
         self.mounts: dict[str, Collection] = {}
         self.watches: list[S.Watch] = []
+        self.bridges: dict[str, Engine] = {}
         self.may = may or (lambda permission, path: True)
 
     def mount(self, path: str, frame: DataFrame, key: str | None = None, ts: str | None = None, seq: str | None = None) -> None:
         self.mounts[path] = Collection(frame, key, ts, seq)
 
+    def bridge(self, name: str, other: Engine) -> None:
+        """Make another engine's tree readable as ``my.<name>.world...``."""
+        self.bridges[name] = other
+
     def resolve(self, path: str) -> str:
-        """``my`` is the agent's home, but for ``my.computer``; a bare name is
-        relative to it."""
-        parts = path.split(".")
-        if parts[0] == "my" and parts[1:2] != ["computer"]:
-            return ".".join(["world", "agent", str(self.agent), *parts[1:]])
-        return path
+        return resolve(path, self.agent)
+
+    # --- single calls, each checked for its permission
+
+    def read(self, path: str, time: model.Time | None = None):
+        path = self.resolve(path)
+        return self.log.read(path, time) if self.may("read", path) else Unknown("permission denied")
+
+    def write(self, path: str, value) -> bool:
+        """Whether the value was new."""
+        path = self.resolve(path)
+        if not self.may("write", path):
+            raise PermissionError(path)
+        return bool(self.log.append([(path, value)], self.agent))
+
+    def children(self, path: str) -> list[str]:
+        path = self.resolve(path)
+        return self.log.children(path) if self.may("read", path) else []
+
+    def purge(self, path: str, start, end) -> int:
+        path = self.resolve(path)
+        if not self.may("purge", path):
+            raise PermissionError(path)
+        return self.log.purge(path, start, end, self.agent)
+
+    def extract(self, path: str) -> DataFrame:
+        """The subtree's current values as a program that writes them again."""
+        return self.log.extract(self.resolve(path))
 
     def query(self, text: str) -> DataFrame:
         """An expression over a mounted collection as a DataFrame."""
@@ -317,6 +347,10 @@ class Program:
             return names
         if (holder := self.scope.holder(names[0])) is not None:
             return self._fields(holder.names[names[0]], names[1:])
+        if names[0] == "my" and len(names) > 2 and names[1] in self.engine.bridges and names[2] == "world":
+            return Program(self.engine.bridges[names[1]])._path(S.Path(tuple(names[2:])))
+        if names[:2] == ["world", "clock"] and len(names) == 3:
+            return clock(names[2])
         path = self._absolute(names)
         candidates = [path] if not self.base or path.startswith(self.base) else [f"{self.base}.{path}", path]
         for candidate in candidates:
@@ -731,6 +765,42 @@ def _round(x: float) -> float:
     return math.copysign(math.floor(abs(x) + 0.5), x)
 
 
+def clock(part: str):
+    """A part of the present time; weekdays count from Sunday, 1."""
+    now = L.utc_now()
+    parts = {
+        "year": now.year, "month": now.month, "day": now.day, "hour": now.hour, "minute": now.minute, "second": now.second, "weekday": now.isoweekday() % 7 + 1,
+        "week": now.isocalendar().week, "quarter": (now.month + 2) // 3, "unix": int((now - _EPOCH).total_seconds()),
+    }
+    if part in ("month_name", "weekday_name"):
+        return now.strftime("%B" if part == "month_name" else "%A")
+    return float(parts[part]) if part in parts else Unknown("not_found")
+
+
+_EPOCH = datetime(1970, 1, 1)
+
+
+def _add_time(t, amount, unit):
+    """The time moved by an amount of a unit; its precision stays."""
+    if not isinstance(t, model.Time):
+        return Unknown(f"cannot add to {model.kind_of(t)}")
+    name, n = model.to_text(unit).rstrip("s"), model.to_number(amount)
+    if isinstance(n, Unknown):
+        return n
+    if name in ("month", "year"):
+        months = t.at.year * 12 + t.at.month - 1 + int(n) * (12 if name == "year" else 1)
+        year, month = divmod(months, 12)
+        return model.Time(t.at.replace(year=year, month=month + 1, day=min(t.at.day, monthrange(year, month + 1)[1])), t.precision)
+    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}.get(name)
+    return Unknown(f"unknown unit: {name}") if seconds is None else model.Time(t.at + timedelta(seconds=n * seconds), t.precision)
+
+
+def _convert(v, kind):
+    kind = model.to_text(kind)
+    made = {"text": model.to_text, "number": model.to_number, "boolean": model.truthy, "time": lambda x: model.parse_time(model.to_text(x))}.get(kind)
+    return made(v) if made else Unknown(f"cannot convert to {kind}")
+
+
 BUILTINS = {
     "len": _length,
     "length": lambda v: float(len(model.to_text(v))),
@@ -759,6 +829,9 @@ BUILTINS = {
     "to_json": model.to_json,
     "parse_time": lambda v: model.parse_time(model.to_text(v)),
     "now": lambda: model.Time(L.utc_now()),
+    "add_time": _add_time,
+    "format_time": lambda t, form: t.at.strftime(model.to_text(form)) if isinstance(t, model.Time) else Unknown(f"cannot format {model.kind_of(t)}"),
+    "convert": _convert,
     "uuid": lambda: str(_uuid.uuid4()),
     "unknown": lambda *v: Unknown(model.to_text(v[0]) if v else "unknown"),
     "output": lambda v: v,

@@ -186,3 +186,43 @@ def test_history_reads_only_what_is_projected(spark, tmp_path):
 
 def test_model_equality_of_kinds():
     assert model.compare("a", 1.0) is None and not model.equal(None, 0.0) and model.equal([1.0, "x"], [1.0, "x"])
+
+
+def test_bridges_clock_and_time_functions(spark, engine):
+    other = Engine(spark)
+    other.execute("world.shared.x = 4")
+    engine.bridge("mesh", other)
+    assert engine.execute("my.mesh.world.shared.x") == 4.0
+    assert engine.execute("world.clock.year") >= 2024.0 and 1 <= engine.execute("world.clock.weekday") <= 7
+    assert engine.execute('text(add_time(@2024-01-31, 1, "month"))') == "2024-02-29"
+    assert engine.execute('format_time(@2024-01-02, "%d.%m.")') == "02.01."
+    assert engine.execute('convert("5", "number")') == 5.0
+
+
+def test_single_calls(engine):
+    from datetime import datetime
+
+    assert engine.write("my.v", 1.0) and not engine.write("my.v", 1.0)
+    assert engine.read("my.v") == 1.0 and engine.children("my") == ["v"]
+    assert engine.purge("my.v", datetime(2000, 1, 1), datetime(2100, 1, 1)) == 1
+    assert engine.read("my.v") == Unknown("not_found")
+
+
+def test_paths():
+    from evergrove.functions import paths
+
+    assert paths.kind_of_path("my.mesh.world.x", ("mesh",)) == "bridge" and paths.kind_of_path("world.a") == "world"
+    assert paths.resolve("my.a", 3) == "world.agent.3.a" and paths.resolve("my.computer.a", 3) == "my.computer.a"
+    assert paths.rebased("a.b.c", "a.b", "x") == "x.c"
+    with pytest.raises(paths.PathProblem):
+        paths.parts_of("a..b")
+
+
+def test_add_time_in_columns(spark):
+    from evergrove.functions import columns as C
+    from evergrove.plans.compiler import Row, compile_row
+
+    cell = compile_row(parse_expression('text(add_time(parse_time("2024-01-31"), 1, "month")) & text(add_time(@2024-01-01 10:00, 90, "minutes"))'), Row())
+    assert spark.range(1).select(cell.value.alias("t")).first()["t"] == "2024-02-292024-01-01 11:30"
+    assert spark.range(1).select(compile_row(parse_expression('format_time(@2024-03-04, "dd.MM.")'), Row()).value.alias("t")).first()["t"] == "04.03."
+    assert C.literal(1.0).constant == 1.0
