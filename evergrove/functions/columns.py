@@ -139,14 +139,18 @@ def number_text(x: Column) -> Column:
     power = F.when(shown.contains("E"), F.split_part(shown, F.lit("E"), F.lit(2)).cast("int")).otherwise(F.length(F.split_part(shown, F.lit("."), F.lit(1))) - 1)
     exponent = F.concat(F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), 2, "0"))
     exponent = F.when(F.abs(power) >= 100, F.concat(F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.abs(power).cast("string"))).otherwise(exponent)
-    text = (
-        F.when(size == 0, F.lit("0"))
-        .when((size >= 1e6) | ((size < 1e-4) & shown.contains("E")), F.concat(mantissa, exponent))
-        .when(size < 1e-3, F.concat(F.lit("0.000"), digits))
-        .otherwise(F.regexp_replace(shown, "\\.0$", ""))
+    rare = F.when((size >= 1e6) | ((size < 1e-4) & shown.contains("E")), F.concat(mantissa, exponent)).otherwise(F.concat(F.lit("0.000"), digits))
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    # the usual sizes need no taking apart
+    return (
+        F.when(F.isnan(x), F.lit("NaN"))
+        .when(x == 0, F.when(x.cast("string") == "-0.0", F.lit("-0")).otherwise(F.lit("0")))
+        .when((size < 1e6) & (x == F.floor(x)), x.cast("bigint").cast("string"))
+        .when((size >= 1e-3) & (size < 1e6), x.cast("string"))
+        .when(x == float("inf"), F.lit("+Inf"))
+        .when(x == float("-inf"), F.lit("-Inf"))
+        .otherwise(F.concat(sign, rare))
     )
-    sign = F.when((x < 0) | (x.cast("string") == "-0.0"), F.lit("-")).otherwise(F.lit(""))
-    return F.when(F.isnan(x), F.lit("NaN")).when(x == float("inf"), F.lit("+Inf")).when(x == float("-inf"), F.lit("-Inf")).otherwise(F.concat(sign, text))
 
 
 _FORMS = {model.YEAR: "yyyy", model.MONTH: "yyyy-MM", model.DAY: "yyyy-MM-dd", model.HOUR: "yyyy-MM-dd HH:00", model.MINUTE: "yyyy-MM-dd HH:mm", model.SECOND: "yyyy-MM-dd HH:mm:ss"}
