@@ -52,11 +52,12 @@ class Mixture:
         half = VIRTUAL >> 1
         return [min(t, (w * time + half) // VIRTUAL) for t, w in zip(self.totals, self.weights)]
 
-    def _served_before(self, window: int) -> tuple[int, ...]:
-        """Tokens served from each queue in the windows before ``window``."""
+    def _served_before(self, window: int) -> tuple[tuple[int, ...], tuple[float, ...]]:
+        """Tokens served from each queue in the windows before ``window``, and the
+        deficits carried into it: what a queue was due beyond that."""
         wanted = min(window * self.capacity, self.total)
         if wanted == self.total:
-            return tuple(self.totals)
+            return tuple(self.totals), (0.0,) * len(self.totals)
         low, high = 0, self.horizon * VIRTUAL
         while high - low > 1:
             middle = (low + high) // 2
@@ -70,38 +71,56 @@ class Mixture:
             step = min(missing, then - now)
             served[queue] += step
             missing -= step
-        return tuple(served)
+        due = [(min(t * VIRTUAL, w * low) - n * VIRTUAL) / VIRTUAL for t, w, n in zip(self.totals, self.weights, served)]
+        return tuple(served), tuple(due)
 
     def _block(self, block: int) -> tuple[int, np.ndarray]:
         """(first window, service): row k of ``service`` has every queue's
         tokens served before the block's k-th window."""
         first = block * BLOCK
         last = min(first + BLOCK, self.windows)
-        start = np.array(self.served_before(first), dtype=np.int64)
-        quota = np.array(self.served_before(last), dtype=np.int64) - start
-        room = int(quota.sum())
-        served = np.zeros((last - first + 1, len(quota)), dtype=np.int64)
+        before, carried = self.served_before(first)
+        start, deficit = np.array(before, dtype=np.int64), np.array(carried)
+        left = np.array(self.served_before(last)[0], dtype=np.int64) - start
+        weights = np.array(self.weights, dtype=float)
+        served = np.zeros((last - first + 1, len(left)), dtype=np.int64)
         for k in range(last - first):
-            size = min(self.capacity, room - k * self.capacity)
-            upto = k * self.capacity + size
-            # quantum of this round plus the deficit carried from the rounds before
-            credit = quota * (upto / room)
-            give = np.minimum(np.maximum(np.floor(credit + 1e-9).astype(np.int64) - served[k], 0), quota - served[k])
-            short = size - int(give.sum())
-            while short:  # whole tokens that fractions left over: largest deficit first
-                deficit = np.where(quota - served[k] - give > 0, credit - served[k] - give, -np.inf)
-                if short > 0:
-                    order = np.argsort(-deficit, kind="stable")[: min(short, int((deficit > -np.inf).sum()))]
-                    give[order] += 1
-                    short -= len(order)
-                else:
-                    over = np.where(give > 0, credit - served[k] - give, np.inf)
-                    order = np.argsort(over, kind="stable")[: min(-short, int((give > 0).sum()))]
-                    give[order] -= 1
-                    short += len(order)
+            give = self._round(min(self.capacity, int(left.sum())), left, deficit, weights)
+            left -= give
             served[k + 1] = served[k] + give
         return first, served + start
 
+    @staticmethod
+    def _round(size: int, left: np.ndarray, deficit: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Fill one window: every queue with tokens left adds its quantum to its
+        deficit and is served whole tokens of it; a queue that runs dry leaves
+        its part to the others, and what fractions leave over goes to the largest
+        deficits.  ``deficit`` is carried on."""
+        give = np.zeros_like(left)
+        room = size
+        while room > 0:
+            active = left > give
+            deficit[active] += room * weights[active] / weights[active].sum()
+            step = np.where(active, np.clip(np.floor(deficit + 1e-9), 0, left - give), 0).astype(np.int64)
+            if step.sum() == 0:
+                step[np.argmax(np.where(active, deficit, -np.inf))] = 1
+            over = int(step.sum()) - room
+            while over > 0:  # carried deficits can ask for a token or two too many
+                lowest = np.argmin(np.where(step > 0, deficit - step, np.inf))
+                step[lowest] -= 1
+                over -= 1
+            give += step
+            deficit -= step
+            room -= int(step.sum())
+            if 0 < room < len(left):
+                while room > 0:
+                    queue = np.argmax(np.where(left > give, deficit, -np.inf))
+                    give[queue] += 1
+                    deficit[queue] -= 1
+                    room -= 1
+        deficit[left == give] = 0.0
+        return give
+
     def pieces(self, queue: int, start: int, length: int):
         """(start in the document, length, window, offset) of a document whose
         tokens are at [start, start + length) of the queue's stream."""
@@ -109,7 +128,7 @@ class Mixture:
         low, high = 0, -(-self.windows // BLOCK)  # the block that serves token ``start``
         while high - low > 1:
             middle = (low + high) // 2
-            if self.served_before(middle * BLOCK)[queue] <= start:
+            if self.served_before(middle * BLOCK)[0][queue] <= start:
                 low = middle
             else:
                 high = middle
