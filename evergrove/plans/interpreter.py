@@ -23,6 +23,7 @@ from evergrove.operators.templates import heritage
 from evergrove.plans import syntax as S
 from evergrove.plans.compiler import Row, apply_bracket, is_predicate
 from evergrove.plans.parser import parse, parse_expression
+from evergrove.sources import library
 
 #: The limits of a program.
 MAX_LOOP, MAX_CALLS, MAX_STAGED = 100_000, 1_000, 10_000
@@ -637,6 +638,8 @@ class Program:
                     return v
         if node.name in ("map", "filter", "reduce"):
             return self._higher_order(node.name, args)
+        if node.name.startswith(library.PREFIX):
+            return library.call(self.engine.spark, node.name[len(library.PREFIX) :], args)
         function = BUILTINS.get(node.name)
         if function is None:
             return Unknown(f"unknown function: {node.name}")

@@ -226,3 +226,28 @@ def test_add_time_in_columns(spark):
     assert spark.range(1).select(cell.value.alias("t")).first()["t"] == "2024-02-292024-01-01 11:30"
     assert spark.range(1).select(compile_row(parse_expression('format_time(@2024-03-04, "dd.MM.")'), Row()).value.alias("t")).first()["t"] == "04.03."
     assert C.literal(1.0).constant == 1.0
+
+
+def test_file_calls(engine, tmp_path):
+    at = str(tmp_path / "r.xml")
+    assert engine.execute(f'my.computer.files.export({{name: "a<b", n: 1}}, "{at}", "xml", {{root_element: "r"}})') is True
+    assert engine.execute(f'my.computer.files.import("{at}", "xml")') == {"n": {"_text": "1"}, "name": {"_text": "a<b"}}
+    assert engine.execute(f'my.computer.files.write("{tmp_path}/t.txt", "hi")\nmy.computer.files.read("{tmp_path}/t.txt")') == "hi"
+    assert engine.execute(f'my.computer.files.info("{tmp_path}/t.txt").size') == 2.0
+    assert "t.txt" in engine.execute(f'my.computer.files.list("{tmp_path}")')
+    assert engine.execute(f'my.computer.files.export([{{k: 1, v: "x"}}, {{k: 2, v: "y"}}], "{tmp_path}/c", "csv")') is True
+    assert engine.execute(f'my.computer.files.import("{tmp_path}/c", "csv", {{key: "k"}})[v = "y"]..count') == 1.0
+    assert engine.execute(f'my.computer.files.delete("{tmp_path}/t.txt")\nmy.computer.files.exists("{tmp_path}/t.txt")') is False
+    assert engine.execute(f'my.computer.files.export([1, 2], "{tmp_path}/j", "json")\nmy.computer.files.import("{tmp_path}/j", "json")') == [1.0, 2.0]
+    assert isinstance(engine.execute('my.computer.files.read("/nowhere/x")'), Unknown)
+    assert engine.execute('my.computer.files.import("x", "xlsx")') == Unknown("unsupported import format: xlsx")
+
+
+def test_report_import(engine, tmp_path):
+    (tmp_path / "r.txt").write_text("ID: 5\nSUM: $7.50")
+    (tmp_path / "r.ari").write_text('section s:\n    field id: right 4 same: "ID:"\n    field sum: right 5 same: "SUM:"\n')
+    assert engine.execute(f'my.computer.files.import_fixed_width("{tmp_path}/r.txt", "{tmp_path}/r.ari")') == {"s": {"id": 5.0, "sum": 7.5}}
+
+
+def test_procedures_at_paths(engine):
+    assert engine.execute("tools.twice: procedure(x): x * 2\ntools.twice(4)") == 8.0
