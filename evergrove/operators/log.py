@@ -248,15 +248,40 @@ def value_of(row) -> object:
 class InstanceLog:
     """A log held as a DataFrame; every batch of writes is one append.
 
-    ``folder`` makes it durable: batches are Parquet files there.  Reads of many
-    paths share one scan.
+    ``folder`` makes it durable: batches are Parquet files there, and the plan
+    stays one scan.  Without it, new rows are held here and joined to what the log
+    began with; past ``HELD`` they go to the checkpoint folder, if there is one.
+    Reads of many paths share one scan.
     """
 
+    HELD = 10_000
+
     def __init__(self, spark: SparkSession, frame: DataFrame | None = None, folder: str | None = None):
         self.spark, self.folder = spark, folder
-        self.frame = frame if frame is not None else spark.createDataFrame([], SCHEMA)
+        self._base, self._held, self._frame = frame, [], None
         self.next_seq = 1 if frame is None else (frame.agg(F.max("seq")).first()[0] or 0) + 1
 
+    @property
+    def frame(self) -> DataFrame:
+        if self._frame is None:
+            new = self.spark.createDataFrame(self._held, SCHEMA)
+            self._frame = new if self._base is None else self._base.unionByName(new)
+        return self._frame
+
+    @frame.setter
+    def frame(self, frame: DataFrame) -> None:
+        self._base, self._held, self._frame = frame, [], frame
+
+    def _add(self, rows: list[tuple]) -> None:
+        if self.folder:
+            self.spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(self.folder)
+            self.frame = self.spark.read.schema(SCHEMA).parquet(self.folder)
+            return
+        self._held += rows
+        self._frame = None
+        if len(self._held) > self.HELD and self.spark.sparkContext.getCheckpointDir():
+            self.frame = self.frame.checkpoint()
+
     def append(self, writes: Sequence[tuple], author: int = 0, at: datetime | None = None, stamp: dict | None = None) -> list[str]:
         """Append (path, value) pairs that change something; returns the paths
         that did.  An unknown is not stored."""
@@ -275,12 +300,7 @@ class InstanceLog:
             rows.append(tuple(row[f] for f in _FIELDS))
             changed.append(path)
         if rows:
-            batch = self.spark.createDataFrame(rows, SCHEMA)
-            if self.folder:
-                batch.write.mode("append").parquet(self.folder)
-                self.frame = self.spark.read.schema(SCHEMA).parquet(self.folder)
-            else:
-                self.frame = self.frame.unionByName(batch)
+            self._add(rows)
         return list(dict.fromkeys(changed))
 
     def read_many(self, paths: Sequence[str], time: model.Time | None = None) -> dict[str, object]:

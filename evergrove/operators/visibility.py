@@ -94,3 +94,27 @@ def parse_filter(record: Mapping[str, object]) -> dict[str, object]:
         match = re.fullmatch(r"\s*([\w@.]+)\s*\?=\s*['\"](.*)['\"]\s*", value) if isinstance(value, str) else None
         out[match[1] if match else name] = match[2] if match else value
     return out
+
+
+def may_by_log(log, identity: str, agent: int):
+    """An engine's permission test from the ``@read``, ``@write``, ... fields that
+    are stored in its log: the nearest ancestor's condition, else the default."""
+
+    def holds(condition) -> bool:
+        if isinstance(condition, bool):
+            return condition
+        if isinstance(condition, list):
+            return identity in condition
+        return condition == "(Anything)" or condition == identity
+
+    def may(permission: str, path: str) -> bool:
+        parts = path.split(".")
+        owners = [".".join(parts[:n]) for n in range(len(parts), 0, -1)]
+        stored = log.read_many([f"{owner}.@{permission}" for owner in owners])
+        for owner in owners:
+            if f"{owner}.@{permission}" in stored:
+                return holds(stored[f"{owner}.@{permission}"])
+        home = f"world.agent.{agent}"
+        return path == home or path.startswith(home + ".") or parts[0] == "world" and permission == "read"
+
+    return may

@@ -251,3 +251,25 @@ def test_report_import(engine, tmp_path):
 
 def test_procedures_at_paths(engine):
     assert engine.execute("tools.twice: procedure(x): x * 2\ntools.twice(4)") == 8.0
+
+
+def test_stored_permissions(spark):
+    from evergrove.operators.visibility import may_by_log
+
+    log = L.InstanceLog(spark)
+    log.append([("world.team.@write", ["ann", "bob"]), ("world.team.private.@read", "(Nothing)"), ("world.team.v", 1.0), ("world.team.private.v", 2.0)])
+    ann, eve = (Engine(spark, log, agent, may_by_log(log, name, agent)) for name, agent in (("ann", 1), ("eve", 2)))
+    assert ann.execute("world.team.x = 3\nworld.team.x") == 3.0
+    assert "permission denied" in eve.execute("world.team.x = 4").reason
+    assert eve.execute("world.team.v") == 1.0
+    assert isinstance(eve.execute("world.team.private.v"), Unknown)
+    assert eve.execute("my.own = 1\nmy.own") == 1.0
+
+
+def test_log_in_a_folder(spark, tmp_path):
+    log = L.InstanceLog(spark, folder=str(tmp_path / "log"))
+    for k in range(4):
+        log.append([("a.b", float(k)), (f"a.c{k}", "x")])
+    assert log.read("a.b") == 3.0 and log.frame.count() == 8
+    L.compact(L.purge(log.frame, "a.c0", L.utc_now().replace(year=2000), L.utc_now().replace(year=2100)), str(tmp_path / "small"))
+    assert spark.read.parquet(str(tmp_path / "small")).count() == 7
