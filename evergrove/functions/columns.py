@@ -57,6 +57,8 @@ def kind_of_type(dtype: T.DataType) -> tuple[str, str | None]:
         return "boolean", None
     if isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType)):
         return "instant", None
+    if isinstance(dtype, T.MapType):
+        return "map", kind_of_type(dtype.valueType)[0]
     if isinstance(dtype, T.ArrayType):
         return "list", kind_of_type(dtype.elementType)[0]
     if isinstance(dtype, T.StructType):

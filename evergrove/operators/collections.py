@@ -41,6 +41,11 @@ class Collection:
         schema = self.frame.schema
         if name in schema.fieldNames():
             return cell_of(F.col(_quoted(name)), schema[name].dataType)
+        if name == "@stamp" and "stamp" in schema.fieldNames():
+            return cell_of(F.col("stamp"), schema["stamp"].dataType)
+        if name in ("@time", "@agent") and self.ts:
+            column = self.ts if name == "@time" else "author"
+            return cell_of(F.col(_quoted(column)), schema[column].dataType) if column in schema.fieldNames() else None
         if name == "key" and self.key:
             return Cell(F.col(_quoted(self.key)).cast("string"), "text")
         return None

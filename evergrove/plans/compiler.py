@@ -76,8 +76,7 @@ def compile_row(node: S.Node, row: Row) -> Cell:
     if isinstance(node, S.CollectionOp):
         return _collection_op(node, row)
     if isinstance(node, S.Field):
-        base = compile_row(node.base, row)
-        return Cell(base.value[node.name], "anything", base.reason)
+        return _member(compile_row(node.base, row), node.name)
     if isinstance(node, S.Call):
         return _call(node, row)
     raise CompileProblem(f"unsupported expression type: {type(node).__name__}")
@@ -94,14 +93,21 @@ def _path(node: S.Path, row: Row) -> Cell:
             return C.literal(value)
     if cell is None:
         return C.literal(model.Unknown("not_found"))
-    if rest and row.collection is not None and first in row.collection.frame.columns:
+    if rest and row.collection is not None and first in row.collection.frame.columns and cell.kind != "map":
         frame = row.collection.frame.select(F.col(".".join(f"`{p}`" for p in node.parts)).alias("x"))
         return C.cell_of(F.col(".".join(f"`{p}`" for p in node.parts)), frame.schema["x"].dataType)
     for name in rest:
-        cell = Cell(cell.value[name], "anything", cell.reason)
+        cell = _member(cell, name)
     return cell
 
 
+def _member(cell: Cell, name: str) -> Cell:
+    """A field; of a stamp or another map, a missing entry is nothing."""
+    if cell.kind == "map":
+        return Cell(F.try_element_at(cell.value, F.lit(name)), cell.item or "text", cell.reason)
+    return Cell(cell.value[name], "anything", cell.reason)
+
+
 def _binary(node: S.Binary, row: Row) -> Cell:
     if node.op == "?=" and isinstance(node.right, S.UnknownMatch):
         return C.definite_equal(compile_row(node.left, row), C.literal(None), "*")

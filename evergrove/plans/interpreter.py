@@ -73,8 +73,10 @@ class Scope:
 class Engine:
     """Mounts, an instance log, and programs over both."""
 
-    def __init__(self, spark: SparkSession, log: L.InstanceLog | None = None, agent: int = 0, may: Callable[[str, str], bool] | None = None):
+    def __init__(self, spark: SparkSession, log: L.InstanceLog | None = None, agent: int = 0, may: Callable[[str, str], bool] | None = None, stamp: dict[str, str] | None = None):
         self.spark, self.agent = spark, agent
+        #: what every written instance carries; its author is always part of it
+        self.stamp = {**(stamp or {}), "@author": str(agent)}
         self.log = log if log is not None else L.InstanceLog(spark)
         self.mounts: dict[str, Collection] = {}
         self.watches: list[S.Watch] = []
@@ -102,7 +104,7 @@ class Engine:
         path = self.resolve(path)
         if not self.may("write", path):
             raise PermissionError(path)
-        return bool(self.log.append([(path, value)], self.agent))
+        return bool(self.log.append([(path, value)], self.agent, stamp=self.stamp))
 
     def children(self, path: str) -> list[str]:
         path = self.resolve(path)
@@ -148,7 +150,7 @@ class Engine:
         self.last_changes, self.last_quiet = [], set()
         if isinstance(result, Unknown) and any(reason in result.reason for reason in ROLLBACK_REASONS):
             return result
-        changed = self.log.append([(p, v) for p, (v, _) in program.staged.items()], self.agent)
+        changed = self.log.append([(p, v) for p, (v, _) in program.staged.items()], self.agent, stamp=self.stamp)
         self.last_changes = changed
         self.last_quiet = {p for p, (_, quiet) in program.staged.items() if quiet}
         return result

@@ -291,6 +291,39 @@ def stamp_query(spark, sf_dir):
     return visibility.with_stamp(visibility.with_stamp(docs, "stamp", "lang", "de"), "stamp", "source", "src1").select("doc_id", "lang")
 
 
+@query("SELECT doc_id FROM documents WHERE lang = 'fr' AND NOT coalesce(source = 'src0', false)")
+def stamp_filter(spark, sf_dir):
+    """The same in the language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")).alias("stamp"))
+    found = Engine(spark)
+    found.mount("world.docs", docs, "doc_id")
+    return found.query('world.docs[@stamp.lang = "fr", not (@stamp.source ?= "src0")]{doc_id}')
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate + INTERVAL 2 MONTH, '%Y-%m-%d') AS due, o_orderdate + INTERVAL 36 HOUR > TIMESTAMP '1998-01-01' AS late FROM orders")
+def time_functions(spark, sf_dir):
+    orders = engine(spark, sf_dir).mounts["world.orders"]
+    row = Row(orders)
+    due = compile_row(parse_expression('format_time(add_time(o_orderdate, 2, "months"), "yyyy-MM-dd")'), row)
+    late = compile_row(parse_expression('add_time(o_orderdate, 36, "hours") > @1998-01-01 00:00:00'), row)
+    return orders.frame.select("o_orderkey", due.value.alias("due"), late.value.alias("late"))
+
+
+@query("SELECT c_custkey, c_name, n_name AS home, coalesce(c_mktsegment, 'none') AS segment FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def embed_record(spark, sf_dir):
+    """Composition: the embedded record's fields, where the host has none."""
+    joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    host, embedded = {"c_name": F.col("c_name"), "segment": F.col("c_mktsegment")}, {"segment": F.lit("none"), "home": F.col("n_name")}
+    return joined.select("c_custkey", *[c.alias(n) for n, c in templates.inherit([host, embedded]).items()])
+
+
+@query("SELECT user_id, event_id, ts FROM events WHERE user_id = 7")
+def key_history(spark, sf_dir):
+    """One child's history, newest first; the key test is on the scan."""
+    users = engine(spark, sf_dir).mounts["world.users"]
+    return L.history(users.frame.where("user_id = 7"), "user_id", "ts", "event_id").orderBy("age").select("user_id", "event_id", "ts")
+
+
 # --- lists -----------------------------------------------------------------------
 
 _VEC = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
@@ -524,6 +557,12 @@ def event_time_window(spark, sf_dir):
     return reactive.windowed(events, "ts", "1 day", ["event_type"], n=F.count("*"), total=F.sum("value")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
+@query("""SELECT 'my.computer.network.web.requests.' || page_id || '.' || n AS path, n AS name, CASE n WHEN 'method' THEN 'GET' WHEN 'host' THEN regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)
+ELSE regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) END AS value FROM pages, (VALUES ('method'), ('host'), ('route')) f(n)""")
+def request_queue(spark, sf_dir):
+    return reactive.request_records(table(spark, sf_dir, "pages"), "page_id", "url")
+
+
 # --- sources -------------------------------------------------------------------------
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evergrove.functions import model
+from evergrove.operators.log import explode_record
 from evergrove.plans.interpreter import Engine, Program, Scope
 
 #: A tick's length and the longest cascade.
@@ -233,6 +234,19 @@ def changed_values(stream: DataFrame, key: str, value: str, ts: str, seq: str, w
     return stream.groupBy(key).applyInPandasWithState(compare, out, "last string", "append", "NoTimeout")
 
 
+REQUESTS = "my.computer.network.web.requests"
+
+
+def request_records(requests: DataFrame, id_column: str, url_column: str) -> DataFrame:
+    """Inbound requests as fields of ``my.computer.network.web.requests.<id>``:
+    (path, name, value) rows that a tick can append.  Works on streams, too."""
+    url = F.col(url_column)
+    fields = requests.select(
+        F.col(id_column), F.lit("GET").alias("method"), F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1).alias("host"), F.regexp_extract(url, "^[a-z]+://[^/?#]+([^?#]*)", 1).alias("route")
+    )
+    return explode_record(fields, REQUESTS, id_column, ["method", "host", "route"])
+
+
 def windowed(stream: DataFrame, ts: str, length: str, keys: Sequence[str], late: str = "10 minutes", **aggregates: Column) -> DataFrame:
     """Event-time windows with a watermark (an extension: ticks have none)."""
     marked = stream.withWatermark(ts, late) if stream.isStreaming else stream
