@@ -107,21 +107,26 @@ def _count_pairs(width: int):
 
 
 def model_losses(pairs: np.ndarray, counts: np.ndarray, width: int, alpha: float = ALPHA, kappa: float = KAPPA) -> np.ndarray:
-    """-log P(word | word before) for all pairs, as a width x width matrix."""
-    table = np.zeros(width * width)
+    """-log P(word | word before) for all pairs, as a width x width matrix; one
+    array of single precision, changed in place."""
+    table = np.zeros(width * width, dtype=np.float32)
     table[pairs] = counts
     table = table.reshape(width, width)
-    words = table.sum(axis=0)
+    words = table.sum(axis=0, dtype=np.float64)
+    history = table.sum(axis=1, keepdims=True, dtype=np.float64)
     unigram = (words + alpha) / (words.sum() + alpha * width)
-    history = table.sum(axis=1, keepdims=True)
-    return -np.log((table + kappa * unigram) / (history + kappa)).astype(np.float32)
+    table += (kappa * unigram).astype(np.float32)
+    table /= (history + kappa).astype(np.float32)
+    np.log(table, out=table)
+    return np.negative(table, out=table)
 
 
-def _scorer(target: np.ndarray, background: np.ndarray, width: int):
+def _scorer(target, background, width: int):
+    """``target`` and ``background``: broadcasts of the two matrices."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
 
     def run(batches):
-        t, b = target.ravel(), background.ravel()
+        t, b = target.value.ravel(), background.value.ravel()
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for packed in batch.column(1).to_pylist():
@@ -155,7 +160,8 @@ def score_by_cross_entropy(docs: DataFrame, target_ids: DataFrame, id_column: st
     marked = numbered.join(good, F.col("doc_id") == F.col("good_id"), "left").select("tokens", F.col("good_id").isNotNull().alias("good"))
     counts = marked.mapInArrow(_count_pairs(width), "pair long, target long, background long")
     # at most width * width rows
-    table = counts.groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).select(F.col("pair").cast("int"), "target", "background").toPandas()
-    pairs = table["pair"].to_numpy(dtype=np.int64)
-    target, background = (model_losses(pairs, table[c].to_numpy(dtype=float), width) for c in ("target", "background"))
+    table = counts.groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).select(F.col("pair").cast("int"), "target", "background").toArrow()
+    pairs = table.column("pair").to_numpy()
+    send = docs.sparkSession.sparkContext.broadcast  # width * width numbers of four bytes each
+    target, background = (send(model_losses(pairs, table.column(c).to_numpy(), width)) for c in ("target", "background"))
     return numbered.mapInArrow(_scorer(target, background, width), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
