@@ -65,18 +65,37 @@ def worker_words(path: str) -> WordPieces:
     return WordPieces(worker_model(path))
 
 
-_ENCODED = "doc_id long, ids binary"
-_ENCODED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+#: What a part's ids become: the ids themselves, or a digest of them and of the
+#: text that they decode to.
+_IDS = [("ids", pa.binary())]
+_DIGEST = [("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("text_crc32", pa.int64()), ("n_bytes", pa.int64())]
+_DDL = {"ids": "ids binary", "digest": "n_ids long, ids_crc32 long, text_crc32 long, n_bytes long"}
 
 
-def _encode_whole(path: str):
+def _decoded(raw: list[bytes], ids: bytes, part: int) -> bytes:
+    """UTF-8 of one part's text; the blank before the first part is the model's."""
+    text = b"".join(map(raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    return text[1:] if part == 0 and text.startswith(b" ") else text
+
+
+def _results(model: PieceModel, ids: list[bytes], parts: list[int], form: str) -> list[pa.Array]:
+    if form == "ids":
+        return [pa.array(ids, pa.binary())]
+    texts = [_decoded(model.raw, x, part) for x, part in zip(ids, parts)]
+    columns = ([len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], [zlib.crc32(t) for t in texts], [len(t) for t in texts])
+    return [pa.array(c, pa.int64()) for c in columns]
+
+
+def _encode_whole(path: str, form: str):
+    schema = pa.schema([("doc_id", pa.int64()), *(_IDS if form == "ids" else _DIGEST)])
+
     def run(batches):
         words = worker_words(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 ids = [words(text) for text in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], schema=_ENCODED_SCHEMA)
+                yield pa.RecordBatch.from_arrays([part.column(0), *_results(words.model, ids, [0] * len(ids), form)], schema=schema)
 
     return run
 
@@ -109,8 +128,8 @@ def _states(key, frame):
     return pd.DataFrame({"row": key[0], "k": frame["k"], "entry": states[:-1], "leave": states[1:]})
 
 
-def _backtrace(path: str):
-    schema = pa.schema([("row", pa.int64()), ("k", pa.int64()), ("ids", pa.binary())])
+def _backtrace(path: str, form: str):
+    schema = pa.schema([("row", pa.int64()), ("k", pa.int64()), *(_IDS if form == "ids" else _DIGEST)])
 
     def run(batches):
         model, words = worker_model(path), worker_words(path)
@@ -121,15 +140,17 @@ def _backtrace(path: str):
         for batch in batches:
             for row, k, context, before, length, final, entry, leave in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = _chunk(model, context, before, length, final).pieces(tuple(json.loads(entry)), tuple(json.loads(leave)), complete)
-                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([k]), pa.array([np.array(ids, "<u4").tobytes()], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([k]), *_results(model, [np.array(ids, "<u4").tobytes()], [k], form)], schema=schema)
 
     return run
 
 
-def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, part, ids): the ids of every whole text as 32-bit little-endian
+def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", chunk: int = CHUNK, form: str = "ids") -> DataFrame:
+    """(doc_id, part, row, ids): the ids of every whole text as 32-bit little-endian
     binary.  Texts of up to ``chunk`` characters have one part, 0; longer ones a
-    part per chunk, whose ids follow each other in order of ``part``.
+    part per chunk, whose ids follow each other in order of ``part``; ``row`` tells
+    giant texts with one id apart.  With ``form`` 'digest', n_ids, ids_crc32, and
+    text_crc32 and n_bytes of the decoded text instead of the ids.
 
     Null text counts as empty and has no ids.  Repeated rows give repeated
     results, null ids are kept, other columns are ignored, and an empty table
@@ -138,7 +159,7 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_col
     text = whole_text(text_column)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
     size = F.char_length("text")
-    short = rows.where(size <= chunk).mapInArrow(_encode_whole(model_path), _ENCODED).select("doc_id", F.lit(0).cast("long").alias("part"), "ids")
+    short = rows.where(size <= chunk).mapInArrow(_encode_whole(model_path, form), f"doc_id long, {_DDL[form]}").withColumn("part", F.lit(0).cast("long"))
     # a giant row gets a number of its own, since ids may repeat; chunks carry their neighbours' edges
     reach = 64
     marked = F.concat(F.lit(BLANK), F.translate("text", " ", BLANK))
@@ -156,9 +177,9 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_col
     matrices = chunks.select(*columns).mapInArrow(_matrices(model_path), "row long, k long, matrix string")
     states = matrices.groupBy("row").applyInPandas(_states, "row long, k long, entry string, leave string")
     known = chunks.join(states.select(F.col("row").alias("r"), F.col("k").alias("j"), "entry", "leave"), (F.col("row") == F.col("r")) & (F.col("k") == F.col("j")))
-    traced = known.select(*columns, "entry", "leave").mapInArrow(_backtrace(model_path), "row long, k long, ids binary")
+    traced = known.select(*columns, "entry", "leave").mapInArrow(_backtrace(model_path, form), f"row long, k long, {_DDL[form]}")
     named = chunks.select(F.col("row").alias("r"), F.col("k").alias("j"), "doc_id")
-    long = traced.join(named, (F.col("row") == F.col("r")) & (F.col("k") == F.col("j"))).select("doc_id", F.col("k").alias("part"), "ids", "row")
+    long = traced.join(named, (F.col("row") == F.col("r")) & (F.col("k") == F.col("j"))).drop("r", "j").withColumnRenamed("k", "part")
     return short.withColumn("row", F.lit(None).cast("long")).unionByName(long)
 
 
@@ -168,10 +189,7 @@ def _decoder(path: str):
     def run(batches):
         raw = worker_model(path).raw
         for batch in batches:
-            texts = []
-            for part, ids in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
-                text = b"".join(map(raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
-                texts.append(text[1:] if part == 0 and text.startswith(" ") else text)
+            texts = [_decoded(raw, ids, part).decode("utf-8", "replace") for part, ids in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(texts, pa.string())], schema=schema)
 
     return run
@@ -184,23 +202,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.select("doc_id", "part", "row", "ids").mapInArrow(_decoder(model_path), "doc_id long, part long, row long, ids binary, text string")
 
 
-def _digests(path: str):
-    """Whole texts with their parts' ids: counts, checksum, and whether decoding
-    gives the text back."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("part"), batch.column("row"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([zlib.crc32(t.encode()) for t in batch.column("text").to_pylist()], pa.int64()), pa.array([len(t.encode()) for t in batch.column("text").to_pylist()], pa.int64())],
-                names=["doc_id", "part", "row", "n_ids", "ids_crc32", "text_crc32", "n_bytes"],
-            )
-
-    return run
-
-
 def encode_report(docs: DataFrame, model_path: str) -> DataFrame:
-    """One row per part: doc_id, part, n_ids, ids_crc32 (of the 32-bit ids),
-    and the decoded text's CRC and bytes."""
-    decoded = decode(encode(docs, model_path), model_path)
-    return decoded.mapInArrow(_digests(model_path), "doc_id long, part long, row long, n_ids long, ids_crc32 long, text_crc32 long, n_bytes long").drop("row")
+    """One row per part: doc_id, part, n_ids, ids_crc32 (of the 32-bit ids), and
+    the CRC and bytes of the text that the ids decode to."""
+    return encode(docs, model_path, form="digest").select("doc_id", "part", "n_ids", "ids_crc32", "text_crc32", "n_bytes")
