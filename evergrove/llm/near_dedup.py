@@ -249,7 +249,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.encode(whole_text(text_column), "UTF-8").alias("text"))
     signed = checkpointed(texts.mapInArrow(_signed(words, bands, rows, False), _SIGNED))
     usable = signed.where("n > 0 and doc_id is not null")
-    classes = usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("c")).select("k1", "k2", F.col("c.doc_id").alias("node"), "c.bands")
+    grouped = usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("c"))
+    classes = checkpointed(grouped.select("k1", "k2", F.col("c.doc_id").alias("node"), "c.bands"))
     shared = checkpointed(_shared_buckets(classes))
     members = shared.select(F.col("node").alias("wanted")).distinct()
     hot = texts.join(members, F.col("doc_id") == F.col("wanted"), "left_semi")
@@ -269,7 +270,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def _shared_buckets(classes: DataFrame) -> DataFrame:
     """(bucket, node, centre) of buckets with more than one node."""
     rows = classes.select("node", F.explode("bands").alias("bucket"))
-    centres = rows.groupBy(F.col("bucket").alias("b")).agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").drop("last")
+    ends = rows.groupBy(F.col("bucket").alias("b")).agg(F.min("node").alias("centre"), F.max("node").alias("last"))
+    # written first, so that the join has shuffles of its own, which Spark can split where a bucket is large
+    centres = checkpointed(ends.where("centre <> last").drop("last"))
     return rows.join(centres, F.col("bucket") == F.col("b")).select("bucket", "node", "centre")
 
 
@@ -289,7 +292,8 @@ def _compared_in_blocks(shared: DataFrame, sets: DataFrame, components: DataFram
     """The links that the stars have not found."""
     known = components.select(F.col("node").alias("n"), "component")
     marked = shared.join(known, F.col("node") == F.col("n"), "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    open_buckets = marked.groupBy(F.col("bucket").alias("b")).agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("node").alias("head")).where("c1 <> c2").select("b", "head")
+    ends = marked.groupBy(F.col("bucket").alias("b")).agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("node").alias("head"))
+    open_buckets = checkpointed(ends.where("c1 <> c2").select("b", "head"))
     unresolved = checkpointed(marked.join(open_buckets, F.col("bucket") == F.col("b")).select("node", "component", "head").distinct())
     families = connected_components(unresolved.select(F.col("node").alias("u"), F.col("head").alias("v")))
     nodes = unresolved.select(F.col("node").alias("member"), F.col("component").alias("c")).distinct()
