@@ -157,6 +157,27 @@ def test_scores_are_the_brute_force(spark):
         assert r["score"] == pytest.approx(r["target_loss"] - r["background_loss"], abs=1e-5)
 
 
+def test_every_word_is_in_the_models(spark):
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"w{rng.randrange(6000)}" for _ in range(150))) for k in range(80)] + [(80, "日本日本語"), (81, "")]
+    target = spark.createDataFrame([(k,) for k in range(0, 82, 2)], "good long")
+    found = {r["doc_id"]: r for r in score_by_cross_entropy(table(spark, rows), target).collect()}
+    tokens = {k: [*(list(t) if k == 80 else t.split()), " "] for k, t in rows}
+    width = len({w for t in tokens.values() for w in t}) + 1
+    assert width > 2050
+
+    def loss(k, inside):
+        pairs = Counter(p for i in inside for p in zip([" ", *tokens[i]], tokens[i]))
+        words = Counter(w for i in inside for w in tokens[i])
+        one = lambda b: (words[b] + ALPHA) / (sum(words.values()) + ALPHA * width)
+        return -sum(math.log((pairs[a, b] + KAPPA * one(b)) / (words[a] + KAPPA)) for a, b in zip([" ", *tokens[k]], tokens[k])) / len(tokens[k])
+
+    for k in (0, 1, 40, 79, 80, 81):
+        assert found[k]["n_tokens"] == len(tokens[k])
+        assert found[k]["target_loss"] == pytest.approx(loss(k, range(0, 82, 2)), rel=1e-9)
+        assert found[k]["background_loss"] == pytest.approx(loss(k, range(82)), rel=1e-9)
+
+
 def test_language_models_of_nothing(spark):
     nobody = spark.createDataFrame([], "good long")
     assert score_by_cross_entropy(table(spark, []), nobody).count() == 0
