@@ -1,6 +1,7 @@
 """Secret scans: wide candidate patterns, a random forest against false alarms.
 
-Candidates are known key formats and any long unbroken token with a digit.  The
+Candidates are known key formats and any long unbroken token with a digit,
+wherever it starts: after a quote, a blank, '=', '.' or '@'.  The
 forest sees their length, character transitions, dictionary coverage, whether
 they are part of a path, and the words beside them.  It learns from labelled
 findings; the tables have none, so ``labelled_findings`` writes them from
@@ -26,7 +27,7 @@ from evergrove.llm.pii import NO_SPANS, _located
 #: Public formats of access keys.
 KNOWN = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*+|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
 _TOKEN = "A-Za-z0-9+/_-"
-CANDIDATE = rf"{KNOWN}|(?<![=.@{_TOKEN}])(?=[A-Za-z+/_-]{{0,200}}[0-9])[{_TOKEN}]{{16,}}+={{0,2}}"
+CANDIDATE = rf"{KNOWN}|(?<![{_TOKEN}])(?=[A-Za-z+/_-]{{0,200}}[0-9])[{_TOKEN}]{{16,}}+={{0,2}}"
 #: Words that name a secret, or something that looks like one.
 SECRET_WORDS = "token|secret|passw|pwd|api.?key|apikey|access.?key|auth|bearer|credential|private|signing"
 PUBLIC_WORDS = "sha[0-9]*|hash|commit|md5|checksum|uuid|guid|digest|revision|etag|isbn|build|nonce|example|sample|dummy|placeholder|trace"
@@ -85,12 +86,15 @@ def labelled_findings(rows: int = 2400, seed: int = 5) -> list[tuple[str, int]]:
     say = lambda n: " ".join(rng.choice(prose) for _ in range(n))
     lines = []
     for _ in range(rows):
-        kind, secret = rng.randrange(9), rng.random() < 0.5
+        kind, secret = rng.randrange(12), rng.random() < 0.5
         text = pick(hexa, rng.choice([32, 40, 40, 64])) if rng.random() < 0.6 else pick(alnum, rng.randint(20, 48))
         text = text.upper() if rng.random() < 0.1 else text
         quote = rng.choice(['"', "'", '"', ""])
         if secret and kind < 6:
             line = f"{rng.choice(names)}{rng.choice([' = ', '=', ': '])}{quote}{text}1{quote}"
+        elif secret and kind > 8:
+            name = rng.choice(names)
+            line = rng.choice([f"{name}={text}1", f"{name.upper()}={text}1", f"export APP_{name.upper()}={text}1", f"https://{rng.choice(DICTIONARY)}.org/list?page=2&{name}={text}1"])
         elif secret:
             line = rng.choice(["AKIA" + pick(string.ascii_uppercase + string.digits, 16), "ghp_" + pick(alnum, 36), "sk-" + pick(alnum, 40), "AIza" + pick(alnum, 35)])
         elif kind < 3:
@@ -105,8 +109,14 @@ def labelled_findings(rows: int = 2400, seed: int = 5) -> list[tuple[str, int]]:
             line = f"{rng.choice(names)} = {quote}{rng.choice(['example', 'xxxxxxxx', 'placeholder', 'dummy'])}{rng.choice(['-', '_'])}{rng.choice(['token', 'secret', 'key'])}-{'0' * 8}{quote}"
         elif kind == 7:
             line = pick("0123456789", rng.randint(16, 24))
-        else:
+        elif kind == 8:
             line = "_".join(rng.choice(DICTIONARY) for _ in range(3)) + str(rng.randint(10, 99999))
+        elif kind == 9:
+            line = f"https://www.{rng.choice(DICTIONARY)}.com/" + "/".join(rng.choice(DICTIONARY) for _ in range(3)) + rng.choice([f"/{rng.randint(1, 99999)}", f"-{rng.randint(1, 2030)}", f"?id={text}1"])
+        elif kind == 10:
+            line = f"{rng.choice(DICTIONARY)}{rng.choice(['.', '@', '='])}" + rng.choice(["_", "-", "/"]).join(rng.choice(DICTIONARY) for _ in range(4)) + str(rng.randint(1, 99999))
+        else:
+            line = f"{rng.choice(['id', 'ref', 'v', 'key_id', 'request', 'page', *public])}{rng.choice(['=', '=', '@', '.'])}{text}1"
         lines.append((f"{say(3)} {line} {say(3)}.", int(secret)))
     return lines
 

@@ -270,3 +270,18 @@ def test_secrets(spark):
     assert [i for i, r in sorted(found.items()) if r["n_secrets"] and i < 9] == [1, 5, 8]
     assert found[1]["secrets"] == f"{len('say token = ') + 1}:{len('say token = ') + 41}"
     assert len(found) == len(texts) and secret_report(table(spark, [])).count() == 0
+
+
+def test_secrets_without_quotes(spark):
+    rng = random.Random(6)
+    secret = "".join(rng.choices("0123456789abcdef", k=39)) + "7"
+    lines = {
+        1: f"API_KEY={secret}", 2: f"see https://host.org/list?token={secret}&page=2", 3: f"export APP_PASSWORD={secret}\nDEBUG=1", 4: f"client_secret={secret[:32]}",
+        5: f"sha1={secret}", 6: "https://www.host.org/usr/share/module42/config/settings", 7: "reader.first_second_third_name_1234", 8: f"image@commit={secret}",
+    }
+    found = {r["doc_id"]: r for r in secret_report(table(spark, list(lines.items()))).collect()}
+    assert {i: r["n_candidates"] for i, r in found.items()} == dict.fromkeys(lines, 1)
+    assert [i for i, r in sorted(found.items()) if r["n_secrets"]] == [1, 2, 3, 4]
+    for i in (1, 2, 3):
+        at = lines[i].index(secret)
+        assert found[i]["secrets"] == f"{at}:{at + len(secret)}"
