@@ -23,8 +23,8 @@ from evergrove.llm.common import let, shuffle_partitions, whole_text
 UNSPACED = "\\u3040-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7af"
 TOKEN = f"[{UNSPACED}]|[^\\s{UNSPACED}]{{1,16}}"
 
-GRAM = 5
-WINDOW = 16
+GRAM = 2
+WINDOW = 2  # small, so that a short text keeps several fingerprints
 POSITION_BITS = 27
 LOWEST = -(2**63)
 
@@ -91,9 +91,10 @@ def distinct_hashes(prints: Column) -> Column:
     return F.array_distinct(F.transform(prints, lambda p: p["hash"]))
 
 
-def with_next(rows: DataFrame, key: str, carried: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, key: str, carried: list[str], added: dict[str, Column] | None = None) -> DataFrame:
     """Add ``next_<c>`` for every carried column: the row with the next lower
-    ``key`` (after the lowest: the highest).
+    ``key`` (after the lowest: the highest).  The columns ``added`` are made
+    after the shuffle, which does not carry them; they may be ``carried``.
 
     Rows are dealt to key ranges, several to a task, whose upper bounds are keys
     that occur; the row at a range's upper bound is also sent, as a guest, to the
@@ -123,6 +124,7 @@ def with_next(rows: DataFrame, key: str, carried: list[str]) -> DataFrame:
             )
         ),
     ).select(*rows.columns, F.col("__place.r").alias("__range"), F.col("__place.guest").alias("__guest"))
+    placed = placed.repartition("__range").withColumns(added or {})
     order = Window.partitionBy("__range").orderBy("__guest", F.col(key).desc(), "__tie")
     return placed.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried]).where(~F.col("__guest")).drop("__range", "__guest")
 
@@ -170,8 +172,7 @@ def fingerprint_edits(docs: DataFrame, id_column: str = "doc_id", text_column: s
         text.alias("text"),
         F.xxhash64(text).alias("__tie"),
     )
-    printed = rows.withColumn("prints", winnow(F.col("text")))
-    paired = with_next(printed, "__key", ["text", "prints"])
+    paired = with_next(rows, "__key", ["text", "prints"], {"prints": winnow(F.col("text"))})
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     edited = paired.select(

@@ -145,6 +145,14 @@ def test_edits_of_one_document_and_of_none(spark):
     assert fingerprint_edits(table(spark, [])).count() == 0
 
 
+def test_short_edited_texts_are_alike(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(5000)]
+    rows = [(k, " ".join(rng.choices(words, k=6 + k % 34))) for k in range(102)]
+    for r in fingerprint_edits(table(spark, rows)).collect():
+        assert r["near_edited"] > r["near_next"] and len(r["fingerprint"].split()) > 1
+
+
 # --- near duplicates ----------------------------------------------------------------
 
 
