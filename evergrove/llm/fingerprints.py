@@ -2,7 +2,7 @@
 
 Tokens are runs of non-blank code points, cut every 16 code points, and single
 code points in scripts that write no blanks.  Every k consecutive tokens give a
-k-gram hash, rolled from the token hashes.  Of every window of ``window``
+k-gram hash, made anew of the k token hashes (it does not roll).  Of every window of ``window``
 consecutive hashes the smallest is chosen, the rightmost of equal ones, and its
 position is kept.  Hence any two texts that share ``window + k - 1`` consecutive
 tokens share a fingerprint, and none is chosen for less than k tokens.
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from evergrove.llm.common import let, shuffle_partitions, whole_text
 
-#: Scripts without blanks between words (kana, CJK ideographs, Hangul).
-UNSPACED = "\\u3040-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7af"
+#: Scripts without blanks between words (Thai, Lao, Burmese, Khmer,
+#: kana, CJK ideographs, Hangul).
+UNSPACED = "\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff\\u3040-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7af"
 TOKEN = f"[{UNSPACED}]|[^\\s{UNSPACED}]{{1,16}}"
 
 GRAM = 2

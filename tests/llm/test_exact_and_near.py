@@ -153,6 +153,15 @@ def test_short_edited_texts_are_alike(spark):
         assert r["near_edited"] > r["near_next"] and len(r["fingerprint"].split()) > 1
 
 
+def test_passages_of_unspaced_scripts_share_prints(spark):
+    rng = random.Random(8)
+    for first, last in ((0x0E01, 0x0E2E), (0x0E81, 0x0EAE), (0x1000, 0x1021), (0x1780, 0x17A2)):
+        some = lambda n: "".join(chr(rng.randint(first, last)) for _ in range(n))  # noqa: E731, B023
+        passage = some(64)
+        left, right = (({p["hash"] for p in r["prints"]}) for r in fingerprints(table(spark, [(1, some(32) + passage), (2, some(37) + passage)])).collect())
+        assert len(left & right) > 20
+
+
 # --- near duplicates ----------------------------------------------------------------
 
 
