@@ -196,7 +196,7 @@ def product(a: Matrix, b: Matrix) -> Matrix:
 def boundary_states(matrices: list[Matrix]) -> list[State]:
     """The best path's state at every boundary, the text's two ends included.
 
-    Products from the right by halves tell which states can still reach the end;
+    Products from the right, one after another, tell which states can still reach the end;
     the path then goes forward through the best of them."""
     suffix: list[Matrix] = [{START: {START: 0.0}}]
     for matrix in reversed(matrices):
