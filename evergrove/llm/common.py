@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,21 +16,59 @@ def read_documents(spark: SparkSession, sf_dir: str, table: str = "documents") -
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the session names in ``spark.checkpoint.dir``; only
-    where that is unset (tests, notebooks) one of our own."""
+    where that is unset and everything runs in one process (tests, notebooks) one
+    of our own.  On a cluster without it there is no folder to share: an error."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="evergrove-checkpoint-"))
     return named or context.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder.  Spark deletes the
-    files when the returned frame is no longer referenced."""
+    files after the returned frame only where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as the engine's
+    own session does; what a computation no longer needs belongs in `Scratch`."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one computation, in the shared folder.  ``drop`` deletes one
+    that is superseded, and the end of the ``with`` block deletes all: nothing
+    lazy that reads them may leave it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{checkpoint_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.folder)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str) -> None:
+        self._delete(f"{self.folder}/{name}")
+
+    def _delete(self, path: str) -> None:
+        delete_folder(self.spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,9 +11,10 @@ Within a band's bucket no list of all pairs is made.  First every class is
 compared with one centre, the smallest member of the buckets it shares most; a
 group of near copies collapses there.  What remains are buckets that still hold
 more than one component.  Their classes form families (components of sharing an
-unresolved bucket), which are cut into blocks; a task compares two blocks, skips
-pairs already connected, pairs without a common band and pairs whose sizes rule
-a link out, and returns at most one link per component it joins.
+unresolved bucket), which are cut into blocks of bounded bytes; two blocks meet only
+if they share an open bucket.  A task compares two blocks, skips pairs already
+connected, pairs without a common band and pairs whose sizes rule a link out, and
+returns at most one link per component it joins.
 """
 
 from __future__ import annotations
@@ -23,15 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evergrove.llm.common import checkpointed, whole_text
+from evergrove.llm.common import Scratch, checkpointed, whole_text
 from evergrove.llm.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 80  # percent
 BANDS, ROWS = 32, 5
-BLOCK = 128  # classes
+BLOCK = 128  # classes, and no more shingles than
+BLOCK_SHINGLES = 1_000_000  # (8 MB of hashes), unless a single text has more
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORDS = 300_000  # remembered word hashes of a worker
+_WORDS = 300_000  # remembered word hashes of a worker, of words up to
+_LONGEST = 64  # bytes, so that the memory is bounded in bytes
 
 
 def _scrambled(h: np.ndarray) -> np.ndarray:
@@ -57,9 +60,9 @@ class Shingles:
         if len(memory) > _WORDS:
             memory.clear()
         for word in words:
-            if word not in memory:
+            if word not in memory and len(word) <= _LONGEST:
                 memory[word] = digest(word)
-        hashes = np.array([memory[word] for word in words], dtype=np.uint64)
+        hashes = np.array([memory[word] if len(word) <= _LONGEST else digest(word) for word in words], dtype=np.uint64)
         with np.errstate(over="ignore"):
             reach = min(self.words, len(hashes))
             total = np.full(len(hashes) - reach + 1, reach, dtype=np.uint64)
@@ -77,8 +80,10 @@ class MinMax:
         count = -(-bands * rows // 2)
         self.a = rng.integers(0, 2**63, (count, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 2**63, (count, 1), dtype=np.uint64)
-        # a band draws from minima and maxima of different permutations
-        self.order = rng.permutation(2 * count)[: bands * rows].reshape(bands, rows)
+        # minima, then maxima, of the permutations in one order, begun half a turn
+        # later: any ``rows`` values in sequence are of different permutations
+        turn = np.roll(np.arange(count), count // 2)
+        self.order = np.concatenate([np.arange(count), count + turn])[: bands * rows].reshape(bands, rows)
         self.salt = _scrambled(np.arange(1, bands + 1, dtype=np.uint64) * _MIX)
 
     def signature(self, hashes: np.ndarray) -> np.ndarray:
@@ -139,17 +144,19 @@ def linked(shared: int, n: int, m: int, similarity: int) -> bool:
 
 
 def _groups(batches, keys: int):
-    """Rows of key-sorted batches, group by group; a key's columns come first."""
-    held, current = [], None
+    """Rows of key-sorted batches, group by group; a key's columns come first,
+    then (block, node, component, bands, hashes)."""
+    held, current = {}, None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[:keys] != current:
                 if held:
-                    yield current, held
-                current, held = row[:keys], []
-            held.append(row[keys:])
+                    yield current, list(held.values())
+                current, held = row[:keys], {}
+            # rows of one document with one set (equal bands) count once
+            held[row[keys], row[keys + 1], tuple(row[keys + 3])] = row[keys:]
     if held:
-        yield current, held
+        yield current, list(held.values())
 
 
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -170,16 +177,16 @@ def _star_links(similarity: int):
     """Groups (centre, salt) of (role, node, hashes), the centre's rows first."""
 
     def links(batches):
-        centre, sets = None, []
+        centre, sets = None, {}
         for batch in batches:
             for group, salt, role, node, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                own = np.frombuffer(packed, np.uint64)
                 if (group, salt) != centre:
-                    centre, sets = (group, salt), []
-                if role == 0:
-                    sets.append(own)
+                    centre, sets = (group, salt), {}
+                own = np.frombuffer(packed, np.uint64)
+                if role == 0:  # repeated rows of one document have one set
+                    sets[_set_key(own)] = own
                     continue
-                for other in sets:
+                for other in sets.values():
                     if linked(len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other), similarity):
                         yield node, group
                         break
@@ -188,10 +195,10 @@ def _star_links(similarity: int):
 
 
 def _block_links(similarity: int):
-    """Groups (family, a, b) of (chunk, node, component, bands, hashes)."""
+    """Groups (a, b) of (block, node, component, bands, hashes)."""
 
     def links(batches):
-        for (_, a, b), rows in _groups(batches, 3):
+        for (a, b), rows in _groups(batches, 2):
             yield from block_pairs([r[1:] for r in rows if r[0] == a], [r[1:] for r in rows if r[0] == b], a == b, similarity)
 
     return lambda batches: _link_batches(links(batches))
@@ -247,67 +254,84 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     An empty table gives an empty result.  Other columns are ignored.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.encode(whole_text(text_column), "UTF-8").alias("text"))
-    signed = checkpointed(texts.mapInArrow(_signed(words, bands, rows, False), _SIGNED))
-    usable = signed.where("n > 0 and doc_id is not null")
-    grouped = usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("c"))
-    classes = checkpointed(grouped.select("k1", "k2", F.col("c.doc_id").alias("node"), "c.bands"))
-    shared = checkpointed(_shared_buckets(classes))
-    members = shared.select(F.col("node").alias("wanted")).distinct()
-    hot = texts.join(members, F.col("doc_id") == F.col("wanted"), "left_semi")
-    sets = checkpointed(hot.mapInArrow(_signed(words, bands, rows, True), _SIGNED + ", hashes binary").select(F.col("doc_id").alias("node"), "bands", "hashes").where("length(hashes) > 0"))
-    stars = checkpointed(_compared_with_centres(shared, sets, similarity))
-    first = checkpointed(connected_components(stars))
-    rest = _compared_in_blocks(shared, sets, first, similarity)
-    final = connected_components(stars.unionAll(rest))
-    # the class of every row, then the component of every class
-    named = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("node").alias("representative"))
-    placed = signed.join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
-    labelled = placed.join(final, F.col("representative") == F.col("node"), "left")
-    component = F.coalesce("component", "representative", "doc_id")
-    return labelled.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def _shared_buckets(classes: DataFrame) -> DataFrame:
+    with Scratch(docs.sparkSession) as own:
+        signed = own.table(texts.mapInArrow(_signed(words, bands, rows, False), _SIGNED), "signed")
+        usable = signed.where("n > 0 and doc_id is not null")
+        grouped = usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("c"))
+        classes = own.table(grouped.select("k1", "k2", F.col("c.doc_id").alias("node"), "c.bands"), "classes")
+        shared = _shared_buckets(classes, own)
+        members = shared.select(F.col("node").alias("wanted")).distinct()
+        hot = texts.join(members, F.col("doc_id") == F.col("wanted"), "left_semi")
+        sets = own.table(hot.mapInArrow(_signed(words, bands, rows, True), _SIGNED + ", hashes binary").where("n > 0").select(F.col("doc_id").alias("node"), "n", "bands", "hashes"), "sets")
+        stars = _compared_with_centres(shared, sets, similarity, own)
+        first = connected_components(stars, own, "first")
+        rest = _compared_in_blocks(shared, sets, first, similarity, own)
+        named = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("node").alias("representative"))
+        same_set = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))
+        # an id with several texts is in several classes, and connects them
+        several = usable.groupBy(F.col("doc_id").alias("i")).agg(*[f(k).alias(f"{f.__name__}_{k}") for k in ("k1", "k2") for f in (F.min, F.max)]).where("min_k1 <> max_k1 or min_k2 <> max_k2")
+        several = own.table(several.select("i"), "several")
+        bridges = usable.join(several, F.col("doc_id") == F.col("i"), "left_semi").join(named, same_set).select(F.col("doc_id").alias("u"), F.col("representative").alias("v"))
+        final = connected_components(stars.unionAll(rest).unionAll(bridges), own, "final")
+        # the class of every row, then the component of every class
+        placed = signed.join(named, same_set & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
+        labelled = placed.join(final, F.col("representative") == F.col("node"), "left")
+        component = F.coalesce("component", "representative", "doc_id")
+        return checkpointed(labelled.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
+
+
+def _shared_buckets(classes: DataFrame, own: Scratch) -> DataFrame:
     """(bucket, node, centre) of buckets with more than one node."""
     rows = classes.select("node", F.explode("bands").alias("bucket"))
     ends = rows.groupBy(F.col("bucket").alias("b")).agg(F.min("node").alias("centre"), F.max("node").alias("last"))
     # written first, so that the join has shuffles of its own, which Spark can split where a bucket is large
-    centres = checkpointed(ends.where("centre <> last").drop("last"))
-    return rows.join(centres, F.col("bucket") == F.col("b")).select("bucket", "node", "centre")
+    centres = own.table(ends.where("centre <> last").drop("last"), "centres")
+    shared = own.table(rows.join(centres, F.col("bucket") == F.col("b")).select("bucket", "node", "centre"), "shared")
+    own.drop("centres")
+    return shared
 
 
-def _compared_with_centres(shared: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def _compared_with_centres(shared: DataFrame, sets: DataFrame, similarity: int, own: Scratch) -> DataFrame:
     """Links of every node with the centre that it shares most buckets with."""
-    votes = shared.where("node <> centre").groupBy("node", "centre").count()
-    best = votes.groupBy("node").agg(F.max(F.struct("count", (-F.col("centre")).alias("c"))).alias("m")).select(F.col("node").alias("member"), (-F.col("m.c")).alias("centre"))
-    salts = best.groupBy(F.col("centre").alias("hub")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
-    own = best.join(salts, F.col("centre") == F.col("hub")).select("member", "centre", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"))
-    compared = own.join(sets, F.col("member") == F.col("node")).select("centre", "salt", F.lit(1).alias("role"), "node", "hashes")
-    centres = salts.join(sets, F.col("hub") == F.col("node")).select(F.col("hub").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "node", "hashes")
+    votes = shared.where("node <> centre").groupBy(F.col("node").alias("member")).agg(F.mode("centre", True).alias("centre"))
+    best = own.table(votes, "best")
+    salts = own.table(best.groupBy(F.col("centre").alias("hub")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts")), "salts")
+    dealt_to = best.join(salts, F.col("centre") == F.col("hub")).select("member", "centre", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"))
+    narrow = sets.select("node", "hashes")
+    compared = dealt_to.join(narrow, F.col("member") == F.col("node")).select("centre", "salt", F.lit(1).alias("role"), "node", "hashes")
+    centres = salts.join(narrow, F.col("hub") == F.col("node")).select(F.col("hub").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "node", "hashes")
     dealt = centres.unionAll(compared).repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role")
-    return dealt.mapInArrow(_star_links(similarity), "u long, v long")
+    return own.table(dealt.mapInArrow(_star_links(similarity), "u long, v long"), "stars")
 
 
-def _compared_in_blocks(shared: DataFrame, sets: DataFrame, components: DataFrame, similarity: int) -> DataFrame:
+def _compared_in_blocks(shared: DataFrame, sets: DataFrame, components: DataFrame, similarity: int, own: Scratch) -> DataFrame:
     """The links that the stars have not found."""
     known = components.select(F.col("node").alias("n"), "component")
-    marked = shared.join(known, F.col("node") == F.col("n"), "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    marked = own.table(shared.join(known, F.col("node") == F.col("n"), "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "marked")
     ends = marked.groupBy(F.col("bucket").alias("b")).agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("node").alias("head"))
-    open_buckets = checkpointed(ends.where("c1 <> c2").select("b", "head"))
-    unresolved = checkpointed(marked.join(open_buckets, F.col("bucket") == F.col("b")).select("node", "component", "head").distinct())
-    families = connected_components(unresolved.select(F.col("node").alias("u"), F.col("head").alias("v")))
+    open_buckets = own.table(ends.where("c1 <> c2").select("b", "head"), "open")
+    unresolved = own.table(marked.join(open_buckets, F.col("bucket") == F.col("b")).select("bucket", "node", "component", "head"), "unresolved")
+    own.drop("marked")
+    families = connected_components(unresolved.select(F.col("node").alias("u"), F.col("head").alias("v")), own, "families")
+    sizes = sets.groupBy(F.col("node").alias("s")).agg(F.max("n").alias("n"))
     nodes = unresolved.select(F.col("node").alias("member"), F.col("component").alias("c")).distinct()
-    placed = checkpointed(nodes.join(families, F.col("member") == F.col("node")).select("member", "c", F.col("component").alias("family")))
+    placed = nodes.join(families, F.col("member") == F.col("node")).select("member", "c", F.col("component").alias("family"))
+    placed = own.table(placed.join(sizes, F.col("member") == F.col("s")).select("member", "c", "family", "n"), "placed")
     # a component of a block or more has blocks of its own, never compared with each other; small ones share blocks
-    sizes = placed.groupBy(F.col("family").alias("f"), F.col("c").alias("fc")).agg(F.count("*").alias("size")).withColumn("own", F.when(F.col("size") >= BLOCK, F.col("fc")))
-    pooled = sizes.groupBy(F.col("f").alias("pf"), F.col("own").alias("po")).agg(F.ceil(F.sum("size") / BLOCK).alias("chunks"))
-    numbered = sizes.join(pooled, (F.col("f") == F.col("pf")) & F.col("own").eqNullSafe(F.col("po"))).select("f", "fc", "own", "chunks")
-    chunk = F.xxhash64(F.coalesce("own", F.lit(-1)), F.pmod(F.xxhash64("member", F.lit(3)), F.col("chunks")))
-    chunked = checkpointed(placed.join(numbered, (F.col("family") == F.col("f")) & (F.col("c") == F.col("fc"))).select("member", "c", "family", "own", chunk.alias("chunk")))
-    lists = chunked.select("family", "chunk", "own").distinct().groupBy(F.col("family").alias("f")).agg(F.collect_list(F.struct("chunk", "own")).alias("all"))
-    partners = chunked.join(lists, F.col("family") == F.col("f")).select("member", "c", "family", "own", "chunk", F.explode("all").alias("other"))
-    # equal own components need no comparison; null own: the shared blocks
-    wanted = partners.where(F.coalesce(F.col("own") != F.col("other.own"), F.lit(True)))
-    groups = wanted.select("member", "c", "family", "chunk", F.least("chunk", "other.chunk").alias("a"), F.greatest("chunk", "other.chunk").alias("b"))
-    rows = groups.join(sets, F.col("member") == F.col("node")).select("family", "a", "b", "chunk", "member", "c", "bands", "hashes")
-    return checkpointed(rows.repartition("family", "a", "b").sortWithinPartitions("family", "a", "b").mapInArrow(_block_links(similarity), "u long, v long"))
+    fill = lambda count, n: F.greatest(F.ceil(count / BLOCK), F.ceil(n / BLOCK_SHINGLES))
+    totals = placed.groupBy(F.col("family").alias("f"), F.col("c").alias("fc")).agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    totals = own.table(totals.withColumn("own", F.when((F.col("count") >= BLOCK) | (F.col("n") >= BLOCK_SHINGLES), F.col("fc"))), "totals")
+    pooled = totals.groupBy(F.col("f").alias("pf"), F.col("own").alias("po")).agg(fill(F.sum("count"), F.sum("n")).alias("blocks"))
+    numbered = totals.join(pooled, (F.col("f") == F.col("pf")) & F.col("own").eqNullSafe(F.col("po"))).select("f", "fc", "own", "blocks")
+    block = F.xxhash64("family", F.coalesce("own", F.lit(-1)), F.pmod(F.xxhash64("member", F.lit(3)), F.col("blocks")))
+    blocks = own.table(placed.join(numbered, (F.col("family") == F.col("f")) & (F.col("c") == F.col("fc"))).select("member", "c", "own", block.alias("block")), "blocks")
+    # the blocks in every open bucket, then those pairs of them that can hold an unknown link
+    spread = unresolved.join(blocks, F.col("node") == F.col("member")).select("bucket", "block", "own").distinct()
+    spread = own.table(spread, "spread")
+    other = spread.select(F.col("bucket").alias("b"), F.col("block").alias("other"), F.col("own").alias("other_own"))
+    differ = F.coalesce(F.col("own") != F.col("other_own"), F.lit(True))
+    pairs = own.table(spread.join(other, (F.col("bucket") == F.col("b")) & (F.col("block") <= F.col("other")) & differ).select(F.col("block").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
+    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("side"))
+    rows = blocks.join(sides, F.col("block") == F.col("side")).select("a", "b", "block", "member", "c")
+    rows = rows.join(sets.select("node", "bands", "hashes"), F.col("member") == F.col("node")).select("a", "b", "block", "member", "c", "bands", "hashes")
+    return own.table(rows.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_block_links(similarity), "u long, v long"), "rest")

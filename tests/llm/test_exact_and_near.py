@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from evergrove.llm import components
 from evergrove.llm.components import connected_components
 from evergrove.llm.exact_dedup import drop_copies, exact_dedup, grace
 from evergrove.llm.fingerprints import GRAM, WINDOW, fingerprint_edits, fingerprints
@@ -222,6 +223,54 @@ def test_near_edges(spark):
     assert near_duplicates(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("rows", [[(3, "p q r s"), (3, "t u v w"), (2, "t u v w"), (5, "p q r s")], [(9, "p q r s"), (9, "t u v w"), (2, "t u v w"), (5, "p q r s"), (9, "p q r s")]])
+def test_an_id_with_several_texts_connects_their_groups(spark, rows):
+    found = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(table(spark, rows)).collect()}
+    assert found == {(i, 2, i == 2) for i, _ in rows}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_repeated_ids_are_the_brute_force(spark, seed):
+    rng = random.Random(seed)
+    texts = [t for _, t in corpus(seed, groups=25, copies=6, length=12)]
+    rows = [(rng.randrange(150), t) for t in texts for _ in range(rng.choice([1, 1, 1, 2]))]
+    want = brute_components(rows, 2)
+    assert {(r["doc_id"], r["component_id"]) for r in near_duplicates(table(spark, rows), words=2).collect()} == set(want.items())
+
+
+def test_recall_over_a_family_of_thousands(spark):
+    """Variants of few templates, most pairs near the limit: components equal the brute force's."""
+    rng = random.Random(11)
+    words, rows = [f"w{k}" for k in range(900)], []
+    for base in (rng.choices(words, k=40) for _ in range(12)):
+        for _ in range(150):
+            own = list(base)
+            for at in rng.sample(range(40), rng.randint(1, 4)):
+                own[at] = rng.choice(words)
+            rows.append((len(rows), " ".join(own)))
+    sets = {i: shingles(t, 2) for i, t in rows}
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        if i // 150 == j // 150 and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates(table(spark, rows), words=2).collect()}
+    assert found == {i: root(i) for i, _ in rows}
+
+
+def test_no_band_holds_both_ends_of_a_permutation():
+    for bands, rows in ((32, 5), (40, 5), (7, 3)):
+        minmax = MinMax(bands, rows)
+        assert all(len({int(k) % len(minmax.a) for k in band}) == rows for band in minmax.order)
+        assert len({int(k) for k in minmax.order.ravel()}) == bands * rows
+
+
 def test_min_max_estimates_are_unbiased():
     rng = random.Random(5)
     sign, cut = MinMax(bands=40, rows=5), Shingles(1)
@@ -231,10 +280,28 @@ def test_min_max_estimates_are_unbiased():
     assert abs((x == y).mean() - 240 / 360) < 0.1
 
 
-def test_connected_components(spark):
+def test_a_star_is_dealt_to_several_tasks(spark, monkeypatch):
+    """Of 100,000 edges at one node no key holds more than the bound."""
+    monkeypatch.setattr(components, "HEAVY", 50)
+    edges = spark.range(1, 100_001).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
+    turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    for star in (edges, turned):
+        plan = components._with_least(star, components._least(star), 100_000)
+        assert plan.count() == 100_000
+        found = {(r["node"], r["component"]) for r in connected_components(star).where("node % 9999 < 2").collect()}
+        assert all(c == 0 for _, c in found) and len(found) == 22
+    most = 2 * 100_000 // 50
+    salts = turned.select(F.pmod(F.xxhash64("v"), F.lit(100_000 // most)).alias("salt")).groupBy("salt").count()
+    assert salts.agg(F.max("count")).first()[0] < 1.2 * most
+
+
+@pytest.mark.parametrize("task_edges, heavy", [(200_000, 5_000), (11, 5_000), (11, 3)])
+def test_connected_components(spark, monkeypatch, task_edges, heavy):
+    monkeypatch.setattr(components, "TASK_EDGES", task_edges)
+    monkeypatch.setattr(components, "HEAVY", heavy)
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)] + [(500, k) for k in range(501, 540)]
-    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long").repartition(8)).collect()}
     parent = {n: n for e in edges for n in e}
 
     def root(n):
