@@ -87,3 +87,53 @@ def whole_text(column: str = "text") -> Column:
 def crc_fold(id_column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus`` (null id: of '')."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+SCAN = 256  # elements that one inner loop of `scanned` appends
+
+
+def scanned(items: Column, start: Column, step, output: str) -> Column:
+    """A running computation over an array, in time that grows with its length:
+    ``step(state, item)`` gives (next state, output of the type ``output``), and
+    the outputs are the result.  They are gathered block by block, since appending
+    to one long array copies it every time."""
+
+    def block(state: Column, part: Column) -> Column:
+        def one(held: Column, item: Column) -> Column:
+            after, made = step(held["state"], item)
+            return F.struct(after.alias("state"), F.concat(held["out"], F.array(made)).alias("out"))
+
+        return F.aggregate(part, F.struct(state.alias("state"), F.array().cast(f"array<{output}>").alias("out")), one)
+
+    def whole(all_items: Column) -> Column:
+        def added(held: Column, k: Column) -> Column:
+            return let(
+                block(held["state"], F.slice(all_items, k * SCAN + 1, SCAN)),
+                lambda b: F.struct(b["state"].alias("state"), F.concat(held["out"], F.array(b["out"])).alias("out")),
+            )
+
+        blocks = F.sequence(F.lit(0), ((F.size(all_items) - 1) / SCAN).cast("int"))
+        none = F.array().cast(f"array<array<{output}>>")
+        return F.aggregate(blocks, F.struct(start.alias("state"), none.alias("out")), added, lambda held: F.flatten(held["out"]))
+
+    return let(items, whole)
+
+
+CHUNK_CHARS = 1024
+
+
+def chunked(text: Column) -> Column:
+    """The text in pieces of 1,024 code points, for `piece`."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK_CHARS}}}+"), F.lit(0))
+
+
+def piece(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points [start, end) of a text given as `chunked`.  ``substring`` on a
+    text counts code points from its start; here that is a chunk's start."""
+    end = F.greatest(start, end)
+    first, last = (start / CHUNK_CHARS).cast("int"), (end / CHUNK_CHARS).cast("int")
+    part = lambda k, a, n: F.substring(F.coalesce(F.get(chunks, k), F.lit("")), a, n)
+    within = part(first, start % CHUNK_CHARS + 1, end - start)
+    between = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    across = F.concat(part(first, start % CHUNK_CHARS + 1, F.lit(CHUNK_CHARS)), between, part(last, F.lit(1), end % CHUNK_CHARS))
+    return F.when(first == last, within).otherwise(across)

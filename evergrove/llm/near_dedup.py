@@ -257,15 +257,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     with Scratch(docs.sparkSession) as own:
         signed = own.table(texts.mapInArrow(_signed(words, bands, rows, False), _SIGNED), "signed")
         usable = signed.where("n > 0 and doc_id is not null")
-        grouped = usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("c"))
-        classes = own.table(grouped.select("k1", "k2", F.col("c.doc_id").alias("node"), "c.bands"), "classes")
+        grouped = usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("c"))
+        classes = own.table(grouped.select("k1", "k2", F.col("c.doc_id").alias("node"), "c.n", "c.bands"), "classes")
         shared = _shared_buckets(classes, own)
         members = shared.select(F.col("node").alias("wanted")).distinct()
         hot = texts.join(members, F.col("doc_id") == F.col("wanted"), "left_semi")
-        sets = own.table(hot.mapInArrow(_signed(words, bands, rows, True), _SIGNED + ", hashes binary").where("n > 0").select(F.col("doc_id").alias("node"), "n", "bands", "hashes"), "sets")
+        # by rows: Parquet's pages and column batches of very long sets would not fit in memory
+        sets = checkpointed(hot.mapInArrow(_signed(words, bands, rows, True), _SIGNED + ", hashes binary").where("n > 0").select(F.col("doc_id").alias("node"), "bands", "hashes"))
         stars = _compared_with_centres(shared, sets, similarity, own)
         first = connected_components(stars, own, "first")
-        rest = _compared_in_blocks(shared, sets, first, similarity, own)
+        rest = _compared_in_blocks(classes, shared, sets, first, similarity, own)
         named = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("node").alias("representative"))
         same_set = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))
         # an id with several texts is in several classes, and connects them
@@ -304,7 +305,7 @@ def _compared_with_centres(shared: DataFrame, sets: DataFrame, similarity: int,
     return own.table(dealt.mapInArrow(_star_links(similarity), "u long, v long"), "stars")
 
 
-def _compared_in_blocks(shared: DataFrame, sets: DataFrame, components: DataFrame, similarity: int, own: Scratch) -> DataFrame:
+def _compared_in_blocks(classes: DataFrame, shared: DataFrame, sets: DataFrame, components: DataFrame, similarity: int, own: Scratch) -> DataFrame:
     """The links that the stars have not found."""
     known = components.select(F.col("node").alias("n"), "component")
     marked = own.table(shared.join(known, F.col("node") == F.col("n"), "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "marked")
@@ -313,7 +314,7 @@ def _compared_in_blocks(shared: DataFrame, sets: DataFrame, components: DataFram
     unresolved = own.table(marked.join(open_buckets, F.col("bucket") == F.col("b")).select("bucket", "node", "component", "head"), "unresolved")
     own.drop("marked")
     families = connected_components(unresolved.select(F.col("node").alias("u"), F.col("head").alias("v")), own, "families")
-    sizes = sets.groupBy(F.col("node").alias("s")).agg(F.max("n").alias("n"))
+    sizes = classes.groupBy(F.col("node").alias("s")).agg(F.max("n").alias("n"))
     nodes = unresolved.select(F.col("node").alias("member"), F.col("component").alias("c")).distinct()
     placed = nodes.join(families, F.col("member") == F.col("node")).select("member", "c", F.col("component").alias("family"))
     placed = own.table(placed.join(sizes, F.col("member") == F.col("s")).select("member", "c", "family", "n"), "placed")
