@@ -12,6 +12,9 @@ labelled findings that ``training_lines`` writes from templates.
 Loops in the patterns are possessive: Java runs those without recursion and
 without backtracking, so very long runs of digits or letters neither overflow
 the stack nor take quadratic time; they match exactly what the greedy forms do.
+Spans are placed, compared and replaced in running passes over sorted arrays, and
+their context is cut from short pieces of the text, so a text with very many
+spans takes time in proportion.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evergrove.llm.boosting import fit_boosted, fit_isotonic
-from evergrove.llm.common import let, whole_text
+from evergrove.llm.common import chunked, let, piece, scanned, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -45,7 +48,8 @@ WIDE = {
     ("card", 0): r"(?<![0-9])[0-9]{13,19}(?![0-9])",
     ("card", 1): r"(?<![0-9])[0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
     ("phone", 2): r"(?<![0-9A-Za-z+])(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
-    ("email", 3): r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]{2,63}+){1,4}",
+    ("email", 3): r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+ ?(?i:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]++(?: ?(?i:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]{2,}+)++",
+    ("phone", 5): r"(?<![0-9A-Za-z+./-])(?:0[0-9]{1,4}(?:[ /.-][0-9]{2,8}+){1,4}|[0-9]{3} [0-9]{3} [0-9]{3})(?![0-9A-Za-z])",
     ("ip", 4): r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
 }
 #: Words near a span that speak for it or against it.
@@ -77,25 +81,19 @@ def _located(text: Column, pattern: str, kind: str, form: int) -> Column:
     """All leftmost non-overlapping matches with their code-point offsets: what
     lies between matches, by ``split``, gives where each one starts."""
 
-    def placed(matches: Column, gaps: Column) -> Column:
-        def step(state: Column, k: Column) -> Column:
-            start = state["at"] + F.char_length(F.get(gaps, k))
-            match = F.get(matches, k)
-            end = start + F.char_length(match)
-            span = F.struct(
-                start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.lit(form).alias("form"), match.alias("text")
-            ).cast(SPAN)
-            return F.struct(end.alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
-
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(NO_SPANS).alias("found"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda state: state["found"])
-
-    return let(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda matches: F.when(F.size(matches) == 0, F.array().cast(NO_SPANS)).otherwise(
-            let(F.split(text, pattern, -1), lambda gaps: placed(matches, gaps))
-        ),
-    )
+    def step(at: Column, item: Column):
+        start = at + F.char_length(item["gap"])
+        end = start + F.char_length(item["match"])
+        span = F.struct(
+            start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.lit(form).alias("form"), item["match"].alias("text")
+        ).cast(SPAN)
+        return end, span
+
+    def placed(matches: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
+        return scanned(F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match"))), F.lit(0), step, SPAN)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda matches: F.when(F.size(matches) == 0, F.array().cast(NO_SPANS)).otherwise(placed(matches)))
 
 
 def _valid(span: Column) -> Column:
@@ -114,7 +112,7 @@ def base_spans(text: Column) -> Column:
 
 def wide_spans(text: Column) -> Column:
     none = F.array().cast(NO_SPANS)
-    needs = {0: text.rlike("[0-9]{13}"), 1: text.rlike("[0-9]{4}[ .-][0-9]{4}"), 2: text.rlike("[0-9]{3}[ .-][0-9]{4}"), 3: text.rlike("[(\\[{]at[)\\]}]"), 4: text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]")}
+    needs = {0: text.rlike("[0-9]{13}"), 1: text.rlike("[0-9]{4}[ .-][0-9]{4}"), 2: text.rlike("[0-9]{3}[ .-][0-9]{4}"), 3: text.rlike("(?i)[(\\[{]at[)\\]}]"), 4: text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]"), 5: text.rlike("0[0-9]{1,4}[ /.-][0-9]{2}|[0-9]{3} [0-9]{3} [0-9]{3}")}
     found = [F.when(needs[form], _located(text, pattern, kind, form)).otherwise(none) for (kind, form), pattern in WIDE.items()]
     return F.array_sort(F.concat(*found))
 
@@ -122,12 +120,12 @@ def wide_spans(text: Column) -> Column:
 FEATURES = ("form", "digits", "length", "separators", "luhn", "distinct", "first", "word_before", "word_after", "hex_around", "for", "against")
 
 
-def features(text: Column, span: Column) -> list[Column]:
-    """Format and context of a span, as doubles in the order of FEATURES."""
+def features(chunks: Column, span: Column) -> list[Column]:
+    """Format and context of a span of a `chunked` text, as doubles in the order of FEATURES."""
     digits = _digits(span["text"])
     count = F.length(digits)
-    before = F.lower(F.substring(text, F.greatest(span["start"] - 23, F.lit(1)), F.least(span["start"], F.lit(24))))
-    after = F.lower(F.substring(text, span["end"] + 1, F.lit(24)))
+    before = F.lower(piece(chunks, F.greatest(span["start"] - 24, F.lit(0)), span["start"]))
+    after = F.lower(piece(chunks, span["end"], span["end"] + 24))
     around = F.concat_ws(" ", before, after)
     return [
         c.cast("double")
@@ -170,7 +168,7 @@ def training_lines(rows: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
     bad = ["order", "invoice", "isbn", "serial", "ticket", "sku", "ref", "build", "hash", "timestamp"]
     lines = []
     for _ in range(rows):
-        kind = rng.randrange(8)
+        kind = rng.randrange(10)
         personal = rng.random() < 0.5
         near = rng.choice(good if personal else bad)
         number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
@@ -193,6 +191,16 @@ def training_lines(rows: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
         elif kind == 6:
             span = ":".join("".join(rng.choice("0123456789abcdef") for _ in range(4)) for _ in range(8))
             near = rng.choice(["ip", "host", "server", ""]) if personal else rng.choice(["hash", "sha", "commit", "serial"])
+        elif kind == 8:  # a local number, or a date
+            sep = rng.choice(" /-.")
+            if personal:
+                span = rng.choice([f"0{rng.randint(10, 9999)}{sep}{number(rng.randint(6, 8))}", "0" + sep.join([str(rng.randint(1, 9)), *(f"{rng.randint(0, 99):02d}" for _ in range(4))]), f"{rng.choice('69')}{number(2)} {number(3)} {number(3)}"])
+            else:
+                span = rng.choice([f"0{rng.randint(1, 9)}{sep}0{rng.randint(1, 9)}{sep}{rng.randint(1950, 2039)}", f"0{rng.randint(10, 99)}{sep}{number(2)}", f"{rng.randint(1, 9)}{number(2)} {number(3)} {number(3)}"])
+                near = rng.choice([*bad, "on", "about", "dated", "version"])
+        elif kind == 9:  # spelled-out addresses in capitals
+            span = f"{rng.choice('jkmst')}{rng.choice(filler)} {rng.choice(['(AT)', '[AT]', '(At)'])} {rng.choice(filler)} {rng.choice(['(DOT)', '[DOT]', '.'])} {rng.choice(['com', 'org', 'net'])}"
+            personal, near = True, rng.choice(good)
         else:  # the inside of something longer
             span, personal = f"{number(13)}", False
             near = rng.choice(['token = "', "id=", "v", "#"]) + rng.choice(["", "a3f09bc7d1e2"])
@@ -207,7 +215,7 @@ def _labelled(spark: SparkSession) -> tuple[np.ndarray, np.ndarray]:
     lines = training_lines()
     rows = spark.range(1).select(F.explode(F.from_json(F.lit(_as_json(lines)), "array<struct<line:string,label:int>>")).alias("r")).select("r.line", "r.label")
     spans = rows.select("line", "label", wide_spans(F.col("line")).alias("spans"))
-    wanted = spans.select("label", F.transform("spans", lambda s: F.array(*features(F.col("line"), s))).alias("x"))
+    wanted = spans.select("label", F.transform("spans", lambda s: F.array(*features(chunked(F.col("line")), s))).alias("x"))
     found = [(row["label"], x) for row in wanted.collect() for x in row["x"]]
     return np.array([x for _, x in found]), np.array([label for label, _ in found], dtype=float)
 
@@ -248,7 +256,7 @@ def all_spans(spark: SparkSession, text: Column, base: Column, precision: float
     model, thresholds = _fitted(spark, precision, rounds)
     wanted = [(code, t) for code, t in thresholds.items() if t != float("inf")]
 
-    def accepted(span: Column) -> Column:
+    def accepted(chunks: Column, span: Column) -> Column:
         def judged(x: Column) -> Column:
             margin = model.column([F.get(x, F.lit(k)) for k in range(len(FEATURES))])
             limit = F.lit(float("inf"))
@@ -256,26 +264,52 @@ def all_spans(spark: SparkSession, text: Column, base: Column, precision: float
                 limit = F.when(span["form"] == code, F.lit(threshold)).otherwise(limit)
             return margin >= limit
 
-        return let(F.array(*features(text, span)), judged)
+        return let(F.array(*features(chunks, span)), judged)
 
-    def meets(a: Column, b: Column) -> Column:
-        return (a["start"] < b["end"]) & (b["start"] < a["end"])
+    def chosen(known: Column, candidates: Column) -> Column:
+        clear = let(chunked(text), lambda chunks: F.filter(without_overlap(candidates, known), lambda s: accepted(chunks, s)))
+        return F.array_sort(F.concat(known, earliest(clear)))
 
     def joined(known: Column) -> Column:
-        candidates = F.filter(wide_spans(text), lambda s: ~F.exists(known, lambda b: meets(s, b)))
-        chosen = F.filter(candidates, accepted)
+        return let(wide_spans(text), lambda candidates: F.when(F.size(candidates) == 0, known).otherwise(chosen(known, candidates)))
 
-        def step(state: Column, span: Column) -> Column:
-            clear = span["start"] >= state["end"]
-            return F.struct(
-                F.when(clear, span["end"]).otherwise(state["end"]).alias("end"),
-                F.when(clear, F.concat(state["kept"], F.array(span))).otherwise(state["kept"]).alias("kept"),
-            )
+    return let(base, joined)
 
-        start = F.struct(F.lit(0).alias("end"), F.array().cast(NO_SPANS).alias("kept"))
-        return F.array_sort(F.concat(known, F.aggregate(chosen, start, step, lambda state: state["kept"])))
 
-    return let(base, joined)
+def without_overlap(spans: Column, known: Column) -> Column:
+    """Those of ``spans`` that meet none of ``known``, in order: one pass back for
+    the known span that starts next, one forward for the furthest end so far."""
+    marked = "struct<span:" + SPAN + ",known:boolean,next:int>"
+    both = F.concat(F.transform(known, lambda s: F.struct(s.alias("span"), F.lit(True).alias("known"))), F.transform(spans, lambda s: F.struct(s.alias("span"), F.lit(False).alias("known"))))
+    far = F.lit(2**31 - 1)
+
+    def back(following: Column, item: Column):
+        start = item["span"]["start"]
+        made = F.struct(item["span"].alias("span"), item["known"].alias("known"), following.alias("next")).cast(marked)
+        return F.when(item["known"], F.least(start, following)).otherwise(following), made
+
+    def forward(end: Column, item: Column):
+        span = item["span"]
+        keep = ~item["known"] & (span["start"] >= end) & (span["end"] <= item["next"])
+        return F.when(item["known"], F.greatest(end, span["end"])).otherwise(end), F.struct(span.alias("span"), keep.alias("keep")).cast(f"struct<span:{SPAN},keep:boolean>")
+
+    # a known span comes after others with its start in the way back, and before them in the way forward
+    order = lambda first: lambda a, b: F.when(a["span"]["start"] != b["span"]["start"], F.when(a["span"]["start"] < b["span"]["start"], -1).otherwise(1)).otherwise(F.when(a["known"] == b["known"], 0).when(a["known"] == F.lit(first), -1).otherwise(1))
+    backward = scanned(F.reverse(F.array_sort(both, order(False))), far, back, marked)
+    judged = scanned(F.array_sort(F.reverse(backward), order(True)), F.lit(0), forward, f"struct<span:{SPAN},keep:boolean>")
+    found = F.transform(F.filter(judged, lambda j: j["keep"]), lambda j: j["span"])
+    return F.when(F.size(known) == 0, spans).otherwise(F.array_sort(found))
+
+
+def earliest(spans: Column) -> Column:
+    """Of sorted spans the first, and every one that begins after those taken."""
+
+    def step(end: Column, span: Column):
+        clear = span["start"] >= end
+        return F.when(clear, span["end"]).otherwise(end), F.struct(span.alias("span"), clear.alias("keep")).cast(f"struct<span:{SPAN},keep:boolean>")
+
+    judged = scanned(spans, F.lit(0), step, f"struct<span:{SPAN},keep:boolean>")
+    return F.transform(F.filter(judged, lambda j: j["keep"]), lambda j: j["span"])
 
 
 def _listed(spans: Column) -> Column:
@@ -295,7 +329,7 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     names = carried or ["doc_id"]
     rows = docs.select(*own, whole_text(text_column).alias("text"))
     # most texts have no digit, no sign and no bracket that any pattern needs
-    possible = text.rlike("[0-9@+]|[(\\[{]at|[0-9A-Fa-f]:[0-9A-Fa-f]")
+    possible = text.rlike("[0-9@+]|[(\\[{][Aa][Tt]|[0-9A-Fa-f]:[0-9A-Fa-f]")
     none = F.array().cast(NO_SPANS)
     both = F.when(possible, let(base_spans(text), lambda base: F.struct(base.alias("base"), all_spans(docs.sparkSession, text, base).alias("spans")))).otherwise(
         F.struct(none.alias("base"), none.alias("spans"))
@@ -317,11 +351,13 @@ def _of(kind: str):
 def redacted(text: Column, spans: Column) -> Column:
     """The text with every span, overlapping ones as one, replaced by its kind."""
 
-    def step(state: Column, span: Column) -> Column:
-        clear = span["start"] >= state["at"]
-        piece = F.concat(F.substring(text, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0))), F.lit("["), F.upper(span["kind"]), F.lit("]"))
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(clear, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
+    def replaced(chunks: Column) -> Column:
+        def step(at: Column, span: Column):
+            clear = span["start"] >= at
+            put = F.concat(piece(chunks, at, span["start"]), F.lit("["), F.upper(span["kind"]), F.lit("]"))
+            return F.greatest(at, span["end"]), F.when(clear, put).otherwise(F.lit(""))
+
+        rest = piece(chunks, F.array_max(F.transform(spans, lambda s: s["end"])), F.char_length(text))
+        return F.concat(F.array_join(scanned(spans, F.lit(0), step, "string"), ""), rest)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = lambda state: F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.char_length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, whole))
+    return F.when(F.size(spans) == 0, text).otherwise(let(chunked(text), replaced))

@@ -10,11 +10,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from evergrove.llm.boosting import fit_boosted, fit_isotonic, sigmoid
 from evergrove.llm.forest import fit_forest, forest_share
 from evergrove.llm.lm_scoring import ALPHA, KAPPA, score_by_cross_entropy
-from evergrove.llm.pii import KINDS, find_pii, pii_report, redacted
+from evergrove.llm.pii import KINDS, NO_SPANS, earliest, find_pii, pii_report, redacted, without_overlap
 from evergrove.llm.quality import score_quality, statistics
 from evergrove.llm.secret_scan import secret_report
 from evergrove.llm.toxicity import Lexicon, score_toxicity, toxic_features
@@ -250,6 +251,56 @@ def test_added_spans(spark):
     assert "card:8:24" in found[1] and found[2].startswith("email:6:") and found[3] == "" and found[4] == ""
 
 
+def test_wide_spans_meet_no_base_span_nor_each_other(spark):
+    """The running passes against every pair."""
+    rng = random.Random(2)
+    some = lambda n: [(a, rng.randrange(4), a + rng.randint(1, 9), "phone", 0, "") for a in sorted(rng.sample(range(200), n))]
+    rows = [(k, some(rng.randint(0, 20)), some(rng.randint(0, 30))) for k in range(40)] + [(40, [(a, 0, a + 1, "ip", 0, "") for a in range(0, 2000, 3)], [(a, 0, a + 2, "ip", 0, "") for a in range(2000)])]
+    frame = spark.createDataFrame(rows, f"k int, known {NO_SPANS}, wide {NO_SPANS}")
+    for r in frame.select("k", "known", "wide", without_overlap(F.col("wide"), F.col("known")).alias("clear"), earliest(F.col("wide")).alias("first")).collect():
+        meets = lambda a, b: a["start"] < b["end"] and b["start"] < a["end"]
+        assert r["clear"] == sorted(w for w in r["wide"] if not any(meets(w, b) for b in r["known"]))
+        first = []
+        for w in r["wide"]:
+            if not first or w["start"] >= first[-1]["end"]:
+                first.append(w)
+        assert r["first"] == first
+
+
+def test_local_numbers_and_capitals(spark):
+    texts = {1: "call 030 12345678 now", 2: "tel: 06 12 34 56 78", 3: "mobile 912 345 678", 4: "REACH JO (AT) HOST (DOT) COM", 5: "on 01.02.2024 and 05/06/2020", 6: "version 0.12 of 10.04"}
+    found = {r["doc_id"]: r["spans"] for r in pii_report(table(spark, list(texts.items()))).collect()}
+    assert found[1] == "phone:5:17" and found[2] == "phone:5:19" and found[3] == "phone:7:18"
+    assert found[4].startswith("email:6:") and found[5] == found[6] == ""
+
+
+def test_time_grows_with_the_number_of_spans(spark):
+    import time
+
+    took = []
+    for n in (6_000, 12_000, 24_000):
+        docs = table(spark, [(1, "a@b.co 555 123 4567 x " * n)])
+        began = time.perf_counter()
+        found = find_pii(docs)
+        assert found.select(F.size("spans").alias("n"), F.length(redacted(found["text"], found["spans"])).alias("l")).first() == (2 * n, 18 * n)
+        took.append(time.perf_counter() - began)
+    assert took[2] < 2.6 * took[1]
+
+
+def test_redaction_over_chunks(spark):
+    rng = random.Random(1)
+    text = "".join(rng.choice(["é", "x ", "a@b.co ", "日本", "+1 555 123 4567 "]) for _ in range(3000))
+    found = find_pii(table(spark, [(1, text)]))
+    row = found.select("spans", redacted(found["text"], found["spans"]).alias("t")).first()
+    want, at = [], 0
+    for s in row["spans"]:
+        assert text[s["start"] : s["end"]] == s["text"]
+        if s["start"] >= at:
+            want += [text[at : s["start"]], f"[{s['kind'].upper()}]"]
+        at = max(at, s["end"])
+    assert row["t"] == "".join(want) + text[at:]
+
+
 def test_redaction(spark):
     rows = find_pii(table(spark, [(1, "x a@b.com y 1.2.3.4 z"), (2, None), (3, "none")]))
     found = {r["doc_id"]: r["t"] for r in rows.select("doc_id", redacted(rows["text"], rows["spans"]).alias("t")).collect()}
