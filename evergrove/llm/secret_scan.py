@@ -1,7 +1,7 @@
 """Secret scans: wide candidate patterns, a random forest against false alarms.
 
-Candidates are known key formats and any long unbroken token with a digit,
-wherever it starts: after a quote, a blank, '=', '.' or '@'.  The
+Candidates are known key formats and any unbroken token of 16 characters or
+more, wherever it starts: after a quote, a blank, '=', '.' or '@'.  The
 forest sees their length, character transitions, dictionary coverage, whether
 they are part of a path, and the words beside them.  It learns from labelled
 findings; the tables have none, so ``labelled_findings`` writes them from
@@ -20,14 +20,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evergrove.llm.common import let, whole_text
+from evergrove.llm.common import chunked, let, piece, whole_text
 from evergrove.llm.forest import fit_forest, forest_column, forest_share
 from evergrove.llm.pii import NO_SPANS, _located
 
 #: Public formats of access keys.
 KNOWN = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*+|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
 _TOKEN = "A-Za-z0-9+/_-"
-CANDIDATE = rf"{KNOWN}|(?<![{_TOKEN}])(?=[A-Za-z+/_-]{{0,200}}[0-9])[{_TOKEN}]{{16,}}+={{0,2}}"
+CANDIDATE = rf"{KNOWN}|(?<![{_TOKEN}])[{_TOKEN}]{{16,}}+={{0,2}}"
 #: Words that name a secret, or something that looks like one.
 SECRET_WORDS = "token|secret|passw|pwd|api.?key|apikey|access.?key|auth|bearer|credential|private|signing"
 PUBLIC_WORDS = "sha[0-9]*|hash|commit|md5|checksum|uuid|guid|digest|revision|etag|isbn|build|nonce|example|sample|dummy|placeholder|trace"
@@ -44,23 +44,23 @@ def candidates(text: Column) -> Column:
     return F.when(possible, _located(text, CANDIDATE, "email", 0)).otherwise(F.array().cast(NO_SPANS))
 
 
-def features(text: Column, span: Column) -> list[Column]:
-    """A candidate's features, as doubles in the order of NAMES."""
+def features(chunks: Column, span: Column) -> list[Column]:
+    """Features of a candidate in a `chunked` text, as doubles in the order of NAMES."""
     token = span["text"]
     size = F.greatest(F.char_length(token), F.lit(1))
     rest = lambda pattern: F.char_length(F.regexp_replace(token, pattern, ""))
-    before = F.lower(F.substring(text, F.greatest(span["start"] - 39, F.lit(1)), F.least(span["start"], F.lit(40))))
-    after = F.lower(F.substring(text, span["end"] + 1, F.lit(24)))
+    before = F.lower(piece(chunks, F.greatest(span["start"] - 40, F.lit(0)), span["start"]))
+    after = F.lower(piece(chunks, span["end"], span["end"] + 24))
     moved = F.regexp_replace(token, "([a-z])(?=[^a-z])|([A-Z])(?=[^A-Z])|([0-9])(?=[^0-9])", "$0 ")
     words = "|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=lambda w: (-len(w), w)))
     return [
         c.cast("double")
         for c in (
-            F.least(size, F.lit(200)),
+            size,
             (size - rest("[0-9]")) / size,
             (size - rest("[A-Z]")) / size,
             (F.char_length(moved) - size) / size,
-            F.size(F.array_distinct(F.split(F.substring(token, 1, 200), ""))) / F.least(size, F.lit(40)),
+            F.size(F.array_distinct(F.split(token, ""))) / F.least(size, F.lit(40)),
             token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"),
             (size - F.char_length(F.regexp_replace(F.lower(token), words, ""))) / size,
             token.rlike(rf"^(?:{KNOWN})"),
@@ -86,12 +86,14 @@ def labelled_findings(rows: int = 2400, seed: int = 5) -> list[tuple[str, int]]:
     say = lambda n: " ".join(rng.choice(prose) for _ in range(n))
     lines = []
     for _ in range(rows):
-        kind, secret = rng.randrange(12), rng.random() < 0.5
+        kind, secret = rng.randrange(15), rng.random() < 0.5
         text = pick(hexa, rng.choice([32, 40, 40, 64])) if rng.random() < 0.6 else pick(alnum, rng.randint(20, 48))
         text = text.upper() if rng.random() < 0.1 else text
         quote = rng.choice(['"', "'", '"', ""])
         if secret and kind < 6:
             line = f"{rng.choice(names)}{rng.choice([' = ', '=', ': '])}{quote}{text}1{quote}"
+        elif secret and kind > 11:  # letters without a digit
+            line = f"{rng.choice(names)}{rng.choice([' = ', '=', ': '])}{quote}{pick(string.ascii_letters, rng.randint(20, 48))}{quote}"
         elif secret and kind > 8:
             name = rng.choice(names)
             line = rng.choice([f"{name}={text}1", f"{name.upper()}={text}1", f"export APP_{name.upper()}={text}1", f"https://{rng.choice(DICTIONARY)}.org/list?page=2&{name}={text}1"])
@@ -115,6 +117,12 @@ def labelled_findings(rows: int = 2400, seed: int = 5) -> list[tuple[str, int]]:
             line = f"https://www.{rng.choice(DICTIONARY)}.com/" + "/".join(rng.choice(DICTIONARY) for _ in range(3)) + rng.choice([f"/{rng.randint(1, 99999)}", f"-{rng.randint(1, 2030)}", f"?id={text}1"])
         elif kind == 10:
             line = f"{rng.choice(DICTIONARY)}{rng.choice(['.', '@', '='])}" + rng.choice(["_", "-", "/"]).join(rng.choice(DICTIONARY) for _ in range(4)) + str(rng.randint(1, 99999))
+        elif kind == 12:  # long words, names of things, rules of marks
+            line = rng.choice(["".join(rng.choice(DICTIONARY) for _ in range(4)), "".join(rng.choice(DICTIONARY).title() for _ in range(4)), pick(string.ascii_lowercase[:9], rng.randint(16, 40)), rng.choice("-_/+") * rng.randint(16, 80)])
+        elif kind == 13:
+            line = rng.choice(["-", "_", "/"]).join(rng.choice(DICTIONARY) for _ in range(5))
+        elif kind == 14:
+            line = f"{rng.choice(public)}{rng.choice([' ', ': ', '='])}{pick(string.ascii_letters, rng.randint(20, 40))}"
         else:
             line = f"{rng.choice(['id', 'ref', 'v', 'key_id', 'request', 'page', *public])}{rng.choice(['=', '=', '@', '.'])}{text}1"
         lines.append((f"{say(3)} {line} {say(3)}.", int(secret)))
@@ -127,7 +135,7 @@ def _fitted(spark: SparkSession, precision: float):
     lines = json.dumps([{"line": line, "label": label} for line, label in labelled_findings()])
     rows = spark.range(1).select(F.explode(F.from_json(F.lit(lines), "array<struct<line:string,label:int>>")).alias("r")).select("r.line", "r.label")
     spans = rows.select("line", "label", candidates(F.col("line")).alias("spans"))
-    found = [(row["label"], x) for row in spans.select("label", F.transform("spans", lambda s: F.array(*features(F.col("line"), s))).alias("x")).collect() for x in row["x"]]
+    found = [(row["label"], x) for row in spans.select("label", F.transform("spans", lambda s: F.array(*features(chunked(F.col("line")), s))).alias("x")).collect() for x in row["x"]]
     x, y = np.array([f for _, f in found]), np.array([label for label, _ in found], dtype=float)
     fit = np.arange(len(y)) % 3 != 0
     forest = fit_forest(x[fit], y[fit])
@@ -147,15 +155,17 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     forest, limit = _fitted(docs.sparkSession, precision)
     text = F.col("text")
 
-    def judged(span: Column) -> Column:
+    def judged(chunks: Column, span: Column) -> Column:
         share = lambda x: forest_column(forest, [F.get(x, F.lit(k)) for k in range(len(NAMES))])
         return let(
-            let(F.array(*features(text, span)), share),
+            let(F.array(*features(chunks, span)), share),
             lambda s: F.struct(span["start"].alias("start"), span["end"].alias("end"), s.alias("share"), (s >= limit).alias("secret")),
         )
 
     rows = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"))
-    return rows.select("doc_id", let(candidates(text), lambda spans: F.transform(spans, judged)).alias("found"))
+    none = F.array().cast("array<struct<start:int,end:int,share:double,secret:boolean>>")
+    in_text = lambda spans: let(chunked(text), lambda chunks: F.transform(spans, lambda s: judged(chunks, s)))
+    return rows.select("doc_id", let(candidates(text), lambda spans: F.when(F.size(spans) == 0, none).otherwise(in_text(spans))).alias("found"))
 
 
 def secret_report(docs: DataFrame) -> DataFrame:

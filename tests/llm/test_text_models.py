@@ -323,6 +323,16 @@ def test_secrets(spark):
     assert len(found) == len(texts) and secret_report(table(spark, [])).count() == 0
 
 
+def test_long_tokens_are_candidates_wherever_their_digits_are(spark):
+    rng = random.Random(8)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=260))
+    lines = {1: f"token = '{letters}7'", 2: f"secret={letters[:40]}", 3: "Donaudampfschifffahrtsgesellschaft", 4: "-" * 70, 5: "x" * 300 + "é" + "token=" + letters[:32]}
+    found = {r["doc_id"]: r for r in secret_report(table(spark, list(lines.items()))).collect()}
+    assert {i: r["n_candidates"] for i, r in found.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 2}
+    assert [i for i, r in sorted(found.items()) if r["n_secrets"]] == [1, 2, 5]
+    assert found[1]["secrets"] == "9:270" and found[5]["secrets"] == "307:339"
+
+
 def test_secrets_without_quotes(spark):
     rng = random.Random(6)
     secret = "".join(rng.choices("0123456789abcdef", k=39)) + "7"
