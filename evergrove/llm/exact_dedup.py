@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evergrove.llm.common import whole_text
+from evergrove.llm.common import checkpointed, whole_text
 
 LOWEST = -(2**63)
 ENTRY_BYTES = 200  # of bookkeeping beside the content
@@ -42,6 +42,7 @@ class OpenTable:
         self.contents: list[str] = []
         self.keep: list[int] = []
         self.count: list[int] = []
+        self.ties: list[int] = []  # rows that have the largest id
         self.bytes = 0
 
     def _find(self, digest: bytes, content: str) -> int:
@@ -53,18 +54,22 @@ class OpenTable:
             at = (at + 1) & mask
         return at
 
-    def add(self, digest: bytes, content: str, keep: int, count: int) -> None:
+    def add(self, digest: bytes, content: str, keep: int, count: int, ties: int) -> None:
         at = self._find(digest, content)
         entry = int(self.slots[at])
         if entry >= 0:
-            self.keep[entry] = max(self.keep[entry], keep)
             self.count[entry] += count
+            if keep > self.keep[entry]:
+                self.keep[entry], self.ties[entry] = keep, ties
+            elif keep == self.keep[entry]:
+                self.ties[entry] += ties
             return
         self.slots[at] = len(self.contents)
         self.digests.append(digest)
         self.contents.append(content)
         self.keep.append(keep)
         self.count.append(count)
+        self.ties.append(ties)
         self.bytes += len(content.encode()) + ENTRY_BYTES
         if 2 * len(self.contents) > len(self.slots):
             self._grow()
@@ -78,12 +83,13 @@ class OpenTable:
                 at = (at + 1) & (size - 1)
             self.slots[at] = entry
 
-    def records(self) -> Iterator[tuple[bytes, str, int, int]]:
-        return zip(self.digests, self.contents, self.keep, self.count)
+    def records(self) -> Iterator[tuple[bytes, str, int, int, int]]:
+        return zip(self.digests, self.contents, self.keep, self.count, self.ties)
 
 
-def grace(records: Iterable[tuple[bytes, str, int, int]], memory: int, fanout: int, level: int = 0):
-    """Yield one (digest, content, keep, count) per distinct content."""
+def grace(records: Iterable[tuple[bytes, str, int, int, int]], memory: int, fanout: int, level: int = 0):
+    """Yield one (digest, content, keep, count, ties) per distinct content: the
+    largest id, the rows, and those of them that have that id."""
     table, records = OpenTable(), iter(records)
     for record in records:
         table.add(*record)
@@ -135,13 +141,13 @@ def _batches(records, schema: pa.Schema, rows: int = 2000) -> Iterator[pa.Record
 
 
 def _combiner(memory: int):
-    schema = pa.schema([("digest", pa.binary()), ("content", pa.string()), ("keep", pa.int64()), ("count", pa.int64())])
+    schema = pa.schema([("digest", pa.binary()), ("content", pa.string()), ("keep", pa.int64()), ("count", pa.int64()), ("ties", pa.int64())])
 
     def run(batches):
         def flushed():
             table = OpenTable()
             for digest, content, key in _rows(batches):
-                table.add(digest, content, key, 1)
+                table.add(digest, content, key, 1, 1)
                 if table.bytes > memory:
                     yield from table.records()
                     table = OpenTable()
@@ -153,17 +159,12 @@ def _combiner(memory: int):
 
 
 def _reducer(memory: int, fanout: int):
-    schema = pa.schema([("digest", pa.binary()), ("keep", pa.int64()), ("count", pa.int64())])
+    schema = pa.schema([("digest", pa.binary()), ("keep", pa.int64()), ("count", pa.int64()), ("ties", pa.int64())])
 
     def run(batches):
-        seen: set[bytes] = set()  # digests of one task's groups
-
         def groups():
-            for digest, _, keep, count in grace(_rows(batches), memory, fanout):
-                if digest in seen:
-                    raise ValueError("two different texts with one SHA-256 digest")
-                seen.add(digest)
-                yield digest, keep, count
+            for digest, _, keep, count, ties in grace(_rows(batches), memory, fanout):
+                yield digest, keep, count, ties
 
         return _batches(groups(), schema)
 
@@ -171,13 +172,13 @@ def _reducer(memory: int, fanout: int):
 
 
 def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", memory_mb: int = 48, fanout: int = 16) -> DataFrame:
-    """(digest, keep, count): one row per distinct content."""
+    """(digest, keep, count, ties): one row per distinct content."""
     text = whole_text(text_column)
     rows = docs.select(
         F.sha2(text, 256).alias("digest"), text.alias("content"), F.coalesce(F.col(id_column).cast("long"), F.lit(LOWEST)).alias("key")
     ).select(F.unhex("digest").alias("digest"), "content", "key")
-    combined = rows.mapInArrow(_combiner(memory_mb << 20), "digest binary, content string, keep long, count long")
-    return combined.repartition("digest").mapInArrow(_reducer(memory_mb << 20, fanout), "digest binary, keep long, count long")
+    combined = rows.mapInArrow(_combiner(memory_mb << 20), "digest binary, content string, keep long, count long, ties long")
+    return combined.repartition("digest").mapInArrow(_reducer(memory_mb << 20, fanout), "digest binary, keep long, count long, ties long")
 
 
 def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", memory_mb: int = 48, fanout: int = 16) -> DataFrame:
@@ -205,8 +206,25 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs, id_column, text_column).select(F.col("digest").alias("__digest"), F.col("keep").alias("__keep"))
-    marked = docs.withColumn("__own", F.unhex(F.sha2(whole_text(text_column), 256))).withColumn("__key", F.coalesce(F.col(id_column).cast("long"), F.lit(LOWEST)))
-    joined = marked.join(kept, (F.col("__own") == F.col("__digest")) & (F.col("__key") == F.col("__keep")), "left_semi")
-    return joined.drop("__own", "__key")
+    """One row of ``docs``, with all its columns, of each group of equal texts:
+    the one with the largest id.
+
+    A null id is below every other; null text counts as empty.  Where several
+    rows have the group's text and that id, one of them stays (they may differ
+    in other columns only); they are combined before they are shuffled.  An empty
+    table gives an empty result.
+    """
+    groups = checkpointed(exact_groups(docs, id_column, text_column)).select(F.col("digest").alias(_free(docs, "digest")), F.col("keep").alias(_free(docs, "keep")), F.col("ties").alias(_free(docs, "ties")))
+    found_digest, keep, ties = groups.columns
+    digest, key = F.unhex(F.sha2(whole_text(text_column), 256)), F.coalesce(F.col(id_column).cast("long"), F.lit(LOWEST))
+    marked = docs.join(groups, (digest == F.col(found_digest)) & (key == F.col(keep)))
+    repeated = marked.where(F.col(ties) > 1).groupBy(found_digest).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    return marked.where(F.col(ties) == 1).select(*docs.columns).unionAll(repeated.select("row.*"))
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, or what it takes not to clash with a column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name

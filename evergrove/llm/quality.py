@@ -74,17 +74,19 @@ def statistics(text: str) -> list[float]:
 
 
 def _measure(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("x", pa.list_(pa.float64()))])
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            x = [statistics(text) for text in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.list_(pa.float64()))], schema=schema)
+            x = [statistics(text) for text in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.list_(pa.float64()))], schema=schema)
 
 
 def document_statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    return rows.mapInArrow(_measure, "doc_id long, x array<double>")
+    """(doc_id, digest, x): every text's MD5 and its statistics."""
+    text = whole_text(text_column)
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.md5(F.encode(text, "UTF-8")).alias("digest"), text.alias("text"))
+    return rows.mapInArrow(_measure, "doc_id long, digest string, x array<double>")
 
 
 @dataclass
@@ -92,14 +94,14 @@ class Quadratic:
     low: np.ndarray
     high: np.ndarray
     means: list[np.ndarray]
-    factors: list[np.ndarray]  # Cholesky factors of the two covariances
+    factors: list[np.ndarray]  # inverted Cholesky factors of the two covariances, made once
     offsets: list[float]  # log prior minus half the log determinant
 
     def score(self, x: np.ndarray) -> np.ndarray:
         x = np.clip(x, self.low, self.high)
         density = []
         for mean, factor, offset in zip(self.means, self.factors, self.offsets):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = factor @ (x - mean).T
             density.append(offset - 0.5 * (z * z).sum(axis=0))
         return sigmoid(density[1] - density[0])
 
@@ -156,25 +158,27 @@ def fit_quadratic(training: DataFrame, to_pooled: float = 0.25, to_mean: float =
         shrunk = (1 - to_mean) * ((1 - to_pooled) * own + to_pooled * within) + to_mean * floor
         factor = np.linalg.cholesky(shrunk)
         means.append(mean)
-        factors.append(factor)
+        factors.append(np.linalg.inv(factor))
         offsets.append(float(np.log(n + 0.5) - np.log(np.diag(factor)).sum()))
     return Quadratic(np.array(low), np.array(high), means, factors, offsets)
 
 
 def _scorer(model: Quadratic):
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("score", pa.float64())])
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column(1).to_pylist(), dtype=float)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], schema=schema)
+                x = np.array(batch.column(2).to_pylist(), dtype=float)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(x))], schema=schema)
 
     return run
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", folds: int = 3, held_out: int = 1) -> DataFrame:
-    """Score every whole text: doc_id, held_out, score (0 to 1) and predicted.
+    """Score every whole text: doc_id, held_out, score (0 to 1), predicted and
+    ``digest``, the text's MD5: a score is the text's alone, so id and digest find
+    its rows again, null and repeated ids included.
 
     Only labelled rows outside the held-out fold (crc32 of the id's text modulo
     ``folds``) teach the classes.  Null text counts as empty; empty texts have
@@ -186,5 +190,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("labelled"), F.col("quality").cast("int").alias("label"))
     known = known.where(crc_fold("labelled", folds) != held_out)
     training = stats.join(known, F.col("doc_id") == F.col("labelled")).select("label", "x")
-    scored = stats.mapInArrow(_scorer(fit_quadratic(training)), "doc_id long, score double")
-    return scored.select("doc_id", (crc_fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = stats.mapInArrow(_scorer(fit_quadratic(training)), "doc_id long, digest string, score double")
+    return scored.select("doc_id", (crc_fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "digest")

@@ -54,24 +54,30 @@ def test_drop_copies_keeps_all_columns(spark):
     docs = table(spark, EDGES)
     kept = drop_copies(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 2, 3, 3, 4, 6, 8, 9, 10]
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 2, 3, 4, 6, 8, 9, 10]
+
+
+def test_drop_copies_beside_clashing_names(spark):
+    rows = [(1, "a", 1, 5, 0), (None, "b", 2, 6, 0), (None, "b", 2, 6, 0), (4, "a", 3, 7, 0), (4, "a", 3, 7, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest int, _digest int, ties int")
+    assert sorted(drop_copies(docs).collect(), key=lambda r: r["text"]) == [(4, "a", 3, 7, 0), (None, "b", 2, 6, 0)]
+    assert drop_copies(docs.limit(0)).count() == 0
 
 
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.text("ab", max_size=4), st.integers(0, 50)), max_size=60), st.integers(1, 2000), st.integers(2, 16))
 def test_grace_with_little_memory(rows, memory, fanout):
-    records = [(hashlib.sha256(t.encode()).digest(), t, i, 1) for t, i in rows]
-    found = {c: (k, n) for _, c, k, n in grace(records, memory, fanout)}
-    want = {}
+    records = [(hashlib.sha256(t.encode()).digest(), t, i, 1, 1) for t, i in rows]
+    found = {c: (k, n, ties) for _, c, k, n, ties in grace(records, memory, fanout)}
+    ids = {}
     for t, i in rows:
-        keep, n = want.get(t, (i, 0))
-        want[t] = (max(keep, i), n + 1)
-    assert found == want
+        ids.setdefault(t, []).append(i)
+    assert found == {t: (max(own), len(own), own.count(max(own))) for t, own in ids.items()}
 
 
 def test_grace_compares_contents():
     same = hashlib.sha256(b"same").digest()
-    assert sorted(c for _, c, _, _ in grace([(same, "a", 1, 1), (same, "b", 2, 1), (same, "a", 3, 1)], 300, 4)) == ["a", "b"]
+    assert sorted(c for _, c, *_ in grace([(same, "a", 1, 1, 1), (same, "b", 2, 1, 1), (same, "a", 3, 1, 1)], 300, 4)) == ["a", "b"]
 
 
 # --- fingerprints ------------------------------------------------------------------
