@@ -11,8 +11,10 @@ a block's start has a closed form (tokens merged by virtual finishing time, in
 integers), so the deficits that one block would carry into the next are known
 without running the first; a block's rounds run wherever a document needs them.
 A document's place in its queue comes from a running total inside the task that
-tokenised it and the totals of the tasks before it; token ids are never
-shuffled.  The last, shorter window is cut into sequences whose lengths are
+tokenised it and the totals of the tasks before it; token ids are shuffled once,
+to meet those totals.  A source whose share is less than half a token a window
+cannot be given its part of every window: all such sources, however many, are one
+queue, whose share is theirs together.  The last, shorter window is cut into sequences whose lengths are
 powers of two, so that none needs padding.
 """
 
@@ -32,6 +34,7 @@ from evergrove.llm.common import checkpointed, whole_text
 
 VIRTUAL = 1 << 62
 BLOCK = 64  # windows
+CACHE_BYTES = 32 << 20
 
 
 class Mixture:
@@ -44,8 +47,10 @@ class Mixture:
         self.total = sum(self.totals)
         self.windows = -(-self.total // capacity)
         self.horizon = max((-(-t // w) for t, w in zip(self.totals, self.weights) if w), default=1) + 1
-        self.block = lru_cache(maxsize=256)(self._block)
-        self.served_before = lru_cache(maxsize=1024)(self._served_before)
+        # what is remembered is bounded in bytes, however many queues there are
+        width = max(1, len(self.totals))
+        self.block = lru_cache(maxsize=max(2, CACHE_BYTES // (8 * (BLOCK + 1) * width)))(self._block)
+        self.served_before = lru_cache(maxsize=max(64, min(1024, CACHE_BYTES // (100 * width))))(self._served_before)
 
     def _at(self, time: int) -> list[int]:
         """Tokens of each queue that are due before virtual time ``time``."""
@@ -195,7 +200,7 @@ def _tokenise(path: str, end_id: int):
     return run
 
 
-def _cutter(queues: list[str], totals: list[int], weights, capacity: int, wide: bool):
+def _cutter(queues: list[str | None], totals: list[int], weights, capacity: int, wide: bool):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("queue", pa.string())]
     )
@@ -226,9 +231,6 @@ def queue_name(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit("")) if column else F.lit("")
 
 
-MAX_QUEUES = 4096
-
-
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", queue_column: str = "source", mixture: dict[str, float] | None = None) -> DataFrame:
     """Pack every document's tokens, and ``end_id`` after each, into sequences.
 
@@ -238,33 +240,45 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset and queue.  Null text counts as empty, and an empty
-    text is a document of one token.  Null sources form the queue ''; the
-    sources of tables with more than ``MAX_QUEUES`` of them share that many
-    queues by hash.  Repeated ids are separate documents.  An empty table gives
-    an empty result.  Other columns are ignored.
+    text is a document of one token.  Null sources form the queue ''.  Sources
+    below half a token a window, unless ``mixture`` names them, share one queue,
+    which is null in the result; their documents follow each other there in the
+    order of tasks and names.  So at most ``2 * capacity`` queues (and those of
+    ``mixture``) have a row on the driver.  Repeated ids are separate documents.
+    An empty table gives an empty result.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    queue = queue_name(queue_column)
-    if docs.select(queue.alias("q")).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        queue = F.pmod(F.xxhash64(queue), F.lit(MAX_QUEUES)).cast("string")
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), queue.alias("queue"), whole_text(text_column).alias("text"))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), queue_name(queue_column).alias("queue"), whole_text(text_column).alias("text"))
     tokens = checkpointed(
         rows.mapInArrow(_tokenise(tokenizer_path, end_id), "doc_id long, queue string, chunk long, before long, n long, ids binary")
     )
-    chunks = tokens.groupBy("queue", "chunk").agg(F.sum("n").alias("n"))
-    ahead = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = checkpointed(chunks.select("queue", "chunk", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"), "n"))
-    found = sorted(map(tuple, bases.groupBy("queue").agg(F.sum("n")).collect()))  # at most MAX_QUEUES rows
-    queues, totals = [q for q, _ in found], [n for _, n in found]
+    chunks = checkpointed(tokens.groupBy("queue", "chunk").agg(F.sum("n").alias("n")))
+    sources = chunks.groupBy("queue").agg(F.sum("n").alias("n"))
+    total = chunks.agg(F.sum("n")).first()[0] or 0
+    large = F.col("n") * (2 * capacity) >= total
+    found = sorted(map(tuple, sources.where(large | F.col("queue").isin(list(mixture)) if mixture else large).collect()))
+    queues: list[str | None] = [q for q, _ in found]
+    totals = [n for _, n in found]
+    if sum(totals) < total:
+        queues, totals = [*queues, None], [*totals, total - sum(totals)]
     weights = None
     if mixture is not None:
         known = sum(mixture.values()) or 1.0
-        weights = [max(1, round(mixture.get(q, known * n / max(1, sum(totals))) / known * (1 << 40))) for q, n in found]
+        weights = [max(1, round(mixture.get(q, known * n / max(1, total)) / known * (1 << 40))) for q, n in zip(queues, totals)]
+    own = spark.createDataFrame([(q, q) for q in queues if q is not None], "own string, label string")
+    labelled = chunks.join(F.broadcast(own), F.col("queue") == F.col("own"), "left").select("queue", "chunk", "n", "label")
+    # before a task's part of a queue come the tasks before it; within it, for the shared queue, the sources before by name
+    ahead = Window.partitionBy("l").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    starts = labelled.groupBy(F.col("label").alias("l"), F.col("chunk").alias("c")).agg(F.sum("n").alias("n")).select("l", "c", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("label", "chunk").orderBy("queue").rowsBetween(Window.unboundedPreceding, -1)
+    within = labelled.select("queue", "chunk", "label", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("within"))
+    bases = within.join(starts, F.col("label").eqNullSafe(F.col("l")) & (F.col("chunk") == F.col("c")))
+    bases = bases.select(F.col("queue").alias("q"), F.col("chunk").alias("k"), "label", (F.col("start") + F.col("within")).alias("base"))
     from tokenizers import Tokenizer
 
     wide = Tokenizer.from_file(tokenizer_path).get_vocab_size() > 1 << 16
-    placed = tokens.join(bases.select(F.col("queue").alias("q"), F.col("chunk").alias("c"), "base"), (F.col("queue") == F.col("q")) & (F.col("chunk") == F.col("c")))
-    return placed.select("doc_id", "queue", (F.col("base") + F.col("before")).alias("place"), "n", "ids").mapInArrow(
+    placed = tokens.join(bases, (F.col("queue") == F.col("q")) & (F.col("chunk") == F.col("k")))
+    return placed.select("doc_id", "label", (F.col("base") + F.col("before")).alias("place"), "n", "ids").mapInArrow(
         _cutter(queues, totals, weights, capacity, wide),
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string",
     )

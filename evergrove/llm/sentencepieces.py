@@ -17,7 +17,8 @@ from evergrove.llm.common import checkpointed, whole_text
 from evergrove.llm.piece_lattice import BLANK, START, Chunk, PieceModel, boundary_states
 
 CHUNK = 32_768  # characters
-_WORDS = 300_000
+_WORDS = 300_000  # remembered words of a worker, of up to
+_LONGEST = 64  # characters, so that the memory is bounded in bytes
 _UNIT = re.compile(" +[^ ]*")
 
 
@@ -43,14 +44,16 @@ class WordPieces:
         return self._joined([unit[1:] for unit in _UNIT.findall(words)])
 
     def _joined(self, units: list[str]) -> bytes:
-        memory = self.memory
+        memory, long = self.memory, {}
         if len(memory) > _WORDS:
             memory.clear()
         new = list({unit for unit in units if unit not in memory})
         if new:
             for unit, ids in zip(new, self.model.processor.encode(new, num_threads=1)):
                 # the library gives nothing for an empty text; here it is a blank alone
-                memory[unit] = np.array(ids, "<u4").tobytes() if unit else self.alone
+                (memory if len(unit) <= _LONGEST else long)[unit] = np.array(ids, "<u4").tobytes() if unit else self.alone
+        if long:
+            return b"".join([memory[unit] if unit in memory else long[unit] for unit in units])
         return b"".join(map(memory.__getitem__, units))
 
 

@@ -43,6 +43,7 @@ _MIXED = re.compile(r"[^\W\d_][013457@$!+|*.\-_]+[^\W\d_]|[@$013457][^\W\d_]")
 _APART = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\w)")
 REACH = 6  # words
 PREFIXES = range(3, 7)  # lengths of word beginnings
+LONGEST = 64  # characters of a word that is remembered
 
 
 class Lexicon:
@@ -59,7 +60,8 @@ class Lexicon:
                 self.memory.clear()
             terms = self.terms
             known = max(terms.get(word, 0.0), *(terms.get(f"{word[:k]}*", 0.0) if len(word) > k else 0.0 for k in PREFIXES))
-            self.memory[word] = known
+            if len(word) <= LONGEST:  # in scripts without blanks a word can be a whole text
+                self.memory[word] = known
         return known
 
 

@@ -10,6 +10,7 @@ character goes through the tokenizer itself.
 from __future__ import annotations
 
 import re
+import sys
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +21,10 @@ _LETTER = "a-zªµºÀ-ÖØ-öø-ſ"
 _NUMBER = "0-9²³¹¼-¾"
 _PRETOKEN = re.compile(f"[{_LETTER}]+|[{_NUMBER}]|'(?:[stmd]|re|ve|ll)|[^\\s{_LETTER}{_NUMBER}]+")
 
-CACHE_ENTRIES = 600_000  # a worker's memory is bounded; the cache starts anew when full
+#: A worker's memory is bounded: a cache starts anew when it is full, and longer
+#: words (whole texts, in scripts without blanks) are not remembered.
+WORDS_BYTES, PRETOKENS_BYTES, LONGEST = 96 << 20, 48 << 20, 64
+ENTRY_BYTES = 100  # of a dictionary, beside key and value
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -40,8 +44,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.alphabet = _byte_alphabet()
-        self.pretokens = _Memory(self._pretoken)
-        self.words = _Memory(self._word)
+        self.pretokens = _Memory(self._pretoken, PRETOKENS_BYTES)
+        self.words = _Memory(self._word, WORDS_BYTES)
 
     def _pretoken(self, pretoken: str) -> bytes:
         if pretoken.isascii():
@@ -52,25 +56,27 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes:
         if _OUTSIDE.search(word) is None:
-            if len(self.pretokens) > CACHE_ENTRIES:
-                self.pretokens.clear()
             return b"".join(map(self.pretokens.__getitem__, _PRETOKEN.findall(word.lower())))
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.width).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
         # blanks and line ends only: both are white space to the tokenizer, which joins nothing across them
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 class _Memory(dict):
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most, self.bytes = make, most, 0
 
     def __missing__(self, key):
-        self[key] = value = self.make(key)
+        value = self.make(key)
+        if len(key) <= LONGEST:
+            self.bytes += sys.getsizeof(key) + sys.getsizeof(value) + ENTRY_BYTES
+            if self.bytes > self.most:
+                self.clear()
+                self.bytes = 0
+            self[key] = value
         return value
 
 

@@ -1,6 +1,7 @@
 """SentencePiece scans, packing and the pipeline."""
 
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -151,6 +152,39 @@ def test_mixture_targets(spark):
     assert abs(first["a"] - 96) <= 2
 
 
+def test_many_small_sources_share_a_queue(spark):
+    """Sources below half a token a window: one queue, nothing lost, the large ones keep their share."""
+    rows = [(k, "word " * (1 + k % 9), f"s{k}") for k in range(300)] + [(1000 + k, "word " * 20, "large") for k in range(60)]
+    found = pack(documents(spark, rows).repartition(4), WORDS, capacity=32).collect()
+    sequences = check_packing([(i, t) for i, t, _ in rows], found, 32)
+    assert {r["queue"] for r in found} == {"large", None}
+    part = sum(r["length"] for r in found if r["queue"]) / sum(r["length"] for r in found)
+    for own in sequences.values():
+        if sum(n for _, n, _ in own) == 32:
+            assert abs(sum(n for _, n, q in own if q) - 32 * part) < 3
+    named = pack(documents(spark, rows), WORDS, capacity=32, mixture={"large": 1.0, "s7": 1.0}).collect()
+    check_packing([(i, t) for i, t, _ in rows], named, 32)
+    assert {r["queue"] for r in named} == {"large", "s7", None}
+
+
+def test_memories_are_bounded_in_bytes():
+    from evergrove.llm import near_dedup, sentencepieces, toxicity, word_bpe
+
+    rng = random.Random(3)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(5_000)) for _ in range(30)] + ["a " + "b" * 70_000 + " c"]
+    encoder = word_bpe.WordEncoder(WORDS)
+    encoder.words.most = 50_000
+    words, cut, lexicon = sentencepieces.WordPieces(PieceModel(PIECES)), near_dedup.Shingles(2), toxicity.Lexicon({"x": 1.0})
+    for text in [*texts, *(f"w{k} v{k}" for k in range(2_000))]:
+        encoder.encode(text)
+        words(text)
+        cut(text.encode())
+        list(map(lexicon.weight, text.split()))
+        held = sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in encoder.words.items())
+        assert held <= 50_000
+    assert all(len(w) <= 64 for memory in (words.memory, cut.memory, lexicon.memory, encoder.words, encoder.pretokens) for w in memory)
+
+
 def test_packing_edges(spark):
     assert pack(documents(spark, []), WORDS).count() == 0
     one = pack(documents(spark, [(7, None, None)]), WORDS).collect()
