@@ -193,20 +193,29 @@ def product(a: Matrix, b: Matrix) -> Matrix:
     return out
 
 
-def boundary_states(matrices: list[Matrix]) -> list[State]:
-    """The best path's state at every boundary, the text's two ends included.
+def combined(matrices: list[Matrix]) -> Matrix:
+    """The product of consecutive chunks' matrices, by halves."""
+    if len(matrices) == 1:
+        return matrices[0]
+    half = len(matrices) // 2
+    return product(combined(matrices[:half]), combined(matrices[half:]))
 
-    Products from the right, one after another, tell which states can still reach the end;
-    the path then goes forward through the best of them."""
-    suffix: list[Matrix] = [{START: {START: 0.0}}]
+
+def boundary_states(matrices: list[Matrix], first: State = START, last: State = START) -> list[State]:
+    """The best path's state at every boundary of consecutive chunks, from the
+    state ``first`` at their left end to ``last`` at their right one.
+
+    Products from the right tell which states can still reach the end; the path
+    then goes forward through the best of them."""
+    suffix: list[Matrix] = [{last: {last: 0.0}}]
     for matrix in reversed(matrices):
         reach = product(matrix, suffix[-1])
         suffix.append(reach)
     suffix.reverse()
-    states, now = [START], START
+    states, now = [first], first
     for k, matrix in enumerate(matrices):
         ahead = suffix[k + 1]
-        options = [(weight + ahead[s][START], s) for s, weight in matrix[now].items() if START in ahead.get(s, {})]
+        options = [(weight + ahead[s][last], s) for s, weight in matrix[now].items() if last in ahead.get(s, {})]
         now = max(options)[1]
         states.append(now)
     return states

@@ -1,5 +1,11 @@
 """Encoding and decoding whole texts with a SentencePiece model, giant ones in
-parallel chunks (see ``piece_lattice``).  Ids equal the library's own."""
+parallel chunks (see ``piece_lattice``).  Ids equal the library's own.
+
+The scan is a tree: transfer matrices of FAN consecutive chunks are combined into
+one, those again, up to one matrix a text, a task for every group.  On the way
+down the states at a group's two ends give those at the boundaries inside it, and
+with them every chunk finds its pieces alone.  No task sees more than FAN
+matrices of a text, however long it is."""
 
 from __future__ import annotations
 
@@ -13,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evergrove.llm.common import checkpointed, whole_text
-from evergrove.llm.piece_lattice import BLANK, START, Chunk, PieceModel, boundary_states
+from evergrove.llm.common import checkpointed, let, whole_text
+from evergrove.llm.piece_lattice import BLANK, START, Chunk, PieceModel, boundary_states, combined
 
 CHUNK = 32_768  # characters
+FAN = 16  # matrices that one task combines
+REACH = 64  # characters of its neighbours that a chunk sees
 _WORDS = 300_000  # remembered words of a worker, of up to
 _LONGEST = 64  # characters, so that the memory is bounded in bytes
 _UNIT = re.compile(" +[^ ]*")
@@ -114,25 +122,57 @@ def _matrices(path: str):
         model = worker_model(path)
         for batch in batches:
             for row, k, context, before, length, final in zip(*(c.to_pylist() for c in batch.columns)):
-                matrix = _chunk(model, context, before, length, final).matrix()
-                packed = json.dumps([[list(entry), [list(leave) for leave in row_]] for entry, row_ in matrix.items()])
+                packed = _packed(_chunk(model, context, before, length, final).matrix())
                 yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([k]), pa.array([packed])], schema=schema)
 
     return run
 
 
-def _states(key, frame):
-    """One giant text's matrices to the states at its chunks' boundaries."""
+def _packed(matrix) -> str:
+    return json.dumps([[list(entry), [[list(leave), weight] for leave, weight in row.items()]] for entry, row in matrix.items()])
+
+
+def _opened(packed: str):
+    return {tuple(entry): {tuple(leave): weight for leave, weight in row} for entry, row in json.loads(packed)}
+
+
+def _combine(key, frame):
+    """Up the tree: a group's matrices to their product."""
+    import pandas as pd
+
+    matrices = [_opened(packed) for packed in frame.sort_values("k")["matrix"]]
+    return pd.DataFrame({"row": [key[0]], "k": [key[1]], "matrix": [_packed(combined(matrices))]})
+
+
+def _divide(key, frame):
+    """Down the tree: the states at a group's ends to those at its members' ends."""
     import pandas as pd
 
     frame = frame.sort_values("k")
-    matrices = [{tuple(entry): {tuple(leave): 0.0 for leave in row} for entry, row in json.loads(packed)} for packed in frame["matrix"]]
-    states = [json.dumps(list(state)) for state in boundary_states(matrices)]
+    first, last = (tuple(json.loads(frame[end].iloc[0])) for end in ("entry", "leave"))
+    states = [json.dumps(list(state)) for state in boundary_states([_opened(packed) for packed in frame["matrix"]], first, last)]
     return pd.DataFrame({"row": key[0], "k": frame["k"], "entry": states[:-1], "leave": states[1:]})
 
 
+def chunk_states(matrices: DataFrame, last: int) -> DataFrame:
+    """(row, k, matrix) of all chunks, whose largest k is ``last``, to (row, k,
+    entry, leave): the best path's states at both ends of every chunk."""
+    levels = [matrices]
+    group = F.floor(F.col("k") / FAN)
+    while last > 0:
+        levels.append(checkpointed(levels[-1].groupBy("row", group.alias("g")).applyInPandas(_combine, "row long, k long, matrix string")))
+        last //= FAN
+    ends = json.dumps(list(START))
+    states = levels.pop().select("row", "k", F.lit(ends).alias("entry"), F.lit(ends).alias("leave"))
+    while levels:
+        above = states.select(F.col("row").alias("r"), F.col("k").alias("g"), "entry", "leave")
+        within = levels.pop().join(above, (F.col("row") == F.col("r")) & (group == F.col("g"))).select("row", "g", "k", "matrix", "entry", "leave")
+        states = checkpointed(within.groupBy("row", "g").applyInPandas(_divide, "row long, k long, entry string, leave string"))
+    return states
+
+
 def _backtrace(path: str, form: str):
-    schema = pa.schema([("row", pa.int64()), ("k", pa.int64()), *(_IDS if form == "ids" else _DIGEST)])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("part", pa.int64()), *(_IDS if form == "ids" else _DIGEST)])
 
     def run(batches):
         model, words = worker_model(path), worker_words(path)
@@ -141,9 +181,9 @@ def _backtrace(path: str, form: str):
             return np.frombuffer(words.complete(text.replace(BLANK, " ")), "<u4").tolist()
 
         for batch in batches:
-            for row, k, context, before, length, final, entry, leave in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, row, k, context, before, length, final, entry, leave in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = _chunk(model, context, before, length, final).pieces(tuple(json.loads(entry)), tuple(json.loads(leave)), complete)
-                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([k]), *_results(model, [np.array(ids, "<u4").tobytes()], [k], form)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([row]), pa.array([k]), *_results(model, [np.array(ids, "<u4").tobytes()], [k], form)], schema=schema)
 
     return run
 
@@ -164,25 +204,29 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_col
     size = F.char_length("text")
     short = rows.where(size <= chunk).mapInArrow(_encode_whole(model_path, form), f"doc_id long, {_DDL[form]}").withColumn("part", F.lit(0).cast("long"))
     # a giant row gets a number of its own, since ids may repeat; chunks carry their neighbours' edges
-    reach = 64
     marked = F.concat(F.lit(BLANK), F.translate("text", " ", BLANK))
-    giant = rows.where(size > chunk).select("doc_id", F.monotonically_increasing_id().alias("row"), marked.alias("text"))
-    n = F.char_length("text")
-    parts = giant.select("doc_id", "row", "text", n.alias("n"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk))).alias("k"))
-    begin = (F.col("k") * chunk).cast("int")
-    before = F.least(begin, F.lit(reach))
-    length = F.least(F.lit(chunk), F.col("n") - begin)
-    cut = parts.select(
-        "doc_id", "row", "k", F.substring("text", begin - before + 1, before + length + reach).alias("context"), before.alias("before"), length.alias("length"), (begin + length == F.col("n")).alias("final")
-    )
-    chunks = checkpointed(cut.repartition("row", "k"))
+    cut = F.regexp_extract_all(marked, F.lit(f"(?s).{{1,{chunk}}}+"), F.lit(0))
+    near = -(-REACH // chunk)  # neighbours that REACH takes
+
+    def in_context(parts):
+        def one(own, k):
+            left = F.right(F.array_join(F.slice(parts, F.greatest(k + 1 - near, F.lit(1)), F.least(k, F.lit(near))), ""), F.lit(REACH))
+            after = F.left(F.array_join(F.slice(parts, k + 2, F.lit(near)), ""), F.lit(REACH))
+            return F.struct(
+                k.cast("long").alias("k"), F.concat(left, own, after).alias("context"), F.char_length(left).alias("before"), F.char_length(own).alias("length"), (k == F.size(parts) - 1).alias("final")
+            )
+
+        return F.transform(parts, one)
+
+    # cut in one pass, and joined to neighbours before rows are multiplied
+    giant = rows.where(size > chunk).select("doc_id", F.monotonically_increasing_id().alias("row"), let(cut, in_context).alias("pieces"))
+    pieces = giant.select("doc_id", "row", F.explode("pieces").alias("p")).select("doc_id", "row", "p.*")
+    chunks = checkpointed(pieces.repartition("row", "k"))
     columns = ["row", "k", "context", "before", "length", "final"]
-    matrices = chunks.select(*columns).mapInArrow(_matrices(model_path), "row long, k long, matrix string")
-    states = matrices.groupBy("row").applyInPandas(_states, "row long, k long, entry string, leave string")
+    matrices = checkpointed(chunks.select(*columns).mapInArrow(_matrices(model_path), "row long, k long, matrix string"))
+    states = chunk_states(matrices, matrices.agg(F.max("k")).first()[0] or 0)
     known = chunks.join(states.select(F.col("row").alias("r"), F.col("k").alias("j"), "entry", "leave"), (F.col("row") == F.col("r")) & (F.col("k") == F.col("j")))
-    traced = known.select(*columns, "entry", "leave").mapInArrow(_backtrace(model_path, form), f"row long, k long, {_DDL[form]}")
-    named = chunks.select(F.col("row").alias("r"), F.col("k").alias("j"), "doc_id")
-    long = traced.join(named, (F.col("row") == F.col("r")) & (F.col("k") == F.col("j"))).drop("r", "j").withColumnRenamed("k", "part")
+    long = known.select("doc_id", *columns, "entry", "leave").mapInArrow(_backtrace(model_path, form), f"doc_id long, row long, part long, {_DDL[form]}")
     return short.withColumn("row", F.lit(None).cast("long")).unionByName(long)
 
 

@@ -12,8 +12,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from evergrove.llm import sentencepieces
 from evergrove.llm.packing import Mixture, pack, tail_lengths
-from evergrove.llm.piece_lattice import BLANK, START, Chunk, PieceModel, boundary_states, product
+from evergrove.llm.piece_lattice import BLANK, START, Chunk, PieceModel, boundary_states, combined, product
 from evergrove.llm.sentencepieces import WordPieces, decode, encode
 from evergrove.llm.word_bpe import WordEncoder
 
@@ -70,6 +71,42 @@ def test_products_are_associative(model):
     assert START in m[0]
 
 
+def test_combining_by_halves_is_the_fold(model):
+    text = "antidisestablishmentarianism and floccinaucinihilipilification " * 4
+    _, m = in_chunks(model, text, 7)
+    fold = m[0]
+    for matrix in m[1:]:
+        fold = product(fold, matrix)
+    assert combined(m) == fold
+    states = boundary_states(m)
+    for a in range(0, len(m), 5):
+        b = min(a + 5, len(m))
+        assert boundary_states(m[a:b], states[a], states[b]) == states[a : b + 1]
+
+
+def test_deep_trees(spark, model, monkeypatch):
+    """Groups of three matrices, up to several levels."""
+    monkeypatch.setattr(sentencepieces, "FAN", 3)
+    rows = [(1, "some ordinary words of a long text " * 60), (2, "z" * 1500), (3, "x y " * 33), (1, "again number one, " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = defaultdict(list)
+    for r in sorted(encode(docs, PIECES, chunk=50).collect(), key=lambda r: (r["row"], r["part"])):
+        found[r["row"]] += np.frombuffer(r["ids"], "<u4").tolist()
+    assert sorted(found.values()) == sorted(model.processor.encode(t) for _, t in rows)
+
+
+def test_cutting_takes_time_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (1_000_000, 2_000_000, 4_000_000):
+        docs = spark.createDataFrame([(1, "some words é " * (n // 13))], "doc_id long, text string")
+        began = time.perf_counter()
+        encode(docs, PIECES, form="digest").collect()
+        took.append(time.perf_counter() - began)
+    assert took[2] < 2.6 * took[1]
+
+
 def test_encode_and_decode_tables(spark, model):
     rows = [*enumerate(ODD), (50, None), (None, "no id"), (3, "twice"), (60, "long words " * 400), (61, "z" * 900)]
     docs = spark.createDataFrame([(i, t, 1, "r") for i, t in rows], "doc_id long, text string, part int, row string")
