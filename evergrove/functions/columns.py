@@ -347,6 +347,16 @@ def compare(op: str, a: Cell, b: Cell) -> Cell:
     return replace(cell, test=_where(_direct(op, a, b), reason))
 
 
+def starts(a: Cell, b: Cell) -> Cell:
+    """Whether a text begins with another; nothing begins with nothing."""
+    left, right = _text(a), _text(b)
+    value = F.coalesce(F.startswith(left.value, right.value), F.lit(False))
+    cell = guarded(Cell(value, "boolean", first_reason(a.reason, b.reason)))
+    if a.kind == "text" and isinstance(b.constant, str) and b.constant:  # nothing begins with no such text
+        return replace(cell, test=_where(a.value.startswith(b.constant), cell.reason))
+    return cell
+
+
 def definite_equal(a: Cell, b: Cell, match: str | None = None) -> Cell:
     """``?=`` is never unknown.  Against a bare unknown (match '*') it asks
     whether the left is unknown, against a reasoned one whether for that reason."""
@@ -396,7 +406,7 @@ def substring(t: Cell, start: Cell, length: Cell) -> Cell:
     """0-based, in bytes; the end is clamped, a start outside is unknown."""
     text, s, n = _text(t), to_number(start), to_number(length)
     size, at, count = F.octet_length(text.value), s.value.cast("int"), n.value.cast("int")
-    bad = failing((at < 0) | (at > size) | (count < 0), F.concat(F.lit("invalid substring bounds: start="), at.cast("string"), F.lit(", length="), count.cast("string"), F.lit(", text length="), size.cast("string")))
+    bad = failing((at < 0) | (at >= size) | (count < 0), F.concat(F.lit("invalid substring bounds: start="), at.cast("string"), F.lit(", length="), count.cast("string"), F.lit(" for string of length "), size.cast("string")))
     value = F.decode(F.substring(_utf8(text.value), at + 1, F.greatest(count, F.lit(0))), "UTF-8")
     return guarded(Cell(value, "text", first_reason(t.reason, s.reason, n.reason, bad)))
 
@@ -593,3 +603,35 @@ FUNCTIONS["parse_time"] = parse_time
 FUNCTIONS["add_time"] = add_time
 FUNCTIONS["format_time"] = lambda t, form: Cell(F.date_format(t.value["ts"], str(form.constant)), "text", t.reason)
 
+
+
+def random_number(*bounds: Cell) -> Cell:
+    """In [0, 1); with a bound a whole number below it, with two between them."""
+    if not bounds:
+        return Cell(F.rand(), "number")
+    numbers = [to_number(b) for b in bounds]
+    low = numbers[0].value if len(numbers) == 2 else F.lit(0.0)
+    return guarded(Cell(low + F.floor(F.rand() * (numbers[-1].value - low)), "number", first_reason(*[n.reason for n in numbers])))
+
+
+def converted(c: Cell, kind: Cell) -> Cell:
+    """To the kind that a constant names."""
+    made = {"text": _text, "number": to_number, "boolean": lambda x: Cell(truthy(x), "boolean", x.reason), "time": lambda x: parse_time(_text(x))}.get(str(kind.constant))
+    return made(c) if made else literal(model.Unknown(f"cannot convert to {kind.constant}"))
+
+
+def clock_part(part: str) -> Cell:
+    """A part of the present time, in UTC; weekdays count from Sunday, 1."""
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    numbers = {"year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute, "second": F.second, "weekday": F.dayofweek, "week": F.weekofyear, "quarter": F.quarter}
+    if part in numbers:
+        return Cell(numbers[part](now).cast("double"), "number")
+    if part == "unix":
+        return Cell(F.unix_timestamp().cast("double"), "number")
+    names = {"month_name": "MMMM", "weekday_name": "EEEE"}
+    return Cell(F.date_format(now, names[part]), "text") if part in names else literal(model.Unknown("not_found"))
+
+
+FUNCTIONS["random"] = random_number
+FUNCTIONS["convert"] = converted
+FUNCTIONS["asset"] = lambda data, mime: Cell(F.struct(_text(data).value.alias("data"), _text(mime).value.alias("mime_type")), "record", first_reason(data.reason, mime.reason))

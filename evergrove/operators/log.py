@@ -8,14 +8,16 @@ never a window over whole histories.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from datetime import UTC, datetime
+from collections.abc import Callable, Mapping, Sequence
+from datetime import UTC, datetime, timedelta
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evergrove.functions import model
 from evergrove.functions.columns import time_struct
+from evergrove.operators.visibility import hide
 
 SCHEMA = (
     "path string, ts timestamp_ntz, seq bigint, author bigint, kind string, v_text string, v_num double, v_bool boolean, "
@@ -33,13 +35,35 @@ def _keys(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def current(log: DataFrame, keys: str | Sequence[str], ts: str = "ts", seq: str = "seq") -> DataFrame:
-    """The newest instance of every key; all columns."""
-    keys = _keys(keys)
+_TIMES, _COUNTS = ("timestamp", "timestamp_ntz"), ("bigint", "int", "smallint", "tinyint")
+
+
+def instance_order(log: DataFrame, ts: str = "ts", seq: str = "seq") -> Column:
+    """What orders instances totally, for ``max_by``.  A timestamp and a whole
+    number become one decimal, microseconds high and sequence low: that fits an
+    aggregation buffer of fixed width, so numbers, times and booleans are
+    aggregated by hash, and only columns of text need the sort.  Nulls are lowest.
+    """
+    kinds = dict(log.dtypes)
+    if kinds.get(ts) not in _TIMES or kinds.get(seq) not in _COUNTS:
+        return F.struct(ts, seq)
+    lowest = F.lit(-(2**62))
+    high = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), lowest).cast("decimal(19,0)")
+    low = F.coalesce(F.col(seq).cast("bigint"), F.lit(-(2**63))).cast("decimal(19,0)")
+    return (high * F.lit(Decimal(2 * 10**19)) + low).cast("decimal(38,0)")
+
+
+def newest(log: DataFrame, keys: Sequence[str], ts: str = "ts", seq: str = "seq") -> DataFrame:
+    """The newest row of every key; the columns' order is the keys' first."""
     rest = [c for c in log.columns if c not in keys]
+    order = instance_order(log, ts, seq)
     # one aggregate per column: those that nobody reads are pruned, down to the scan
-    newest = log.groupBy(*keys).agg(*[F.max_by(c, F.struct(ts, seq)).alias(c) for c in rest])
-    return newest.select(*log.columns)
+    return log.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in rest])
+
+
+def current(log: DataFrame, keys: str | Sequence[str], ts: str = "ts", seq: str = "seq") -> DataFrame:
+    """The newest instance of every key; all columns."""
+    return newest(log, _keys(keys), ts, seq).select(*log.columns)
 
 
 def window_end(time: model.Time) -> datetime:
@@ -52,16 +76,28 @@ def as_of(log: DataFrame, keys: str | Sequence[str], time: model.Time, ts: str =
     return current(log.where(F.col(ts) < F.lit(window_end(time).isoformat(sep=" ")).cast("timestamp_ntz")), keys, ts, seq)
 
 
-def as_of_or_unknown(log: DataFrame, keys: str | Sequence[str], time: model.Time, ts: str = "ts", seq: str = "seq") -> DataFrame:
-    """As ``as_of``, with a row for every key: ``reason`` is 'no_value' where
-    the key had no instance yet.  One pass: instances after the window do not
-    compete, but their keys are seen."""
+def no_value(path: str, time: model.Time, cause: str) -> str:
+    return f"no value for {path} as of {model.time_text(time)}: {cause}"
+
+
+def no_instance(time: model.Time) -> str:
+    """The cause, up to the path, of a miss where there are later instances."""
+    last = window_end(time) - timedelta(microseconds=1)
+    return f"no instance found at timestamp {round((last - datetime(1970, 1, 1)) / timedelta(microseconds=1))} for path "
+
+
+def as_of_or_unknown(log: DataFrame, keys: str | Sequence[str], time: model.Time, ts: str = "ts", seq: str = "seq", root: str = "") -> DataFrame:
+    """As ``as_of``, with a row for every key: ``reason`` says where the key,
+    a path below ``root``, had no instance yet.  One pass: instances after the
+    window do not compete, but their keys are seen."""
     keys = _keys(keys)
+    path = F.concat_ws(".", *([F.lit(root)] if root else []), *[F.col(k).cast("string") for k in keys])
+    miss = F.concat(F.lit("no value for "), path, F.lit(f" as of {model.time_text(time)}: {no_instance(time)}["), F.replace(path, F.lit("."), F.lit(" ")), F.lit("]"))
     rest = [c for c in log.columns if c not in keys]
     within = F.col(ts) < F.lit(window_end(time).isoformat(sep=" ")).cast("timestamp_ntz")
     newest = log.groupBy(*keys).agg(F.max_by(F.when(within, F.struct(*rest)), F.when(within, F.struct(ts, seq))).alias("newest"))
     values = [F.col(f"newest.{c}").alias(c) for c in rest]
-    return newest.select(*keys, *values, F.when(F.col("newest").isNull(), F.lit("no_value")).alias("reason"))
+    return newest.select(*keys, *values, F.when(F.col("newest").isNull(), miss).alias("reason"))
 
 
 def history(log: DataFrame, keys: str | Sequence[str], ts: str = "ts", seq: str = "seq") -> DataFrame:
@@ -303,35 +339,49 @@ class InstanceLog:
             self._add(rows)
         return list(dict.fromkeys(changed))
 
-    def read_many(self, paths: Sequence[str], time: model.Time | None = None) -> dict[str, object]:
+    def _newest(self, rows: DataFrame, time: model.Time | None, hidden: Mapping | None) -> DataFrame:
+        """The newest visible instances; those whose stamp a viewer's filter
+        matches are hidden, and nothing older takes their place."""
+        found = current(rows, "path") if time is None else as_of(rows, "path", time)
+        return hide(found, F.col("stamp"), hidden) if hidden else found
+
+    def read_many(self, paths: Sequence[str], time: model.Time | None = None, hidden: Mapping | None = None) -> dict[str, object]:
         """Current (or as-of) values of the paths that have one: one scan."""
         if not paths:
             return {}
         wanted = visible(self.frame).where(F.col("path").isin(list(dict.fromkeys(paths))))
-        newest = current(wanted, "path") if time is None else as_of(wanted, "path", time)
-        return {row["path"]: value_of(row) for row in newest.collect()}
+        return {row["path"]: value_of(row) for row in self._newest(wanted, time, hidden).collect()}
 
-    def read(self, path: str, time: model.Time | None = None):
-        found = self.read_many([path], time)
+    def read(self, path: str, time: model.Time | None = None, hidden: Mapping | None = None, written: str | None = None):
+        """The value of ``path``; messages name it as it was ``written``."""
+        found = self.read_many([path], time, hidden)
         if path in found:
             return found[path]
-        if time is not None:
-            return model.Unknown(f"no value for {path} as of {model.time_text(time)}: not found")
-        return model.Unknown("not_found")
-
-    def children(self, prefix: str) -> list[str]:
-        return sorted(r["name"] for r in children(visible(self.frame), prefix).collect())
-
-    def record(self, prefix: str, time: model.Time | None = None, limit: int = 10_000):
-        """Everything below ``prefix`` as a record; too many nodes are unknown,
-        never cut."""
-        below = below_prefix(visible(self.frame), prefix)
-        newest = current(below, "path") if time is None else as_of(below, "path", time)
-        rows = newest.limit(limit + 1).collect()
-        if not rows:
+        if time is None:
             return model.Unknown("not_found")
+        named = f"[{path.replace('.', ' ')}]"
+        exists = hidden is None and not visible(self.frame).where(F.col("path") == path).isEmpty()
+        return model.Unknown(no_value(written or path, time, f"{no_instance(time)}{named}" if exists else f"path not found: {named}"))
+
+    def children(self, prefix: str, hidden: Mapping | None = None) -> list[str]:
+        """Names right below ``prefix``: one row per name comes to the driver."""
+        rows = visible(self.frame)
+        if hidden:
+            rows = self._newest(below_prefix(rows, prefix), None, hidden)
+        return sorted(r["name"] for r in children(rows, prefix).collect())
+
+    def record(self, prefix: str, time: model.Time | None = None, limit: int = 10_000, hidden: Mapping | None = None, readable: Callable[[list[str]], set[str]] | None = None):
+        """Everything below ``prefix`` as a record, without the paths that are not
+        ``readable``; too many nodes are unknown, never cut."""
+        below = below_prefix(visible(self.frame), prefix)
+        rows = self._newest(below, time, hidden).limit(limit + 1).collect()
         if len(rows) > limit:
             return model.Unknown(f"record at {prefix} exceeds the {limit}-node read limit")
+        if readable is not None and rows:
+            allowed = readable([row["path"] for row in rows])
+            rows = [row for row in rows if row["path"] in allowed]
+        if not rows:
+            return model.Unknown("not_found")
         out: dict = {}
         for row in sorted(rows, key=lambda r: r["path"]):
             parts = row["path"][len(prefix) + 1 :].split(".")
@@ -355,10 +405,12 @@ class InstanceLog:
         self.append([(f"_audit.purge_{int(now.timestamp())}", f"purged {hidden} instances of {prefix}")], author, now)
         return hidden
 
-    def extract(self, prefix: str) -> DataFrame:
-        """The subtree's current values as assignment lines."""
-        newest = current(visible(self.frame).where((F.col("path") == prefix) | F.col("path").startswith(prefix + ".")), "path")
-        return newest.select(F.concat("path", F.lit(" = "), literal_text()).alias("line"))
+    def extract(self, prefix: str, hidden: Mapping | None = None, readable: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """The subtree's current values as assignment lines; ``readable`` keeps
+        the rows whose ``path`` may be read."""
+        rows = visible(self.frame).where((F.col("path") == prefix) | F.col("path").startswith(prefix + "."))
+        found = self._newest(rows, None, hidden)
+        return (readable(found) if readable else found).select(F.concat("path", F.lit(" = "), literal_text()).alias("line"))
 
 
 def literal_text() -> Column:

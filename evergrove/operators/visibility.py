@@ -107,14 +107,28 @@ def may_by_log(log, identity: str, agent: int):
             return identity in condition
         return condition == "(Anything)" or condition == identity
 
+    home = f"world.agent.{agent}"
+
+    def many(permission: str, paths: Sequence[str]) -> set[str]:
+        """Those of ``paths`` that are allowed: one read of all their ancestors."""
+        above = {path: _upwards(path) for path in paths}
+        stored = log.read_many(list({f"{owner}.@{permission}" for owners in above.values() for owner in owners}))
+        allowed = set()
+        for path, owners in above.items():
+            nearest = next((f"{o}.@{permission}" for o in owners if f"{o}.@{permission}" in stored), None)
+            default = path == home or path.startswith(home + ".") or path.split(".")[0] == "world" and permission == "read"
+            if holds(stored[nearest]) if nearest else default:
+                allowed.add(path)
+        return allowed
+
     def may(permission: str, path: str) -> bool:
-        parts = path.split(".")
-        owners = [".".join(parts[:n]) for n in range(len(parts), 0, -1)]
-        stored = log.read_many([f"{owner}.@{permission}" for owner in owners])
-        for owner in owners:
-            if f"{owner}.@{permission}" in stored:
-                return holds(stored[f"{owner}.@{permission}"])
-        home = f"world.agent.{agent}"
-        return path == home or path.startswith(home + ".") or parts[0] == "world" and permission == "read"
+        return path in many(permission, [path])
 
+    may.many = many
     return may
+
+
+def _upwards(path: str) -> list[str]:
+    """The path and its ancestors, nearest first."""
+    parts = path.split(".")
+    return [".".join(parts[:n]) for n in range(len(parts), 0, -1)]

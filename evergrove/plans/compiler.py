@@ -86,6 +86,8 @@ def _path(node: S.Path, row: Row) -> Cell:
     if not node.plain:
         raise CompileProblem("computed path parts are not allowed in row context")
     first, *rest = node.parts
+    if node.parts[:2] == ("world", "clock") and len(node.parts) == 3:
+        return C.clock_part(node.parts[2])
     cell = row.find(first)
     if cell is None and row.variable is not None:
         value = row.variable(node.dotted())
@@ -118,6 +120,8 @@ def _binary(node: S.Binary, row: Row) -> Cell:
         return C.compare(node.op, left, right)
     if node.op == "?=":
         return C.definite_equal(left, right)
+    if node.op == "starts":
+        return C.starts(left, right)
     if node.op == "and":
         return C.both(left, right)
     if node.op == "or":
@@ -187,7 +191,11 @@ def _higher_order(node: S.Call, row: Row) -> Cell:
     """map, filter, sort and reduce over a list, with a procedure or its name."""
     base = compile_row(node.args[0], row)
     if node.name == "sort":
-        return Cell(F.array_sort(base.value), "list", base.reason, base.item)
+        if len(node.args) == 1:
+            return Cell(F.array_sort(base.value), "list", base.reason, base.item)
+        name = compile_row(node.args[1], row).constant
+        order = lambda a, b: F.when(a[name] < b[name], -1).when(a[name] > b[name], 1).otherwise(0)
+        return Cell(F.array_sort(base.value, order), "list", base.reason, base.item)
     given = node.args[1]
     procedure = given if isinstance(given, S.Procedure) else row.procedures[given.dotted()]
     element = lambda x: Cell(x.cast("double") if base.item == "number" else x, base.item or "text")
@@ -229,7 +237,7 @@ def inline(body: tuple, row: Row) -> Cell:
 def is_predicate(node: S.Node) -> bool:
     """Whether a bracket's content is a test rather than a key or an index."""
     if isinstance(node, S.Binary):
-        return node.op in (*COMPARISONS, "?=", "and", "or")
+        return node.op in (*COMPARISONS, "?=", "starts", "and", "or")
     return isinstance(node, S.Unary) and node.op == "not" or isinstance(node, S.Call)
 
 

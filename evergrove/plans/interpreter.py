@@ -7,8 +7,8 @@ import math
 import random
 import uuid as _uuid
 from calendar import monthrange
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +20,7 @@ from evergrove.functions.paths import resolve
 from evergrove.operators import log as L
 from evergrove.operators.collections import Collection
 from evergrove.operators.templates import heritage
+from evergrove.operators.visibility import hide, parse_filter
 from evergrove.plans import syntax as S
 from evergrove.plans.compiler import Row, apply_bracket, is_predicate
 from evergrove.plans.parser import parse, parse_expression
@@ -73,14 +74,22 @@ class Scope:
 class Engine:
     """Mounts, an instance log, and programs over both."""
 
-    def __init__(self, spark: SparkSession, log: L.InstanceLog | None = None, agent: int = 0, may: Callable[[str, str], bool] | None = None, stamp: dict[str, str] | None = None):
+    def __init__(self, spark: SparkSession, log: L.InstanceLog | None = None, agent: int = 0, may: Callable[[str, str], bool] | None = None, stamp: dict[str, str] | None = None, view: dict | None = None):
+        """``may(permission, path)`` is asked before every read and write; its
+        attribute ``many(permission, paths)``, if it has one, answers for many at
+        once.  ``view`` is a filter record: instances and mounted rows whose stamp
+        it matches are hidden from every read."""
         self.spark, self.agent = spark, agent
+        self.hidden = parse_filter(view) if view else None
         #: what every written instance carries; its author is always part of it
         self.stamp = {**(stamp or {}), "@author": str(agent)}
         self.log = log if log is not None else L.InstanceLog(spark)
         self.mounts: dict[str, Collection] = {}
         self.watches: list[S.Watch] = []
         self.bridges: dict[str, Engine] = {}
+        self.open = may is None
+        self.last_changes: list[str] = []
+        self.last_quiet: set[str] = set()
         self.may = may or (lambda permission, path: True)
 
     def mount(self, path: str, frame: DataFrame, key: str | None = None, ts: str | None = None, seq: str | None = None) -> None:
@@ -95,9 +104,35 @@ class Engine:
 
     # --- single calls, each checked for its permission
 
+    def readable(self, paths: Sequence[str]) -> set[str]:
+        """Those of ``paths`` that may be read."""
+        if self.open:
+            return set(paths)
+        many = getattr(self.may, "many", None)
+        return many("read", paths) if many else {path for path in paths if self.may("read", path)}
+
+    def _readable_rows(self, rows: DataFrame) -> DataFrame:
+        """Rows whose ``path`` may be read.  Paths are asked for on the driver, as
+        many as a record may have."""
+        paths = [row["path"] for row in rows.select("path").distinct().limit(MAX_STAGED + 1).collect()]
+        if len(paths) > MAX_STAGED:
+            raise PermissionError(f"more than {MAX_STAGED} paths to ask for: name a smaller part")
+        allowed = self.spark.createDataFrame([(p,) for p in self.readable(paths)], "allowed string")
+        return rows.join(allowed, F.col("path") == F.col("allowed"), "left_semi")
+
+    def collection(self, path: str) -> Collection | None:
+        """A mounted collection as this engine's viewer sees it."""
+        found = self.mounts.get(path)
+        if found is None or not self.hidden or "stamp" not in found.frame.columns:
+            return found
+        return replace(found.now(), frame=hide(found.rows, F.col("stamp"), self.hidden))
+
+    def record(self, path: str, time: model.Time | None = None):
+        return self.log.record(path, time, hidden=self.hidden, readable=None if self.open else self.readable)
+
     def read(self, path: str, time: model.Time | None = None):
-        path = self.resolve(path)
-        return self.log.read(path, time) if self.may("read", path) else Unknown("permission denied")
+        path, written = self.resolve(path), path
+        return self.log.read(path, time, self.hidden, written) if self.may("read", path) else Unknown("permission denied")
 
     def write(self, path: str, value) -> bool:
         """Whether the value was new."""
@@ -107,8 +142,13 @@ class Engine:
         return bool(self.log.append([(path, value)], self.agent, stamp=self.stamp))
 
     def children(self, path: str) -> list[str]:
+        """Names of the children that may be read."""
         path = self.resolve(path)
-        return self.log.children(path) if self.may("read", path) else []
+        if not self.may("read", path):
+            return []
+        names = self.log.children(path, self.hidden)
+        allowed = self.readable([f"{path}.{name}" for name in names])
+        return [name for name in names if f"{path}.{name}" in allowed]
 
     def purge(self, path: str, start, end) -> int:
         path = self.resolve(path)
@@ -117,8 +157,12 @@ class Engine:
         return self.log.purge(path, start, end, self.agent)
 
     def extract(self, path: str) -> DataFrame:
-        """The subtree's current values as a program that writes them again."""
-        return self.log.extract(self.resolve(path))
+        """The subtree's current values as a program that writes them again; what
+        may not be read is left out."""
+        path = self.resolve(path)
+        if not self.may("read", path):
+            raise PermissionError(path)
+        return self.log.extract(path, self.hidden, None if self.open else self._readable_rows)
 
     def query(self, text: str) -> DataFrame:
         """An expression over a mounted collection as a DataFrame."""
@@ -358,11 +402,14 @@ class Program:
         candidates = [path] if not self.base or path.startswith(self.base) else [f"{self.base}.{path}", path]
         for candidate in candidates:
             found = self._read(candidate)
-            if not isinstance(found, Unknown):
+            if not isinstance(found, Unknown) or found.reason.endswith("permission denied"):
                 return found
         if len(names) > 1:  # a field of a mounted row or of a stored record
-            owner = self.engine.mounts.get(self._absolute(names[:-1]))
+            above = self._absolute(names[:-1])
+            owner = self.engine.collection(above)
             if owner is not None:
+                if not self.engine.may("read", above):
+                    return Unknown(f"failed to read path {path}: permission denied")
                 return owner.select_key(F.lit(names[-1]))
         inherited = self._cascaded(path)
         if inherited is not None:
@@ -370,17 +417,17 @@ class Program:
         return Unknown(f"failed to read path [{' '.join(names)}]: not found") if len(names) > 1 else Unknown("not_found")
 
     def _read(self, path: str):
+        if not self.engine.may("read", path):
+            return Unknown(f"failed to read path {path}: permission denied")
         if path in self.staged:
             return self.staged[path][0]
         if path in self.engine.mounts:
-            return self.engine.mounts[path]
-        if not self.engine.may("read", path):
-            return Unknown(f"failed to read path {path}: permission denied")
-        found = self.engine.log.read(path)
+            return self.engine.collection(path)
+        found = self.engine.log.read(path, hidden=self.engine.hidden)
         if not isinstance(found, Unknown):
             return self._followed(found)
         below = {p[len(path) + 1 :]: v for p, (v, _) in self.staged.items() if p.startswith(path + ".")}
-        record = self.engine.log.record(path)
+        record = self.engine.record(path)
         if below:
             record = record if isinstance(record, dict) else {}
             for rest, value in below.items():
@@ -405,8 +452,11 @@ class Program:
         ancestors = [".".join([*above[:n], name]) for n in range(len(above), 0, -1)]
         if len(above) < 2:
             ancestors += [f"world.{name}"]
-        stored = self.engine.log.read_many([q for p in ancestors for q in (p, f"{p}.{CASCADE}")])
+        stored = self.engine.log.read_many([q for p in ancestors for q in (p, f"{p}.{CASCADE}")], hidden=self.engine.hidden)
+        allowed = self.engine.readable(ancestors)
         for p in ancestors:
+            if p not in allowed:
+                continue
             marked = self.staged.get(f"{p}.{CASCADE}", (stored.get(f"{p}.{CASCADE}"), False))[0]
             value = self.staged.get(p, (stored.get(p), False))[0]
             if marked == "true" and value is not None:
@@ -496,6 +546,8 @@ class Program:
         for v in (a, b):
             if isinstance(v, Unknown):
                 return v
+        if node.op == "starts":
+            return model.to_text(a).startswith(model.to_text(b))
         if node.op == "and":
             return model.truthy(a) and model.truthy(b)
         if node.op == "or":
@@ -527,9 +579,11 @@ class Program:
             names = self._names(node.base)
             if time is not None and not isinstance(names, Unknown) and self._absolute(names) not in self.engine.mounts and self.scope.holder(names[0]) is None:
                 path = self._absolute(names)
-                found = self.engine.log.read(path, time)
+                if not self.engine.may("read", path):
+                    return Unknown(f"failed to read path {path}: permission denied")
+                found = self.engine.log.read(path, time, self.engine.hidden, ".".join(names))
                 if isinstance(found, Unknown):
-                    record = self.engine.log.record(path, time)
+                    record = self.engine.record(path, time)
                     return record if isinstance(record, dict) else found
                 return self._followed(found)
         base = self.value(node.base)
@@ -640,6 +694,8 @@ class Program:
                     return v
         if node.name in ("map", "filter", "reduce"):
             return self._higher_order(node.name, args)
+        if node.name == "sort" and len(args) == 2:
+            return _sorted_by(*args)
         if node.name.startswith(library.PREFIX):
             return library.call(self.engine.spark, node.name[len(library.PREFIX) :], args)
         function = BUILTINS.get(node.name)
@@ -748,8 +804,8 @@ def _numbers(function):
 def _substring(v, start, length):
     raw = model.to_text(v).encode()
     s, n = math.trunc(model.to_number(start)), math.trunc(model.to_number(length))
-    if s < 0 or s > len(raw) or n < 0:
-        return Unknown(f"invalid substring bounds: start={s}, length={n}, text length={len(raw)}")
+    if s < 0 or s >= len(raw) or n < 0:
+        return Unknown(f"invalid substring bounds: start={s}, length={n} for string of length {len(raw)}")
     return raw[s : s + n].decode("utf-8", "replace")
 
 
@@ -806,6 +862,23 @@ def _convert(v, kind):
     return made(v) if made else Unknown(f"cannot convert to {kind}")
 
 
+def _place(v):
+    """What values are sorted by: their kind, then themselves."""
+    return model.kind_of(v), v if isinstance(v, (str, float, bool)) else model.to_text(v)
+
+
+def _sorted_by(items, key):
+    """A collection, or a list of records, by one of its fields; those without
+    the field come first."""
+    name = model.to_text(key)
+    if isinstance(items, Collection):
+        current = items.now()
+        return replace(current, frame=current.frame.orderBy(name)) if name in current.frame.columns else Unknown(f"field '{name}' not found in record")
+    if not isinstance(items, list) or not all(isinstance(x, dict) for x in items):
+        return Unknown(f"cannot sort {model.kind_of(items)} by a field")
+    return sorted(items, key=lambda x: (name in x, _place(x.get(name))))
+
+
 BUILTINS = {
     "len": _length,
     "length": lambda v: float(len(model.to_text(v))),
@@ -842,7 +915,7 @@ BUILTINS = {
     "output": lambda v: v,
     "is_unknown": lambda v: isinstance(v, Unknown),
     "type_of": model.kind_of,
-    "sort": lambda v: sorted(v, key=lambda x: (model.kind_of(x), x if isinstance(x, (str, float, bool)) else model.to_text(x))),
+    "sort": lambda v: sorted(v, key=_place),
     "range": lambda a, b: [float(k) for k in range(int(a), int(b) + 1)],
     "asset": lambda data, mime: {"data": data, "mime_type": mime},
 }

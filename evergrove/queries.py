@@ -122,10 +122,10 @@ def _events(spark, sf_dir):
 
 
 @query("""SELECT user_id, arg_max(value, (ts, event_id)) FILTER (ts < TIMESTAMP '2024-01-02') AS value,
-CASE WHEN count(*) FILTER (ts < TIMESTAMP '2024-01-02') = 0 THEN 'no_value' END AS reason FROM events GROUP BY user_id""")
+CASE WHEN count(*) FILTER (ts < TIMESTAMP '2024-01-02') = 0 THEN 'no value for world.users.' || user_id || ' as of 2024-01-01: no instance found at timestamp 1704153599999999 for path [world users ' || user_id || ']' END AS reason FROM events GROUP BY user_id""")
 def as_of_before_first(spark, sf_dir):
     rows = _events(spark, sf_dir).select("user_id", "ts", "event_id", "value")
-    return L.as_of_or_unknown(rows, "user_id", model.parse_time("2024-01-01"), "ts", "event_id").select("user_id", "value", "reason")
+    return L.as_of_or_unknown(rows, "user_id", model.parse_time("2024-01-01"), "ts", "event_id", "world.users").select("user_id", "value", "reason")
 
 
 @query("SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age FROM events")
@@ -364,7 +364,7 @@ derived("truthiness", "world.lineitem", ["l_orderkey", "l_linenumber"], {"a": "l
 derived("str_case", "world.part", ["p_partkey"], {"u": "upper(p_name)", "l": "lower(p_type)", "t": 'trim("  " & p_brand & " ")'},
         "SELECT p_partkey, upper(p_name) AS u, lower(p_type) AS l, p_brand AS t FROM part")
 derived("str_substring", "world.part", ["p_partkey"], {"s": "substring(p_name, 2, 4)", "out": "substring(p_name, 1000, 1)"},
-        "SELECT p_partkey, substr(p_name, 3, 4) AS s, CAST(NULL AS VARCHAR) AS s__reason, CAST(NULL AS VARCHAR) AS out, 'invalid substring bounds: start=1000, length=1, text length=' || strlen(p_name) AS out__reason FROM part")
+        "SELECT p_partkey, substr(p_name, 3, 4) AS s, CAST(NULL AS VARCHAR) AS s__reason, CAST(NULL AS VARCHAR) AS out, 'invalid substring bounds: start=1000, length=1 for string of length ' || strlen(p_name) AS out__reason FROM part")
 derived("str_find", "world.part", ["p_partkey"], {"f": 'find(p_name, "a")', "none": 'find(p_name, "~~")'},
         "SELECT p_partkey, CAST(instr(p_name, 'a') - 1 AS DOUBLE) AS f, -1::DOUBLE AS none FROM part")
 derived("str_replace", "world.part", ["p_partkey"], {"r": 'replace(p_name, "a", "<a>")'}, "SELECT p_partkey, replace(p_name, 'a', '<a>') AS r FROM part")

@@ -237,12 +237,11 @@ def _locate(f: Field, lines: list[str], low: int, high: int, types: dict[str, Cu
 
 def _repeats(section: Section, lines: list[str], low: int, high: int) -> list[tuple[int, int]]:
     """The line ranges of a repeating section's records: from one break to the
-    next; with a plain break, every line where the first field's landmark stands."""
+    next; with a plain break, from where the first field's landmark stands to where
+    it stands again."""
     inner = low + (section.starts is not None)
     mark = section.breaks or (_unquoted(section.fields[0].patterns[0]) if section.fields else "")
     starts = [k for k in range(inner, high) if mark and mark in lines[k]]
-    if section.breaks == "":
-        return [(k, k + 1) for k in starts]
     return [(k, n) for k, n in zip(starts, [*starts[1:], high])]
 
 

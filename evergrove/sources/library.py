@@ -11,6 +11,8 @@ from evergrove.functions.model import Unknown
 from evergrove.operators.collections import Collection
 from evergrove.sources import ari, files, xml
 
+#: Fixed value: bytes of a report that is read as one value.
+MAX_REPORT = 10 * 1024 * 1024
 PREFIX = "my.computer.files."
 
 
@@ -98,7 +100,11 @@ def save(spark, node, path: str, form: str, options: dict | None = None):
 
 
 def fixed_width(spark, path: str, specification: str):
-    """A report by an extraction specification: its text, or a file of it."""
+    """A report by an extraction specification: its text, or a file of it.  A
+    report comes to the driver whole, so its size has a limit."""
+    size = int(info(spark, path)["size"])
+    if size > MAX_REPORT:
+        return Unknown(f"#file_too_large: file size {size} exceeds maximum {MAX_REPORT}")
     source = specification if "\n" in specification else read(spark, specification)
     return ari.extract(ari.parse_specification(source), read(spark, path))
 

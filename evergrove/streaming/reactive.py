@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evergrove.functions import model
-from evergrove.operators.log import explode_record
+from evergrove.operators.log import explode_record, newest
 from evergrove.plans.interpreter import Engine, Program, Scope
 
 #: A tick's length and the longest cascade.
@@ -98,19 +98,20 @@ class Reactor:
         return all(model.truthy(program.value(f)) for f in watcher.filters)
 
     def tick(self) -> list[str]:
-        """One atomic tick: all triggered watchers run over the state before it;
-        their writes are committed together.  If one returns an unknown, nothing
+        """One atomic tick: all triggered watchers run over the state before it,
+        none sees another's writes; these are merged and committed together, of
+        two to one path the later watcher's.  If one returns an unknown, nothing
         is written and the changes stay for the next tick."""
         ready = self.triggered()
         staged: dict[str, tuple[object, bool]] = {}
         for watcher, bindings in ready:
             program = Program(self.engine)
-            program.staged = staged
             program.scope.names.update(bindings)
             result = program.block(watcher.body)
             if isinstance(result, model.Unknown):
                 self.problems.append(f"{watcher.name}: {result.reason}")
                 return []
+            staged |= program.staged
         self.changed, self.appended = {}, {}
         done = self.engine.log.append([(p, v) for p, (v, _) in staged.items()], self.engine.agent)
         for path in done:
@@ -143,18 +144,19 @@ def last_per_tick(changes: DataFrame, keys: Sequence[str], ts: str = "ts", seq:
     """The last write of every key in every tick."""
     ticked = changes.withColumn("tick", tick_of(F.col(ts), length_ms))
     rest = [c for c in ticked.columns if c not in (*keys, "tick")]
-    return ticked.groupBy("tick", *keys).agg(*[F.max_by(c, F.struct(ts, seq)).alias(c) for c in rest])
+    return newest(ticked, ["tick", *keys], ts, seq).select("tick", *keys, *rest)
 
 
 def triggers(changes: DataFrame, registry: DataFrame, path: str = "path") -> DataFrame:
     """(tick, name): watchers whose path, or one below it, changed in a tick.
 
     ``registry`` (name, watching, enabled).  A changed path is exploded into
-    itself and its ancestors and joined on equality: no prefix join.
+    itself and its ancestors, joined on equality (no prefix join) to the registry,
+    which is small, and only what was watched is made distinct.
     """
     parts = F.split(F.col(path), "\\.")
     upward = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
-    touched = changes.select("tick", path).distinct().select("tick", F.explode(upward).alias("ancestor")).distinct()
+    touched = changes.select("tick", F.explode(upward).alias("ancestor"))
     watching = registry.where("enabled").select("name", F.explode("watching").alias("watched"))
     return touched.join(watching, F.col("ancestor") == F.col("watched")).select("tick", "name").distinct()
 
@@ -171,10 +173,41 @@ def rolled_back(changes: DataFrame, failed: Column) -> DataFrame:
     return changes.join(bad, F.col("tick") == F.col("bad_tick"), "left_anti")
 
 
-def running_count(rows: DataFrame, keys: Sequence[str], ts: str = "ts", seq: str = "seq") -> DataFrame:
-    """Every instance with how many its key has had so far."""
-    order = Window.partitionBy(*keys).orderBy(ts, seq).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.count(F.lit(1)).over(order))
+def running_count(rows: DataFrame, keys: Sequence[str], ts: str = "ts", seq: str = "seq", ranges: int | None = None) -> DataFrame:
+    """Every instance with how many its key has had so far.
+
+    A few keys may hold all rows, so a key's history is cut into ranges of time:
+    a count per range, the sum of the ranges before, and a window inside each
+    range.  The cuts are quantiles of the times, one number per range.
+    """
+    count = ranges or 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = sorted(set(rows.agg(F.percentile_approx(at, [k / count for k in range(1, count)], max(10_000, 4 * count)).alias("cuts")).first()["cuts"] or [])) if count > 1 else []
+    # the number of cuts not after the row's time; a row without a time comes first
+    place = F.coalesce(_cuts_passed(at, cuts), F.lit(-1))
+    dealt = rows.withColumn("__range", place)
+    counts = dealt.groupBy(*keys, "__range").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__before"))
+    same = F.col("__range") == F.col("__r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    order = Window.partitionBy(*keys, "__range").orderBy(ts, seq).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(before, same).withColumn("running", F.count(F.lit(1)).over(order) + F.col("__before")).select(*rows.columns, "running")
+
+
+def _cuts_passed(at: Column, cuts: Sequence[int]) -> Column:
+    """How many of the sorted ``cuts`` are not after ``at``, by bisection over
+    one constant array."""
+    if not cuts:
+        return F.when(at.isNotNull(), F.lit(0))
+    listed = F.array(*[F.lit(c) for c in cuts])
+    passed, step = F.lit(0), 1 << (len(cuts).bit_length() - 1)
+    while step:
+        nearer = lambda n, s=step: F.when((n + s <= len(cuts)) & (F.get(listed, n + s - 1) <= at), n + s).otherwise(n)
+        passed = F.element_at(F.transform(F.array(passed), nearer), 1)
+        step >>= 1
+    return F.when(at.isNotNull(), passed)
 
 
 def cascade(changes: DataFrame, links: Sequence[tuple[Callable[[DataFrame], DataFrame], str]], rounds: int = MAX_CASCADE) -> DataFrame:
@@ -205,33 +238,40 @@ def watch_stream(stream: DataFrame, on_tick: Callable[[DataFrame, int], None], c
 
 def latest_per_stream(batch: DataFrame, stream: str, ts: str, seq: str) -> DataFrame:
     """What a push channel sends for a tick: the last value of every stream."""
-    rest = [c for c in batch.columns if c != stream]
-    return batch.groupBy(stream).agg(*[F.max_by(c, F.struct(ts, seq)).alias(c) for c in rest])
+    return newest(batch, [stream], ts, seq)
 
 
 def changed_values(stream: DataFrame, key: str, value: str, ts: str, seq: str, watermark: str | None = None) -> DataFrame:
     """Unchanged-write suppression on a stream: a key's value passes only if it
-    differs from the key's value before, across batches."""
+    differs from the key's value before, across batches.
+
+    With ``watermark`` (an interval, '10 minutes') a key whose last instance lies
+    behind it is forgotten, so that state does not grow with the keys ever seen;
+    its next value passes as a first one.  Without it nothing is forgotten.
+    """
     import pandas as pd
 
     columns = stream.columns
     out = stream.select(*columns).schema
+    marked = stream.withWatermark(ts, watermark) if watermark else stream
 
     def compare(keys, frames, state):
-        last = state.get[0] if state.exists else None
-        seen = state.exists
-        kept = []
-        for frame in frames:
-            for row in frame.sort_values([ts, seq]).itertuples(index=False):
-                own = getattr(row, value)
-                own = None if own is None or own != own else str(own)
-                if not seen or own != last:
-                    kept.append(row)
-                last, seen = own, True
-        state.update((last,))
-        yield pd.DataFrame(kept, columns=columns).astype(object) if kept else pd.DataFrame({c: pd.Series(dtype=object) for c in columns})
-
-    return stream.groupBy(key).applyInPandasWithState(compare, out, "last string", "append", "NoTimeout")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values([ts, seq])
+        own = rows[value].astype(object).where(rows[value].notna(), None).map(lambda v: None if v is None else str(v))
+        before = own.shift(1, fill_value=state.get[0] if state.exists else None)
+        same = (own == before) | (own.isna() & before.isna())
+        if not state.exists:
+            same.iloc[0] = False
+        state.update((own.iloc[-1],))
+        if watermark:
+            last = int(rows[ts].max().timestamp() * 1000) + 1
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+        yield rows.loc[~same.to_numpy(), columns]
+
+    return marked.groupBy(key).applyInPandasWithState(compare, out, "last string", "append", "EventTimeTimeout" if watermark else "NoTimeout")
 
 
 REQUESTS = "my.computer.network.web.requests"

@@ -273,3 +273,106 @@ def test_log_in_a_folder(spark, tmp_path):
     assert log.read("a.b") == 3.0 and log.frame.count() == 8
     L.compact(L.purge(log.frame, "a.c0", L.utc_now().replace(year=2000), L.utc_now().replace(year=2100)), str(tmp_path / "small"))
     assert spark.read.parquet(str(tmp_path / "small")).count() == 7
+
+
+def test_denied_reads(spark, engine):
+    """Mounts, rows of mounts, children, records, as-of reads, cascades and extracts all ask."""
+    engine.execute("world.r = {open: 1, shut: 2}\nworld.r.deep.shut = 3\nworld.tax: (cascade) = 5")
+    closed = Engine(spark, engine.log, may=lambda permission, path: False)
+    closed.mount("world.t", spark.range(3).withColumnRenamed("id", "k"), "k")
+    for source in ("world.t", "world.t[1]", "world.t..count", "world.r", "world.r.open", "world.r[@2999]", "world.x.y.tax"):
+        assert "permission denied" in closed.execute(source).reason, source
+    with pytest.raises(ValueError):
+        closed.query("world.t{k}")
+    with pytest.raises(PermissionError):
+        closed.extract("world.r")
+    partly = Engine(spark, engine.log, may=lambda permission, path: not path.endswith(".shut"))
+    assert partly.execute("world.r") == {"open": 1.0} and partly.children("world.r") == ["deep", "open"]
+    assert partly.execute("world.r[@2999]") == {"open": 1.0}
+    assert [r["line"] for r in partly.extract("world.r").collect()] == ["world.r.open = 1"]
+    only_mount = Engine(spark, may=lambda permission, path: path != "world.t")
+    only_mount.mount("world.t", spark.range(3).withColumnRenamed("id", "k"), "k")
+    assert "permission denied" in only_mount.execute("world.t.1").reason
+
+
+def test_permissions_by_log_are_asked_in_one_read(spark, monkeypatch):
+    from evergrove.operators.visibility import may_by_log
+
+    log = L.InstanceLog(spark)
+    log.append([("world.a.@read", "(Anything)"), ("world.a.b.@read", "(Nothing)"), *((f"world.a.{n}.v", 1.0) for n in "bcd")])
+    may, reads = may_by_log(log, "ann", 7), []
+    monkeypatch.setattr(log, "read_many", lambda *a, f=log.read_many, **k: reads.append(1) or f(*a, **k))
+    assert may.many("read", ["world.a.b.v", "world.a.c.v", "world.x", "my.computer.z"]) == {"world.a.c.v", "world.x"} and len(reads) == 1
+    assert Engine(spark, log, 7, may).execute("world.a") == {"c": {"v": 1.0}, "d": {"v": 1.0}}
+
+
+def test_views_hide_what_their_filter_matches(spark):
+    log = L.InstanceLog(spark)
+    log.append([("world.p.a", 1.0)], stamp={"zone": "eu"})
+    log.append([("world.p.b", 2.0)], stamp={"zone": "us"})
+    log.append([("world.p.b", 3.0)], stamp={"zone": "eu"})
+    viewer = Engine(spark, log, view={"zone": "eu"})
+    assert isinstance(viewer.execute("world.p.a"), Unknown) and viewer.children("world.p") == []
+    log.append([("world.p.a", 4.0)], stamp={"zone": "us"})
+    assert viewer.execute("world.p") == {"a": 4.0} and Engine(spark, log).execute("world.p") == {"a": 4.0, "b": 3.0}
+
+
+def test_as_of_misses_name_their_cause(spark, engine):
+    engine.execute("my.v = 1")
+    assert engine.execute("my.v[@2001-02-03]") == Unknown("no value for my.v as of 2001-02-03: no instance found at timestamp 981244799999999 for path [world agent 1 v]")
+    assert engine.execute("my.w[@2001]") == Unknown("no value for my.w as of 2001: path not found: [world agent 1 w]")
+
+
+@pytest.mark.parametrize("text, value", [('"abcd" starts "ab"', True), ('"abcd" starts "b"', False), ("12 starts 1", True), ('not ("a" starts "b") and "a" starts ""', True)])
+def test_starts(spark, engine, text, value):
+    from evergrove.plans.compiler import Row, compile_row
+
+    assert engine.execute(text) is value
+    assert spark.range(1).select(compile_row(parse_expression(text), Row()).value.alias("v")).first()["v"] is value
+
+
+def test_starts_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "abc"), (2, "xyz"), (3, None)], "k long, w string").write.parquet(path)
+    engine = Engine(spark)
+    engine.mount("world.t", spark.read.parquet(path), "k")
+    found = engine.query('world.t[w starts "ab"]{k}')
+    assert "StringStartsWith(w,ab)" in found._jdf.queryExecution().executedPlan().toString() and [r["k"] for r in found.collect()] == [1]
+
+
+def test_sorting_by_a_field(spark, mounted):
+    assert mounted.execute('map(sort([{n: 2, v: "b"}, {n: 1, v: "a"}, {v: "c"}], "n"), procedure(r): r.v)') == ["c", "a", "b"]
+    assert [r["name"] for r in mounted.query('sort(world.staff, "age")').collect()] == ["alice", "carol", "bob"]
+    assert mounted.execute('sort(world.staff, "x")') == Unknown("field 'x' not found in record")
+
+
+def test_functions_in_row_context(spark, mounted):
+    from evergrove.plans.compiler import Row, compile_row
+
+    rows = mounted.mounts["world.staff"]
+    value = lambda text: [r["v"] for r in rows.rows.orderBy("name").select(compile_row(parse_expression(text), Row(rows)).value.alias("v")).collect()]
+    assert all(0 <= v < 25 and v == int(v) for v in value("random(25)")) and all(5 <= v < 9 for v in value("random(5, 9)")) and all(0 <= v < 1 for v in value("random()"))
+    assert value('convert(age, "text")') == ["25", "40", "35"] and value('convert("7", "number") + age') == [32.0, 47.0, 42.0]
+    assert value('asset(name, "text/plain").data') == ["alice", "bob", "carol"]
+    assert all(v >= 2024 for v in value("world.clock.year")) and all(1 <= v <= 7 for v in value("world.clock.weekday"))
+
+
+def test_newest_per_key_is_aggregated_by_hash(spark, tmp_path):
+    path = str(tmp_path / "h")
+    rows = [(k % 3, f"2024-01-0{1 + k % 4}", k, float(k), str(k)) for k in range(40)] + [(7, None, 1, 1.0, "a"), (7, None, None, 2.0, "b"), (8, "2024-01-01", None, 3.0, "c"), (8, "2024-01-01", -5, 4.0, "d")]
+    spark.createDataFrame(rows, "k long, day string, seq long, v double, w string").selectExpr("k", "to_timestamp_ntz(day) ts", "seq", "v", "w").write.parquet(path)
+    log = spark.read.parquet(path)
+    plan = L.current(log, "k").select("k", "v", "ts")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    by_struct = log.groupBy("k").agg(*[L.F.max_by(c, L.F.struct("ts", "seq")).alias(c) for c in ("ts", "seq", "v", "w")])
+    assert sorted(map(tuple, L.current(log, "k").collect())) == sorted(map(tuple, by_struct.collect()))
+
+
+def test_parse_errors_leave_the_engine_usable(engine):
+    assert "parse error" in engine.execute("a = (").reason and engine.last_changes == []
+
+
+def test_reports_have_a_limit(engine, tmp_path):
+    (tmp_path / "r.txt").write_bytes(b"x" * (10 * 1024 * 1024 + 1))
+    (tmp_path / "r.ari").write_text('section s:\n    field id: right 4 same: "ID:"\n')
+    assert engine.execute(f'my.computer.files.import_fixed_width("{tmp_path}/r.txt", "{tmp_path}/r.ari")') == Unknown("#file_too_large: file size 10485761 exceeds maximum 10485760")

@@ -89,6 +89,16 @@ def test_tick_rolls_back_and_retries(reactor):
     assert reactor.engine.execute("my.out") == 1.0
 
 
+@pytest.mark.parametrize("order", ["see touch", "touch see"])
+def test_watchers_of_a_tick_do_not_see_each_other(reactor, order):
+    reactor.write("my.out = 7")
+    bodies = {"see": "watch see (my.s): my.seen = my.out", "touch": "watch touch (my.s): my.out = 1"}
+    reactor.write("\n".join(bodies[name] for name in order.split()))
+    reactor.write("my.s = 1")
+    assert sorted(reactor.tick()) == ["see", "touch"]
+    assert reactor.engine.execute("my.seen") == 7.0 and reactor.engine.execute("my.out") == 1.0
+
+
 def test_append_watcher_sees_all_items(reactor):
     reactor.write("log.w: watch append (my.events[value > 10]) as items: my.seen = items..count")
     for value in (5.0, 11.0, 12.0):
@@ -197,3 +207,38 @@ def test_files(spark, tmp_path):
     path = str(tmp_path / "x")
     xml.write_xml(frame, path, "row")
     assert sorted(map(tuple, xml.read_xml(spark, path, "row", "k long, v string").collect())) == [(1, "a"), (2, "b")]
+
+
+def test_stream_forgets_keys_behind_the_watermark(spark, tmp_path):
+    """With a watermark the state of quiet keys goes; their next value is a first one."""
+    schema = "k long, ts timestamp, seq long, v string"
+    day = lambda d: datetime(2024, 1, d)
+    batches = [[(1, day(1), 1, "a"), (2, day(1), 2, "x")], [(2, day(9), 3, "y")], [(2, day(10), 4, "y")], [(1, day(10), 5, "a"), (2, day(10), 6, "y")]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    found = {}
+    for name, watermark in (("kept", None), ("forgotten", "1 day")):
+        changed = R.changed_values(stream, "k", "v", "ts", "seq", watermark)
+        query = changed.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query.awaitTermination(180)
+        found[name] = sorted(r["seq"] for r in spark.table(name).collect())
+    assert found == {"kept": [1, 2, 3], "forgotten": [1, 2, 3, 5]}
+
+
+def test_running_count_of_one_key(spark):
+    """One key holds nearly all rows: the ranges split it, nulls and ties included."""
+    rows = [("a" if k % 50 else "b", None if k % 97 == 0 else datetime(2024, 1, 1 + k % 28), k, k) for k in range(3000)] + [(None, datetime(2024, 1, 1), 1, -1)]
+    frame = spark.createDataFrame(rows, "key string, ts timestamp_ntz, seq long, id long")
+    frame.createOrReplaceTempView("running_rows")
+    want = spark.sql("select id, count(*) over (partition by key order by ts, seq rows unbounded preceding) as running from running_rows")
+    for ranges in (1, 2, 40):
+        assert sorted(R.running_count(frame, ["key"], "ts", "seq", ranges).select("id", "running").collect()) == sorted(want.collect())
+    assert R.running_count(frame.limit(0), ["key"], "ts", "seq").count() == 0
+
+
+def test_triggers_join_before_they_are_distinct(spark):
+    changes = spark.createDataFrame([(1, "a.b.c"), (1, "a.b.d"), (2, "x"), (2, "a.b.c")], "tick long, path string")
+    registry = spark.createDataFrame([("w", ["a.b"], True), ("v", ["a.b.c", "x"], True), ("off", ["a"], False)], "name string, watching array<string>, enabled boolean")
+    found = R.triggers(changes, registry)
+    assert sorted(map(tuple, found.collect())) == [(1, "v"), (1, "w"), (2, "v"), (2, "w")]

@@ -119,7 +119,7 @@ def test_expressions_in_columns(spark, text, value):
     assert evaluated(spark, text) == [(value, None)]
 
 
-@pytest.mark.parametrize(("text", "reason"), [("[1][5]", "list index 5 out of bounds (length 1)"), ("[1][-1]", "list index -1 out of bounds (length 1)"), ('substring("abc", 9, 1)', "invalid substring bounds: start=9, length=1, text length=3"), ("nope(1)", "unknown function: nope"), ("1 / 0 > 2", "division by zero"), ("1 / 0 and true", "division by zero")])
+@pytest.mark.parametrize(("text", "reason"), [("[1][5]", "list index 5 out of bounds (length 1)"), ("[1][-1]", "list index -1 out of bounds (length 1)"), ('substring("abc", 9, 1)', "invalid substring bounds: start=9, length=1 for string of length 3"), ("nope(1)", "unknown function: nope"), ("1 / 0 > 2", "division by zero"), ("1 / 0 and true", "division by zero")])
 def test_unknown_columns(spark, text, reason):
     assert evaluated(spark, text) == [(None, reason)]
 
