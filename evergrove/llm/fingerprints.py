@@ -1,15 +1,17 @@
 """Winnowing fingerprints, with DataFrame functions only.
 
-Tokens are runs of non-blank code points, cut every 16 code points, and single
-code points in scripts that write no blanks.  Every k consecutive tokens give a
-k-gram hash, made anew of the k token hashes (it does not roll).  Of every window of ``window``
-consecutive hashes the smallest is chosen, the rightmost of equal ones, and its
-position is kept.  Hence any two texts that share ``window + k - 1`` consecutive
-tokens share a fingerprint, and none is chosen for less than k tokens.
-
-A hash and its position are packed into one long (hash bits high, reversed
-position low), so that the minimum over a window is a minimum of longs whose
-ties go to the rightmost; window minima come from log2(window) doublings.
+Tokens are runs of up to 16 non-blank code points, and single code points in
+scripts that write no blanks and in what precedes the last 16 of longer runs, so
+that a passage copied to another place inside a run has the same tokens there.
+Every k consecutive tokens have a rolling hash, the cyclic polynomial of their
+64-bit hashes: rotated once, without the token that leaves, with the one that
+enters.  Array functions have no state to roll, so the hashes of all places are
+made together, of two halves each, which gives the same values (tests roll them).
+
+Of every window of ``window`` consecutive hashes the smallest is chosen, the
+rightmost of equal ones, and its position is kept.  Hence any two texts that share
+``window + k - 1`` consecutive tokens share a fingerprint, and none is chosen for
+less than k tokens.
 """
 
 from __future__ import annotations
@@ -22,14 +24,35 @@ from evergrove.llm.common import let, shuffle_partitions, whole_text
 #: Scripts without blanks between words (Thai, Lao, Burmese, Khmer,
 #: kana, CJK ideographs, Hangul).
 UNSPACED = "\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff\\u3040-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7af"
-TOKEN = f"[{UNSPACED}]|[^\\s{UNSPACED}]{{1,16}}"
+TOKEN = f"[{UNSPACED}]|[^\\s{UNSPACED}]{{1,16}}+(?![^\\s{UNSPACED}])|[^\\s{UNSPACED}]"
 
 GRAM = 2
 WINDOW = 2  # small, so that a short text keeps several fingerprints
-POSITION_BITS = 27
 LOWEST = -(2**63)
 
 
+def rotated(value: Column, by: int) -> Column:
+    """The 64 bits of ``value``, rotated to the left."""
+    by %= 64
+    return value if not by else F.shiftleft(value, by).bitwiseOR(F.shiftrightunsigned(value, 64 - by))
+
+
+def rolling_hashes(hashes: Column, gram: int) -> Column:
+    """The cyclic polynomial of every ``gram`` consecutive hashes: that of
+    m + n is that of the first m, rotated n times, with that of the next n."""
+    if gram == 1:
+        return hashes
+    left, right = gram - gram // 2, gram // 2
+
+    def joined(firsts: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(hashes) - gram)
+        if left == right:
+            return F.transform(places, lambda i: rotated(F.get(firsts, i), right).bitwiseXOR(F.get(firsts, i + left)))
+        return let(rolling_hashes(hashes, right), lambda seconds: F.transform(places, lambda i: rotated(F.get(firsts, i), right).bitwiseXOR(F.get(seconds, i + left))))
+
+    return joined(hashes) if left == 1 else let(rolling_hashes(hashes, left), joined)
+
+
 def gram_hashes(text: Column, gram: int = GRAM) -> Column:
     """The hash of every ``gram`` consecutive tokens; of all tokens if fewer."""
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
@@ -37,7 +60,7 @@ def gram_hashes(text: Column, gram: int = GRAM) -> Column:
     def rolled(hashes: Column) -> Column:
         count = F.size(hashes)
         return (
-            F.when(count >= gram, F.transform(F.sequence(F.lit(0), count - gram), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(gram)])))
+            F.when(count >= gram, rolling_hashes(hashes, gram))
             .when(count > 0, F.array(F.xxhash64(F.concat_ws(",", F.transform(hashes, lambda h: h.cast("string"))))))
             .when(F.length(text) > 0, F.array(F.xxhash64(text)))
             .otherwise(F.array().cast("array<bigint>"))
@@ -50,31 +73,28 @@ def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     """array<struct<hash, position>> in order of position."""
     if window & (window - 1):
         raise ValueError("the window is a power of two")
-    last = (1 << POSITION_BITS) - 1
 
     def chosen(hashes: Column) -> Column:
         count = F.size(hashes)
-        packed = F.transform(
-            hashes, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, POSITION_BITS + 1), POSITION_BITS).bitwiseOR(F.lit(last).cast("long") - i)
-        )
-        minima, reach = packed, 1
-        while reach < window:
-            minima = let(minima, _reaching(reach))
-            reach *= 2
-        windows = F.array_distinct(F.slice(minima, 1, F.greatest(count - (window - 1), F.lit(1))))
-
-        def opened(key: Column) -> Column:
-            position = F.lit(last).cast("long") - key.bitwiseAND(F.lit(last).cast("long"))
-            return F.struct(F.get(hashes, position.cast("int")).alias("hash"), position.cast("int").alias("position"))
-
-        return F.when(count > 0, F.transform(windows, opened)).otherwise(F.array().cast("array<struct<hash:bigint,position:int>>"))
+        # the place of the minimum over 1, 2, 4, ... hashes; of equal ones the right one
+        later = lambda a, b: F.when(F.get(hashes, b) <= F.get(hashes, a), b).otherwise(a)
+        if window == 1:
+            places = F.transform(hashes, lambda _, i: i)
+        else:
+            places, reach = F.transform(hashes, lambda h, i: F.when(F.get(hashes, i + 1) <= h, i + 1).otherwise(i)), 2
+            while reach < window:
+                places = let(places, _reaching(reach, later))
+                reach *= 2
+        windows = F.array_distinct(F.slice(places, 1, F.greatest(count - (window - 1), F.lit(1))))
+        opened = F.transform(windows, lambda place: F.struct(F.get(hashes, place).alias("hash"), place.alias("position")))
+        return F.when(count > 0, opened).otherwise(F.array().cast("array<struct<hash:bigint,position:int>>"))
 
     return let(gram_hashes(text, gram), chosen)
 
 
-def _reaching(step: int):
-    """Minima over twice the reach: of every element and the one ``step`` on."""
-    return lambda m: F.zip_with(m, F.slice(m, step + 1, F.greatest(F.size(m), F.lit(1))), lambda a, b: F.least(a, b))
+def _reaching(step: int, later):
+    """From places over ``step`` hashes to those over twice as many."""
+    return lambda places: F.transform(places, lambda a, i: later(a, F.coalesce(F.get(places, i + step), a)))
 
 
 def fingerprint_text(prints: Column) -> Column:

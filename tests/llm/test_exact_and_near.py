@@ -82,33 +82,46 @@ def test_grace_compares_contents():
 
 # --- fingerprints ------------------------------------------------------------------
 
-TOKEN = re.compile("[぀-ヿ㐀-鿿가-힯]|[^\\s぀-ヿ㐀-鿿가-힯]{1,16}")
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
+
+
+def tokens_of(text):
+    found = []
+    for run in re.findall(f"[{UNSPACED}]|[^\\s{UNSPACED}]+", text):
+        found += [*run[:-16], run[-16:]] if len(run) > 16 else [run]
+    return found
 
 
 def hashed(text):
     return xxhash.xxh64_intdigest(text.encode(), 42)
 
 
-def grams(text):
-    tokens = [hashed(t) for t in TOKEN.findall(text)]
-    if len(tokens) >= GRAM:
-        out = []
-        for k in range(len(tokens) - GRAM + 1):
-            seed = 42
-            for value in tokens[k : k + GRAM]:
-                seed = xxhash.xxh64_intdigest(struct.pack("<Q", value), seed)
-            out.append(seed)
+def turned(value, by=1):
+    by %= 64
+    return (value << by | value >> (64 - by)) % (1 << 64)
+
+
+def grams(text, gram=GRAM):
+    """Hashes that really roll: one token leaves, one enters."""
+    tokens = [hashed(t) for t in tokens_of(text)]
+    if len(tokens) >= gram:
+        rolling, out = 0, []
+        for k, value in enumerate(tokens):
+            rolling = turned(rolling) ^ value ^ (turned(tokens[k - gram], gram) if k >= gram else 0)
+            if k >= gram - 1:
+                out.append(rolling)
         return out
     if tokens:
         return [hashed(",".join(str(t - (1 << 64) if t >> 63 else t) for t in tokens))]
     return [hashed(text)] if text else []
 
 
-def winnowed(text):
-    found, chosen = grams(text), []
-    for start in range(max(1, len(found) - WINDOW + 1)) if found else []:
-        window = found[start : start + WINDOW]
-        best = start + min(range(len(window)), key=lambda j: (window[j] >> 28, -j))
+def winnowed(text, gram=GRAM, width=WINDOW):
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    found, chosen = grams(text, gram), []
+    for start in range(max(1, len(found) - width + 1)) if found else []:
+        window = found[start : start + width]
+        best = start + min(range(len(window)), key=lambda j: (signed(window[j]), -j))
         if not chosen or chosen[-1] != best:
             chosen.append(best)
     return [(found[k], k) for k in chosen]
@@ -117,12 +130,36 @@ def winnowed(text):
 TEXTS = [" ".join(random.Random(k).choices("alpha beta gamma delta eps zeta eta".split(), k=k * 7)) for k in range(12)] + [None, "", " ", "one", "x" * 3000, "日本語のテキスト です", "same " * 100]
 
 
-def test_winnowing_is_the_brute_force(spark):
+@pytest.mark.parametrize("gram, window", [(GRAM, WINDOW), (1, 1), (5, 8), (3, 4), (7, 2)])
+def test_winnowing_is_the_brute_force(spark, gram, window):
     docs = table(spark, list(enumerate(TEXTS)))
-    for r in fingerprints(docs).collect():
+    for r in fingerprints(docs, gram=gram, window=window).collect():
         text = TEXTS[r["doc_id"]] or ""
         assert r["n_chars"] == len(text)
-        assert [(p["hash"] % (1 << 64), p["position"]) for p in r["prints"]] == winnowed(text)
+        assert [(p["hash"] % (1 << 64), p["position"]) for p in r["prints"]] == winnowed(text, gram, window)
+
+
+def test_edits_of_whole_documents_are_the_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    order = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
+    found = {r["doc_id"]: r for r in fingerprint_edits(docs).collect()}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    prints = {i: {h for h, _ in winnowed(t)} for i, t in order}
+    for k, (i, text) in enumerate(order):
+        after, following = order[(k + 1) % len(order)]  # the last is followed by the first
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + following[:cut]
+        assert found[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert found[i]["near_edited"] == pytest.approx(like(prints[i], {h for h, _ in winnowed(edited)}))
+        assert found[i]["near_next"] == pytest.approx(like(prints[i], prints[after]))
+
+
+def test_long_runs_share_prints_at_any_offset(spark):
+    rng = random.Random(5)
+    run = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=200))
+    rows = [(1, "start " + run + " end"), (2, "q" + run + "zz other"), (3, "xyz" + run)]
+    prints = {r["doc_id"]: {p["hash"] for p in r["prints"]} for r in fingerprints(table(spark, rows)).collect()}
+    assert all(len(prints[a] & prints[b]) > 50 for a, b in ((1, 2), (1, 3), (2, 3)))
 
 
 def test_shared_passages_share_prints():
