@@ -196,6 +196,10 @@ def running_count(rows: DataFrame, keys: Sequence[str], ts: str = "ts", seq: str
     return dealt.join(before, same).withColumn("running", F.count(F.lit(1)).over(order) + F.col("__before")).select(*rows.columns, "running")
 
 
+def _nearer(listed: Column, count: int, at: Column, step: int):
+    return lambda n: F.when((n + step <= count) & (F.get(listed, n + step - 1) <= at), n + step).otherwise(n)
+
+
 def _cuts_passed(at: Column, cuts: Sequence[int]) -> Column:
     """How many of the sorted ``cuts`` are not after ``at``, by bisection over
     one constant array."""
@@ -204,8 +208,7 @@ def _cuts_passed(at: Column, cuts: Sequence[int]) -> Column:
     listed = F.array(*[F.lit(c) for c in cuts])
     passed, step = F.lit(0), 1 << (len(cuts).bit_length() - 1)
     while step:
-        nearer = lambda n, s=step: F.when((n + s <= len(cuts)) & (F.get(listed, n + s - 1) <= at), n + s).otherwise(n)
-        passed = F.element_at(F.transform(F.array(passed), nearer), 1)
+        passed = F.element_at(F.transform(F.array(passed), _nearer(listed, len(cuts), at, step)), 1)
         step >>= 1
     return F.when(at.isNotNull(), passed)
 

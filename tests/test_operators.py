@@ -10,6 +10,7 @@ from evergrove.functions.model import Unknown
 from evergrove.operators import log as L
 from evergrove.operators import visibility as V
 from evergrove.plans.interpreter import Engine
+import evergrove.queries_programs  # noqa: F401
 from evergrove.queries import ORACLES, QUERIES
 from evergrove.sources import ari, files, xml
 from evergrove.streaming import reactive as R
@@ -235,6 +236,9 @@ def test_running_count_of_one_key(spark):
     for ranges in (1, 2, 40):
         assert sorted(R.running_count(frame, ["key"], "ts", "seq", ranges).select("id", "running").collect()) == sorted(want.collect())
     assert R.running_count(frame.limit(0), ["key"], "ts", "seq").count() == 0
+    cuts = [1, 1, 5, 9, 9, 20][1:]
+    numbers = spark.range(-2, 25).withColumn("passed", R._cuts_passed(F.col("id"), cuts))
+    assert [r["passed"] for r in numbers.orderBy("id").collect()] == [sum(c <= k for c in cuts) for k in range(-2, 25)]
 
 
 def test_triggers_join_before_they_are_distinct(spark):
