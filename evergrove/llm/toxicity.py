@@ -178,14 +178,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     """Score every whole text: doc_id, held_out, score (0 to 1) and predicted.
 
     Only labelled rows outside the held-out fold teach the model: at most about
-    ``max_rows`` of them, taken by hash of the id.  Null text counts as empty; an
+    ``max_rows`` ids of them, taken by hash; an id with several labels has the
+    larger.  Null text counts as empty; an
     empty text has features and so a score.  Labels other than 0 and 1 are
     ignored; without labels every score is 1/2 or below.  Repeated rows give
     repeated rows.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("label"))
-    known = known.where(crc_fold("labelled", folds) != held_out)
+    # one label an id, the larger of several, so that rows of the sample are as many as its ids
+    known = known.where(crc_fold("labelled", folds) != held_out).groupBy("labelled").agg(F.max("label").alias("label"))
     count = known.count()
     if count > max_rows:
         known = known.where(F.pmod(F.xxhash64("labelled"), F.lit(1_000_000)) < int(1_000_000 * max_rows / count))
@@ -194,7 +196,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     terms = learn_lexicon(taught.where("part < 4"))
     features = checkpointed(_features(rows, terms))
     sample = features.join(F.broadcast(known), F.col("doc_id") == F.col("labelled")).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10)))
-    found = sample.where("part >= 4").select("doc_id", "label", "part", "x").toPandas().sort_values("doc_id", kind="stable")
+    # of documents that share an id one teaches
+    found = sample.where("part >= 4").groupBy("doc_id", "label", "part").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(found["x"].tolist(), dtype=float).reshape(len(found), D)
     model = fit_toxicity(x, found["label"].to_numpy(dtype=float), found["part"].to_numpy() >= 8)
     scored = features.mapInArrow(_scorer(*model), "doc_id long, score double")
