@@ -185,7 +185,8 @@ ANSWER = "block long, bucket int, word_counts binary, pair_counts binary, n_word
 
 def _answer(pieces: pa.Table) -> pa.Table:
     """All pieces of one owner: the sums over all blocks, in the order of every
-    piece's keys.  The first row has the owner's distinct words and its tokens."""
+    piece's keys.  Every row has the owner's distinct words and its tokens; since
+    every block hears from every owner, it can add these up for itself."""
     reserved = _word_keys([UNKNOWN, END])
 
     def added(key_column: str, count_column: str):
@@ -198,16 +199,16 @@ def _answer(pieces: pa.Table) -> pa.Table:
 
     words, word_sums, word_answers = added("words", "word_counts")
     _, _, pair_answers = added("pairs", "pair_counts")
-    first = lambda n: [int(n)] + [0] * (len(pieces) - 1)
+    each = lambda n: pa.array([int(n)] * len(pieces), pa.int64())
     return pa.table(
         {
             "block": pieces.column("block"),
             "bucket": pieces.column("bucket"),
             "word_counts": pa.array(word_answers, pa.binary()),
             "pair_counts": pa.array(pair_answers, pa.binary()),
-            "n_words": first((~np.isin(words, reserved)).sum()),
-            "n_target": first(word_sums[0].sum()),
-            "n_all": first(word_sums[1].sum()),
+            "n_words": each((~np.isin(words, reserved)).sum()),
+            "n_target": each(word_sums[0].sum()),
+            "n_all": each(word_sums[1].sum()),
         }
     )
 
@@ -222,7 +223,7 @@ def token_losses(pair, word, before, total: int, width: int, alpha: float = ALPH
 SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
-def _scorer(width: int, totals: tuple[int, int]):
+def _scorer():
     def ordered(keys, answers):
         out = np.empty((2, len(keys)))
         out[:, np.argsort(keys, kind="stable")] = np.concatenate([_unpacked(a, "<u8").reshape(2, -1) for a in answers], axis=1)
@@ -231,6 +232,8 @@ def _scorer(width: int, totals: tuple[int, int]):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         (row,) = blocks.to_pylist()
         answers = answers.sort_by("bucket")
+        n_words, *totals = (sum(answers.column(c).to_pylist()) for c in ("n_words", "n_target", "n_all"))
+        width = n_words + 2  # all words, the unknown one and the end
         keys, _, _, pairs, pair_of, pair_keys = _entries(row["words"], row["tokens"])
         word_counts = ordered(keys, answers.column("word_counts").to_pylist())
         pair_counts = ordered(pair_keys, answers.column("pair_counts").to_pylist())
@@ -266,8 +269,5 @@ def score_by_cross_entropy(docs: DataFrame, target_ids: DataFrame, id_column: st
     marks = placed.join(good, F.col("doc_id") == F.col("good_id")).groupBy("home").agg(F.collect_list("place").alias("places"))
     counted = blocks.select("block", "sizes", "words", "tokens")
     pieces = counted.groupBy("block").cogroup(marks.groupBy("home")).applyInArrow(_pieces(buckets), PIECE)
-    answers = checkpointed(pieces.groupBy("bucket").applyInArrow(_answer, ANSWER))
-    n_words, *totals = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_target", "n_all"))).first()
-    own = answers.select("block", "bucket", "word_counts", "pair_counts")
-    scorer = _scorer(n_words + 2, tuple(totals))  # all words, the unknown one and the end
-    return blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(scorer, SCORES)
+    answers = pieces.groupBy("bucket").applyInArrow(_answer, ANSWER)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(), SCORES)
