@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 import random
+import secrets
 import uuid as _uuid
 from calendar import monthrange
 from collections.abc import Callable, Sequence
@@ -24,7 +25,7 @@ from evergrove.operators.visibility import hide, parse_filter
 from evergrove.plans import syntax as S
 from evergrove.plans.compiler import Row, apply_bracket, is_predicate
 from evergrove.plans.parser import parse, parse_expression
-from evergrove.sources import library
+from evergrove.sources import library, web
 
 #: The limits of a program.
 MAX_LOOP, MAX_CALLS, MAX_STAGED = 100_000, 1_000, 10_000
@@ -164,6 +165,18 @@ class Engine:
             raise PermissionError(path)
         return self.log.extract(path, self.hidden, None if self.open else self._readable_rows)
 
+    def status(self) -> dict:
+        """What the tree holds, in one pass over the log."""
+        row = self.log.frame.agg(F.count("*").alias("instances"), F.count_if(~F.coalesce("tombstoned", F.lit(False))).alias("visible"), F.count_distinct("path").alias("paths"), F.max("ts").alias("last")).first()
+        found = {"agent": float(self.agent), "instances": float(row["instances"]), "visible": float(row["visible"]), "paths": float(row["paths"]), "mounts": float(len(self.mounts)), "watches": float(len(self.watches))}
+        return found | ({"last": model.Time(row["last"])} if row["last"] is not None else {})
+
+    def compact(self, folder: str) -> dict:
+        """The log's visible instances in new files, and how many rows went."""
+        stats = L.compaction_stats(self.log.frame).first()
+        L.compact(self.log.frame, folder)
+        return {name: float(stats[name]) for name in ("before", "after", "dropped")}
+
     def query(self, text: str) -> DataFrame:
         """An expression over a mounted collection as a DataFrame."""
         result = Program(self).value(parse_expression(text))
@@ -696,6 +709,8 @@ class Program:
             return self._higher_order(node.name, args)
         if node.name == "sort" and len(args) == 2:
             return _sorted_by(*args)
+        if node.name.startswith(web.PREFIX):
+            return self._web(node.name[len(web.PREFIX) :], args)
         if node.name.startswith(library.PREFIX):
             return library.call(self.engine.spark, node.name[len(library.PREFIX) :], args)
         function = BUILTINS.get(node.name)
@@ -706,6 +721,21 @@ class Program:
         except TypeError:
             return Unknown(f"wrong number of arguments for {node.name}")
 
+    def _web(self, name: str, args: list):
+        if name in web.METHODS:
+            return web.call(name, args)
+        if name in ("parse_json", "to_json"):
+            return BUILTINS[name](*args) if len(args) == 1 else Unknown(f"wrong number of arguments for {name}")
+        if name not in web.ANSWERS:
+            return Unknown(f"unknown function: {web.PREFIX}{name}")
+        response = web.answer(name, args)
+        if isinstance(response, Unknown):
+            return response
+        path, record = self.engine.resolve(response[0]), response[1]
+        if not self.engine.may("write", path):
+            return Unknown(f"failed to write path {path}: permission denied")
+        return self._stage(path, record, self.quiet) or "response_sent"
+
     def _invoke(self, name: str, closure: Closure, args: list):
         if len(args) != len(closure.procedure.params):
             return Unknown(f"{name} expects {len(closure.procedure.params)} arguments, got {len(args)}")
@@ -911,6 +941,7 @@ BUILTINS = {
     "format_time": lambda t, form: t.at.strftime(model.to_text(form)) if isinstance(t, model.Time) else Unknown(f"cannot format {model.kind_of(t)}"),
     "convert": _convert,
     "uuid": lambda: str(_uuid.uuid4()),
+    "my.computer.crypto.generate_token": lambda: secrets.token_hex(32),
     "unknown": lambda *v: Unknown(model.to_text(v[0]) if v else "unknown"),
     "output": lambda v: v,
     "is_unknown": lambda v: isinstance(v, Unknown),

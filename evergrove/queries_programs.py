@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evergrove.functions import model, paths
+from evergrove.functions.display import display
 from evergrove.operators import log as L
+from evergrove.operators import placement
 from evergrove.plans.interpreter import Engine
 from evergrove.queries import query, table
 from evergrove.sources import ari, xml
@@ -382,3 +384,79 @@ def ari_types(spark, sf_dir):
     lines += [F.lit("NAME: a"), F.lit("SIZE: 1"), F.lit("NAME: b"), F.concat(F.lit("SIZE: "), number)]
     reports = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("\n", *lines).alias("report"))
     return ari.extract_reports(reports, _TYPES, "o_orderkey", "report")
+
+
+# --- answers, tokens, status ------------------------------------------------------------
+
+
+@query("""SELECT 'world.agent.3.x' AS path, '' AS value WHERE false UNION ALL
+SELECT 'my.computer.network.web.requests.' || n_nationkey || '.response.' || f, CASE f WHEN 'status_code' THEN CASE WHEN n_nationkey % 3 = 0 THEN '404' WHEN n_nationkey % 3 = 1 THEN '200' ELSE '302' END
+ELSE CASE WHEN n_nationkey % 3 = 0 THEN 'Not Found' WHEN n_nationkey % 3 = 1 THEN '{"page":' || n_nationkey || '}' ELSE 'Found' END END
+FROM nation, (VALUES ('status_code'), ('body')) t(f)""")
+def web_answers(spark, sf_dir):
+    """A request for every nation, answered by one program; responses are staged writes."""
+    engine = Engine(spark, agent=3)
+    ids = [n["key"] for n in _nations(spark, sf_dir)]
+    done = _ran(engine, """for id in ids:
+    req = {id: text(id)}
+    if id % 3 = 0:
+        my.computer.network.web.not_found(req)
+    else if id % 3 = 1:
+        my.computer.network.web.ok_json(req, {page: id})
+    else:
+        my.computer.network.web.redirect(req, "/other")""", ids=ids)
+    assert not isinstance(done, model.Unknown), done
+    rows = L.current(L.visible(engine.log.frame), "path").where(~F.col("path").contains(".headers"))
+    return rows.select("path", F.coalesce("v_text", F.col("v_num").cast("bigint").cast("string")).alias("value"))
+
+
+@query("""SELECT 'status' AS name, 'agent: 3' || chr(10) || 'instances: ' || count(*) || chr(10) || 'visible: ' || count(*) || chr(10) || 'paths: ' || count(*) || chr(10) || 'mounts: 0' || chr(10) || 'watches: 0' AS value FROM nation
+UNION ALL SELECT 'table', 'key  name' || chr(10) || '---  ' || repeat('-', max(length(n_name))::INT) || chr(10) || string_agg(rpad(CAST(n_nationkey AS VARCHAR), 5, ' ') || n_name, chr(10) ORDER BY n_nationkey) FROM nation
+UNION ALL SELECT 'list', '[' || string_agg(CAST(n_nationkey AS VARCHAR), ', ' ORDER BY n_nationkey) || ']' FROM nation UNION ALL SELECT 'unknown', 'unknown(division by zero)'
+UNION ALL SELECT 'money', '2.50 USD' UNION ALL SELECT 'nothing', '' UNION ALL SELECT 'token', '64' UNION ALL SELECT 'json', '{"n":' || count(*) || '}' FROM nation""")
+def shown_values(spark, sf_dir):
+    nations = _nations(spark, sf_dir)
+    engine = Engine(spark, agent=3)
+    run = lambda source: _ran(engine, source, nations=nations)
+    run("for n in nations:\n    my.n[text(n.key)] = n.name")
+    status = engine.status()
+    status.pop("last")
+    return _outcome(spark, {
+        "status": display(status), "table": display([{"key": n["key"], "name": n["name"]} for n in nations]), "list": display([n["key"] for n in nations]),
+        "unknown": display(run("1 / 0")), "money": display(run("$2.50")), "nothing": display(None), "token": float(len(run("my.computer.crypto.generate_token()"))),
+        "json": run("my.computer.network.web.to_json({n: nations..count})"),
+    })
+
+
+# --- placement ---------------------------------------------------------------------------
+
+_NODES = ("north", "south", "west")
+_PLACED = """WITH points AS (SELECT ('0x' || substr(md5(n || '#' || k), 1, 8))::BIGINT AS place, n FROM (VALUES ('north'), ('south'), ('west')) t(n), range(64) r(k)),
+zones AS (SELECT DISTINCT 'world.b' || p_brand AS zone FROM part),
+owners AS (SELECT zone, coalesce((SELECT arg_min(n, (place, n)) FROM points WHERE place >= ('0x' || substr(md5(zone), 1, 8))::BIGINT), (SELECT arg_min(n, (place, n)) FROM points)) AS authority FROM zones)"""
+
+
+def _brand_paths(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("world.b"), F.replace("p_brand", F.lit("."), F.lit("_")), F.lit(".p"), F.col("p_partkey").cast("string")).alias("path"), "p_partkey")
+
+
+@query(_PLACED + " SELECT p_partkey, zone, authority FROM part JOIN owners ON zone = 'world.b' || p_brand")
+def ring_placement(spark, sf_dir):
+    return placement.placed(_brand_paths(spark, sf_dir), _NODES).select("p_partkey", "zone", "authority")
+
+
+@query(_PLACED + " SELECT authority, authority = 'north' AS local, count(DISTINCT zone) AS zones, count(*) AS writes FROM part JOIN owners ON zone = 'world.b' || p_brand GROUP BY authority")
+def commit_by_zone(spark, sf_dir):
+    return placement.commit_groups(_brand_paths(spark, sf_dir), _NODES, "north").select("authority", "local", "zones", "writes")
+
+
+@query("""SELECT o_custkey AS zone, CASE WHEN count(*) > 12 THEN 'spatial' WHEN sum(o_totalprice) > 1500000 AND max(o_orderkey) % 48 >= 24 THEN 'temporal' WHEN sum(o_totalprice) > 1500000 THEN 'spatial' END AS split FROM orders GROUP BY o_custkey""")
+def zone_splits(spark, sf_dir):
+    stats = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("zone")).agg(F.sum("o_totalprice").alias("bytes"), F.count("*").alias("children"), F.lit(0.0).alias("queries"), F.lit(0.0).alias("writes"), (F.max("o_orderkey") % 48).alias("age_hours"))
+    return placement.split_advice(stats, placement.Thresholds(bytes=1_500_000, children=12)).select("zone", "split")
+
+
+@query("SELECT c_custkey, CASE WHEN lower(left(c_mktsegment, 1)) >= 'm' THEN 'world.s.m' ELSE 'world.s.a' END AS part FROM customer WHERE c_mktsegment IS NOT NULL")
+def zone_parts(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("world.s."), "c_mktsegment", F.lit(".c")).alias("path"))
+    return placement.spatial_parts(rows, "world.s").select("c_custkey", "part")

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from evergrove.functions import model
 from evergrove.operators.log import explode_record, newest
+from evergrove.operators.placement import cuts_passed
 from evergrove.plans.interpreter import Engine, Program, Scope
 
 #: A tick's length and the longest cascade.
@@ -184,7 +185,7 @@ def running_count(rows: DataFrame, keys: Sequence[str], ts: str = "ts", seq: str
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     cuts = sorted(set(rows.agg(F.percentile_approx(at, [k / count for k in range(1, count)], max(10_000, 4 * count)).alias("cuts")).first()["cuts"] or [])) if count > 1 else []
     # the number of cuts not after the row's time; a row without a time comes first
-    place = F.coalesce(_cuts_passed(at, cuts), F.lit(-1))
+    place = F.coalesce(cuts_passed(at, cuts), F.lit(-1))
     dealt = rows.withColumn("__range", place)
     counts = dealt.groupBy(*keys, "__range").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -196,23 +197,6 @@ def running_count(rows: DataFrame, keys: Sequence[str], ts: str = "ts", seq: str
     return dealt.join(before, same).withColumn("running", F.count(F.lit(1)).over(order) + F.col("__before")).select(*rows.columns, "running")
 
 
-def _nearer(listed: Column, count: int, at: Column, step: int):
-    return lambda n: F.when((n + step <= count) & (F.get(listed, n + step - 1) <= at), n + step).otherwise(n)
-
-
-def _cuts_passed(at: Column, cuts: Sequence[int]) -> Column:
-    """How many of the sorted ``cuts`` are not after ``at``, by bisection over
-    one constant array."""
-    if not cuts:
-        return F.when(at.isNotNull(), F.lit(0))
-    listed = F.array(*[F.lit(c) for c in cuts])
-    passed, step = F.lit(0), 1 << (len(cuts).bit_length() - 1)
-    while step:
-        passed = F.element_at(F.transform(F.array(passed), _nearer(listed, len(cuts), at, step)), 1)
-        step >>= 1
-    return F.when(at.isNotNull(), passed)
-
-
 def cascade(changes: DataFrame, links: Sequence[tuple[Callable[[DataFrame], DataFrame], str]], rounds: int = MAX_CASCADE) -> DataFrame:
     """A chain of watchers, one link a tick: every link maps the changes of the
     tick before to new changes.  Returns all changes with ``round``."""

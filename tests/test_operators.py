@@ -237,7 +237,7 @@ def test_running_count_of_one_key(spark):
         assert sorted(R.running_count(frame, ["key"], "ts", "seq", ranges).select("id", "running").collect()) == sorted(want.collect())
     assert R.running_count(frame.limit(0), ["key"], "ts", "seq").count() == 0
     cuts = [1, 1, 5, 9, 9, 20][1:]
-    numbers = spark.range(-2, 25).withColumn("passed", R._cuts_passed(F.col("id"), cuts))
+    numbers = spark.range(-2, 25).withColumn("passed", R.cuts_passed(F.col("id"), cuts))
     assert [r["passed"] for r in numbers.orderBy("id").collect()] == [sum(c <= k for c in cuts) for k in range(-2, 25)]
 
 
