@@ -635,3 +635,15 @@ def clock_part(part: str) -> Cell:
 FUNCTIONS["random"] = random_number
 FUNCTIONS["convert"] = converted
 FUNCTIONS["asset"] = lambda data, mime: Cell(F.struct(_text(data).value.alias("data"), _text(mime).value.alias("mime_type")), "record", first_reason(data.reason, mime.reason))
+
+
+def json_text(c: Cell) -> Cell:
+    """A value as JSON: whole numbers without a fraction, names in order, times
+    in UTC, money as amount and currency."""
+    if c.kind == "time":
+        text = F.date_format(c.value["ts"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        return Cell(F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", ""), F.lit('Z"')), "text", c.reason)
+    value = F.struct(c.value["amount"].alias("amount"), c.value["currency"].alias("currency")) if c.kind == "money" else c.value
+    whole = c.kind in ("list", "record", "money")
+    text = F.to_json(F.try_parse_json(F.to_json(value if whole else F.array(value))))
+    return guarded(Cell(text if whole else F.substring(text, F.lit(2), F.length(text) - 2), "text", c.reason))

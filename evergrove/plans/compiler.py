@@ -173,9 +173,7 @@ def _call(node: S.Call, row: Row) -> Cell:
     if node.name == "parse_json":
         return Cell(F.try_parse_json(compile_row(node.args[0], row).value), "anything")
     if node.name == "to_json":
-        cell = compile_row(node.args[0], row)
-        value = F.to_json(cell.value) if cell.kind in ("list", "record") else F.to_json(F.array(cell.value))
-        return Cell(value if cell.kind in ("list", "record") else F.substring(value, F.lit(2), F.length(value) - 2), "text", cell.reason)
+        return C.json_text(compile_row(node.args[0], row))
     if node.name in ("map", "filter", "sort", "reduce"):
         return _higher_order(node, row)
     if node.name == "range":
