@@ -267,7 +267,7 @@ def score_by_cross_entropy(docs: DataFrame, target_ids: DataFrame, id_column: st
     buckets = max(16, blocks.count() // BLOCKS_PER_BUCKET)
     placed = blocks.select(F.col("block").alias("home"), F.posexplode("ids").alias("place", "doc_id")).where("doc_id is not null")
     marks = placed.join(good, F.col("doc_id") == F.col("good_id")).groupBy("home").agg(F.collect_list("place").alias("places"))
-    counted = blocks.select("block", "sizes", "words", "tokens")
-    pieces = counted.groupBy("block").cogroup(marks.groupBy("home")).applyInArrow(_pieces(buckets), PIECE)
+    # the same grouping here and for the scores, so that blocks are shuffled once
+    pieces = blocks.groupBy("block").cogroup(marks.groupBy("home")).applyInArrow(_pieces(buckets), PIECE)
     answers = pieces.groupBy("bucket").applyInArrow(_answer, ANSWER)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(), SCORES)

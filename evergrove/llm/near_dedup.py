@@ -33,8 +33,6 @@ BANDS, ROWS = 32, 5
 BLOCK = 128  # classes, and no more shingles than
 BLOCK_SHINGLES = 1_000_000  # (8 MB of hashes), unless a single text has more
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORDS = 300_000  # remembered word hashes of a worker, of words up to
-_LONGEST = 64  # bytes, so that the memory is bounded in bytes
 
 
 def _scrambled(h: np.ndarray) -> np.ndarray:
@@ -47,7 +45,6 @@ class Shingles:
 
     def __init__(self, words: int):
         self.words = words
-        self.memory: dict[bytes, int] = {}
 
     def __call__(self, text: bytes) -> np.ndarray:
         import xxhash
@@ -56,13 +53,8 @@ class Shingles:
         words = text.lower().split()
         if not words:
             return np.empty(0, np.uint64)
-        memory, digest = self.memory, xxhash.xxh64_intdigest
-        if len(memory) > _WORDS:
-            memory.clear()
-        for word in words:
-            if word not in memory and len(word) <= _LONGEST:
-                memory[word] = digest(word)
-        hashes = np.array([memory[word] if len(word) <= _LONGEST else digest(word) for word in words], dtype=np.uint64)
+        # hashing a word again costs less than remembering it
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         with np.errstate(over="ignore"):
             reach = min(self.words, len(hashes))
             total = np.full(len(hashes) - reach + 1, reach, dtype=np.uint64)

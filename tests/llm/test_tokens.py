@@ -205,21 +205,20 @@ def test_many_small_sources_share_a_queue(spark):
 
 
 def test_memories_are_bounded_in_bytes():
-    from evergrove.llm import near_dedup, sentencepieces, toxicity, word_bpe
+    from evergrove.llm import sentencepieces, toxicity, word_bpe
 
     rng = random.Random(3)
     texts = ["".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(5_000)) for _ in range(30)] + ["a " + "b" * 70_000 + " c"]
     encoder = word_bpe.WordEncoder(WORDS)
     encoder.words.most = 50_000
-    words, cut, lexicon = sentencepieces.WordPieces(PieceModel(PIECES)), near_dedup.Shingles(2), toxicity.Lexicon({"x": 1.0})
+    words, lexicon = sentencepieces.WordPieces(PieceModel(PIECES)), toxicity.Lexicon({"x": 1.0})
     for text in [*texts, *(f"w{k} v{k}" for k in range(2_000))]:
         encoder.encode(text)
         words(text)
-        cut(text.encode())
         list(map(lexicon.weight, text.split()))
         held = sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in encoder.words.items())
         assert held <= 50_000
-    assert all(len(w) <= 64 for memory in (words.memory, cut.memory, lexicon.memory, encoder.words) for w in memory)
+    assert all(len(w) <= 64 for memory in (words.memory, lexicon.memory, encoder.words) for w in memory)
 
 
 def test_packing_edges(spark):
