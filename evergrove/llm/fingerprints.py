@@ -23,8 +23,11 @@ from evergrove.llm.common import let, shuffle_partitions, whole_text
 
 #: Scripts without blanks between words (Thai, Lao, Burmese, Khmer,
 #: kana, CJK ideographs, Hangul).
-UNSPACED = "\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff\\u3040-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7af"
-TOKEN = f"[{UNSPACED}]|[^\\s{UNSPACED}]{{1,16}}+(?![^\\s{UNSPACED}])|[^\\s{UNSPACED}]"
+UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
+#: All other code points but blanks, most frequent first; a listed
+#: class is several times as fast as a negated one.
+SPACED = r"\x21-\u0dff\u0f00-\u0fff\u10a0-\u177f\u1800-\u303f\u3100-\u33ff\ua000-\uabff\ud7b0-\x{10ffff}\x00-\x08\x0e-\x1f"
+TOKEN = rf"[{SPACED}]{{1,16}}+(?![{SPACED}])|\S"
 
 GRAM = 2
 WINDOW = 2  # small, so that a short text keeps several fingerprints
@@ -45,10 +48,9 @@ def rolling_hashes(hashes: Column, gram: int) -> Column:
     left, right = gram - gram // 2, gram // 2
 
     def joined(firsts: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(hashes) - gram)
-        if left == right:
-            return F.transform(places, lambda i: rotated(F.get(firsts, i), right).bitwiseXOR(F.get(firsts, i + left)))
-        return let(rolling_hashes(hashes, right), lambda seconds: F.transform(places, lambda i: rotated(F.get(firsts, i), right).bitwiseXOR(F.get(seconds, i + left))))
+        count = F.size(hashes) - (gram - 1)
+        pair = lambda seconds: F.zip_with(F.slice(firsts, F.lit(1), count), F.slice(seconds, F.lit(left + 1), count), lambda a, b: rotated(a, right).bitwiseXOR(b))
+        return pair(firsts) if left == right else let(rolling_hashes(hashes, right), pair)
 
     return joined(hashes) if left == 1 else let(rolling_hashes(hashes, left), joined)
 

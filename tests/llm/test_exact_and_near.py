@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from evergrove.llm import components
 from evergrove.llm.components import connected_components
 from evergrove.llm.exact_dedup import drop_copies, exact_dedup, grace
-from evergrove.llm.fingerprints import GRAM, WINDOW, fingerprint_edits, fingerprints
+from evergrove.llm.fingerprints import GRAM, SPACED, WINDOW, fingerprint_edits, fingerprints
 from evergrove.llm.near_dedup import MinMax, Shingles, near_duplicates
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep string, digest long, count string, node int, bucket int"
@@ -162,6 +162,12 @@ def test_long_runs_share_prints_at_any_offset(spark):
     assert all(len(prints[a] & prints[b]) > 50 for a, b in ((1, 2), (1, 3), (2, 3)))
 
 
+def test_every_code_point_is_of_one_class():
+    spaced, unspaced = re.compile("[" + SPACED.replace("\\x{10ffff}", "\\U0010ffff") + "]"), re.compile(f"[{UNSPACED}]")
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        assert (spaced.match(c) is not None) + (unspaced.match(c) is not None) + (c in " \t\n\x0b\f\r") == 1
+
+
 def test_shared_passages_share_prints():
     rng = random.Random(1)
     words = [f"w{k}" for k in range(5000)]
