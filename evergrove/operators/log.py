@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from evergrove.functions import model
 from evergrove.functions.columns import time_struct
+from evergrove.operators.placement import cuts_passed
 from evergrove.operators.visibility import hide
 
 SCHEMA = (
@@ -100,10 +101,66 @@ def as_of_or_unknown(log: DataFrame, keys: str | Sequence[str], time: model.Time
     return newest.select(*keys, *values, F.when(F.col("newest").isNull(), miss).alias("reason"))
 
 
-def history(log: DataFrame, keys: str | Sequence[str], ts: str = "ts", seq: str = "seq") -> DataFrame:
-    """All instances with ``age``: 1 is the newest of its key."""
-    order = Window.partitionBy(*_keys(keys)).orderBy(F.col(ts).desc(), F.col(seq).desc())
-    return log.withColumn("age", F.row_number().over(order).cast("long"))
+def history(log: DataFrame, keys: str | Sequence[str], ts: str = "ts", seq: str = "seq", ranges: int | None = None) -> DataFrame:
+    """All instances with ``age``: 1 is the newest of its key.  With ``ranges`` a
+    key's history is cut into that many ranges of time (see `ranged`)."""
+    if not ranges:
+        order = Window.partitionBy(*_keys(keys)).orderBy(F.col(ts).desc(), F.col(seq).desc())
+        return log.withColumn("age", F.row_number().over(order).cast("long"))
+    return numbered(log, _keys(keys), ts, seq, ranges, "age", newest_first=True)
+
+
+def ranged(rows: DataFrame, ts: str, ranges: int) -> DataFrame:
+    """Rows with ``__range``, the part of the table's time that they are in, by
+    quantiles of the times (one number a range); rows without a time come first.
+
+    A window by key is one task a key; where a key may hold a large share of the
+    rows, windows by key and range, and one row a range to carry over, are not."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = rows.agg(F.percentile_approx(at, [k / ranges for k in range(1, ranges)], max(10_000, 4 * ranges)).alias("cuts")).first()["cuts"] if ranges > 1 else []
+    return rows.withColumn("__range", F.coalesce(cuts_passed(at, sorted(set(cuts or []))), F.lit(-1)))
+
+
+def _with_range_values(dealt: DataFrame, keys: list[str], values: DataFrame) -> DataFrame:
+    """``dealt`` with the columns that ``values`` has for its keys and range."""
+    carried = [c for c in values.columns if c not in (*keys, "__range")]
+    other = values.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"), *carried)
+    same = F.col("__range") == F.col("__r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    return dealt.join(other, same).drop("__r", *[f"__key{i}" for i in range(len(keys))])
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], ts: str, seq: str, ranges: int, name: str, newest_first: bool = False) -> DataFrame:
+    """Every instance's number among its key's, from the first or the newest on."""
+    keys, way = list(keys), (lambda c: F.col(c).desc()) if newest_first else (lambda c: F.col(c).asc())
+    dealt = ranged(rows, ts, ranges)
+    ahead = Window.partitionBy(*keys).orderBy(way("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
+    counts = counts.select(*keys, "__range", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
+    order = Window.partitionBy(*keys, "__range").orderBy(way(ts), way(seq))
+    found = _with_range_values(dealt, keys, counts)
+    return found.withColumn(name, F.row_number().over(order) + F.col("__ahead")).select(*rows.columns, name)
+
+
+def neighbours(rows: DataFrame, keys: Sequence[str], ts: str, seq: str, before: Mapping[str, Column], after: Mapping[str, Column], ranges: int | None = None) -> DataFrame:
+    """Rows with values of their key's instance before them (``before``) and after
+    them (``after``), as structs ``__before`` and ``__after``, null at the ends."""
+    keys = list(keys)
+    first, last = (F.struct(*[c.alias(n) for n, c in (values or {"none": F.lit(0)}).items()]) for values in (after, before))
+    if not ranges:
+        order = Window.partitionBy(*keys).orderBy(ts, seq)
+        own = rows.withColumns({"__first": first, "__last": last})
+        return own.withColumns({"__before": F.lag("__last").over(order), "__after": F.lead("__first").over(order)}).drop("__first", "__last")
+    dealt = ranged(rows, ts, ranges).withColumns({"__first": first, "__last": last})
+    place = instance_order(dealt, ts, seq)
+    ends = dealt.groupBy(*keys, "__range").agg(F.min_by("__first", place).alias("__from"), F.max_by("__last", place).alias("__to"))
+    along = Window.partitionBy(*keys).orderBy("__range")
+    ends = ends.select(*keys, "__range", F.lag("__to").over(along).alias("__to"), F.lead("__from").over(along).alias("__from"))
+    order = Window.partitionBy(*keys, "__range").orderBy(ts, seq)
+    found = _with_range_values(dealt, keys, ends)
+    found = found.withColumns({"__before": F.coalesce(F.lag("__last").over(order), "__to"), "__after": F.coalesce(F.lead("__first").over(order), "__from")})
+    return found.select(*rows.columns, "__before", "__after")
 
 
 def history_range(log: DataFrame, start: model.Time | None = None, end: model.Time | None = None, ts: str = "ts") -> DataFrame:
@@ -116,26 +173,20 @@ def history_range(log: DataFrame, start: model.Time | None = None, end: model.Ti
     return log
 
 
-def suppress_unchanged(log: DataFrame, keys: str | Sequence[str], value: str | Column, ts: str = "ts", seq: str = "seq") -> DataFrame:
-    """Drop instances whose value equals the one before it."""
-    order = Window.partitionBy(*_keys(keys)).orderBy(ts, seq)
+def suppress_unchanged(log: DataFrame, keys: str | Sequence[str], value: str | Column, ts: str = "ts", seq: str = "seq", ranges: int | None = None) -> DataFrame:
+    """Drop instances whose value equals the one before it.  ``ranges``: see `ranged`."""
     value = F.col(value) if isinstance(value, str) else value
     # a struct, so that a first instance of nothing differs from no instance
-    marked = log.withColumn("__own", F.struct(value.alias("v"))).withColumn("__before", F.lag("__own").over(order))
-    return marked.where("not (__own <=> __before)").drop("__own", "__before")
+    marked = neighbours(log.withColumn("__own", F.struct(value.alias("v"))), _keys(keys), ts, seq, {"v": value}, {}, ranges)
+    return marked.where("not (__own <=> __before)").select(*log.columns)
 
 
-def instance_meta(log: DataFrame, keys: str | Sequence[str], value: str, ts: str = "ts", seq: str = "seq") -> DataFrame:
+def instance_meta(log: DataFrame, keys: str | Sequence[str], value: str, ts: str = "ts", seq: str = "seq", ranges: int | None = None) -> DataFrame:
     """Adds ``previous_instance_id``, ``valid_to`` (the next instance's time) and
-    ``size``, the bytes of the value's text."""
-    order = Window.partitionBy(*_keys(keys)).orderBy(ts, seq)
-    return log.withColumns(
-        {
-            "previous_instance_id": F.lag(seq).over(order),
-            "valid_to": F.lead(ts).over(order),
-            "size": F.octet_length(F.col(value).cast("string")).cast("long"),
-        }
-    )
+    ``size``, the bytes of the value's text.  ``ranges``: see `ranged`."""
+    found = neighbours(log, _keys(keys), ts, seq, {"seq": F.col(seq)}, {"ts": F.col(ts)}, ranges)
+    meta = [F.col("__before.seq").alias("previous_instance_id"), F.col("__after.ts").alias("valid_to"), F.octet_length(F.col(value).cast("string")).cast("long").alias("size")]
+    return found.select(*log.columns, *meta)
 
 
 def expired(log: DataFrame, now: datetime, ttl: Column, ts: str = "ts") -> DataFrame:
@@ -143,18 +194,28 @@ def expired(log: DataFrame, now: datetime, ttl: Column, ts: str = "ts") -> DataF
     return log.where(F.col(ts) + ttl <= F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz"))
 
 
-def as_of_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], carried: Sequence[str], ts: str = "ts", seq: str = "seq") -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], carried: Sequence[str], ts: str = "ts", seq: str = "seq", ranges: int | None = None) -> DataFrame:
     """Every left row with the newest right row of its key at or before it.
 
     One shuffle by key over the union of both sides; ``last`` with nulls ignored
     carries the right side forward.  Right rows at the same instant come first.
+    With ``ranges`` (see `ranged`) each range's last right row is carried over.
     """
     keys = _keys(keys)
     lefts = left.withColumns({"__side": F.lit(1), "__right": F.lit(None).cast(_struct_type(right, carried))})
     rights = right.select(*keys, ts, seq, F.lit(0).alias("__side"), F.struct(*[F.col(c).alias(f"right_{c}") for c in carried]).alias("__right"))
     both = lefts.unionByName(rights, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy(ts, "__side", seq).rowsBetween(Window.unboundedPreceding, 0)
-    matched = both.withColumn("__right", F.last("__right", ignorenulls=True).over(order)).where("__side = 1")
+    if not ranges:
+        order = Window.partitionBy(*keys).orderBy(ts, "__side", seq).rowsBetween(Window.unboundedPreceding, 0)
+        matched = both.withColumn("__right", F.last("__right", ignorenulls=True).over(order)).where("__side = 1")
+        return matched.select(*left.columns, "__right.*")
+    dealt = ranged(both, ts, ranges)
+    lasts = dealt.groupBy(*keys, "__range").agg(F.max_by("__right", F.when(F.col("__side") == 0, instance_order(dealt, ts, seq))).alias("__last"))
+    along = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = lasts.select(*keys, "__range", F.last("__last", ignorenulls=True).over(along).alias("__carried"))
+    order = Window.partitionBy(*keys, "__range").orderBy(ts, "__side", seq).rowsBetween(Window.unboundedPreceding, 0)
+    found = _with_range_values(dealt, keys, lasts)
+    matched = found.withColumn("__right", F.coalesce(F.last("__right", ignorenulls=True).over(order), "__carried")).where("__side = 1")
     return matched.select(*left.columns, "__right.*")
 
 

@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evergrove.functions import model
-from evergrove.operators.log import explode_record, newest
-from evergrove.operators.placement import cuts_passed
+from evergrove.operators.log import explode_record, newest, numbered
 from evergrove.plans.interpreter import Engine, Program, Scope
 
 #: A tick's length and the longest cascade.
@@ -179,22 +178,9 @@ def running_count(rows: DataFrame, keys: Sequence[str], ts: str = "ts", seq: str
 
     A few keys may hold all rows, so a key's history is cut into ranges of time:
     a count per range, the sum of the ranges before, and a window inside each
-    range.  The cuts are quantiles of the times, one number per range.
+    range.
     """
-    count = ranges or 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    cuts = sorted(set(rows.agg(F.percentile_approx(at, [k / count for k in range(1, count)], max(10_000, 4 * count)).alias("cuts")).first()["cuts"] or [])) if count > 1 else []
-    # the number of cuts not after the row's time; a row without a time comes first
-    place = F.coalesce(cuts_passed(at, cuts), F.lit(-1))
-    dealt = rows.withColumn("__range", place)
-    counts = dealt.groupBy(*keys, "__range").agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__before"))
-    same = F.col("__range") == F.col("__r")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__key{i}"))
-    order = Window.partitionBy(*keys, "__range").orderBy(ts, seq).rowsBetween(Window.unboundedPreceding, 0)
-    return dealt.join(before, same).withColumn("running", F.count(F.lit(1)).over(order) + F.col("__before")).select(*rows.columns, "running")
+    return numbered(rows, keys, ts, seq, ranges or 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "running")
 
 
 def cascade(changes: DataFrame, links: Sequence[tuple[Callable[[DataFrame], DataFrame], str]], rounds: int = MAX_CASCADE) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from evergrove.functions.model import Unknown
 from evergrove.operators import log as L
 from evergrove.operators import visibility as V
+from evergrove.operators.placement import cuts_passed
 from evergrove.plans.interpreter import Engine
 import evergrove.queries_programs  # noqa: F401
 from evergrove.queries import ORACLES, QUERIES
@@ -237,7 +238,7 @@ def test_running_count_of_one_key(spark):
         assert sorted(R.running_count(frame, ["key"], "ts", "seq", ranges).select("id", "running").collect()) == sorted(want.collect())
     assert R.running_count(frame.limit(0), ["key"], "ts", "seq").count() == 0
     cuts = [1, 1, 5, 9, 9, 20][1:]
-    numbers = spark.range(-2, 25).withColumn("passed", R.cuts_passed(F.col("id"), cuts))
+    numbers = spark.range(-2, 25).withColumn("passed", cuts_passed(F.col("id"), cuts))
     assert [r["passed"] for r in numbers.orderBy("id").collect()] == [sum(c <= k for c in cuts) for k in range(-2, 25)]
 
 
@@ -246,3 +247,17 @@ def test_triggers_join_before_they_are_distinct(spark):
     registry = spark.createDataFrame([("w", ["a.b"], True), ("v", ["a.b.c", "x"], True), ("off", ["a"], False)], "name string, watching array<string>, enabled boolean")
     found = R.triggers(changes, registry)
     assert sorted(map(tuple, found.collect())) == [(1, "v"), (1, "w"), (2, "v"), (2, "w")]
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 25])
+def test_histories_in_ranges_are_whole_histories(spark, ranges):
+    """One key holds nearly all rows; times tie, and some are null."""
+    rows = [("hot" if k % 40 else f"k{k % 3}", None if k % 101 == 0 else datetime(2024, 1, 1 + k * 7 % 28), k, ("abc"[k // 5 % 3] if k % 11 else None), k % 4) for k in range(2000)] + [(None, datetime(2024, 1, 1), 1, "a", 0)]
+    log = spark.createDataFrame(rows, "key string, ts timestamp_ntz, seq long, value string, n int")
+    same = lambda f: sorted(map(str, f(ranges).collect())) == sorted(map(str, f(None).collect()))
+    assert same(lambda r: L.history(log, "key", ranges=r))
+    assert same(lambda r: L.suppress_unchanged(log, "key", "value", ranges=r))
+    assert same(lambda r: L.instance_meta(log, "key", "value", ranges=r))
+    left, right = log.where("n > 1 and ts is not null"), log.where("n <= 1 and ts is not null")
+    assert same(lambda r: L.as_of_join(left, right, "key", ["seq", "value"], ranges=r))
+    assert L.history(log.limit(0), "key", ranges=ranges).count() == 0
