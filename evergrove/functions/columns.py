@@ -426,6 +426,13 @@ def split(t: Cell, separator: Cell) -> Cell:
     return Cell(value, "list", first_reason(t.reason, separator.reason), "text")
 
 
+def split_count(t: Cell, separator: str) -> Cell:
+    """How many parts ``split`` would make, from what its separators take up."""
+    text, width = _text(t).value, len(separator.encode())
+    taken = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(separator)))
+    return guarded(Cell((taken / width + 1).cast("double"), "number", t.reason))
+
+
 def replaced(t: Cell, old: Cell, new: Cell) -> Cell:
     """All occurrences; an empty ``old`` matches before every character and at
     the end."""

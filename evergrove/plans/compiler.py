@@ -150,6 +150,10 @@ def _bracket(node: S.Bracket, row: Row) -> Cell:
 
 
 def _collection_op(node: S.CollectionOp, row: Row) -> Cell:
+    if node.op == "count" and isinstance(node.base, S.Call) and node.base.name == "split" and len(node.base.args) == 2 and node.base.name not in row.procedures:
+        text, separator = (compile_row(a, row) for a in node.base.args)
+        if isinstance(separator.constant, str) and separator.constant:
+            return C.split_count(text, separator.constant)
     base = compile_row(node.base, row)
     args = [compile_row(a, row) for a in node.args]
     if node.op == "count":

@@ -80,7 +80,7 @@ def _cause(error: Exception) -> str:
     return "tls_error" if isinstance(reason, ssl.SSLError) else f"network_error: {reason}"
 
 
-#: Answers: status, the text if none is given, headers, and how many arguments follow the request.
+#: Fixed values, with the reasons in `answer` and `_cause`.  Answers: status, the text if none is given, headers, and how many arguments follow the request.
 ANSWERS = {
     "ok": (200, None, {}, (1, 1)),
     "ok_json": (200, None, {"Content-Type": "application/json"}, (1, 1)),

@@ -29,6 +29,10 @@ def test_entry(spark):
     assert found.columns == ["user_id", "value", "ts"] and found.count() > 0
 
 
+def test_checkpoints_are_cleaned(spark):
+    assert spark.sparkContext.getConf().get("spark.cleaner.referenceTracking.cleanCheckpoints") == "true"
+
+
 def test_every_oracle_has_its_query():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 

@@ -112,7 +112,7 @@ def evaluated(spark, text, frame=None):
         ('split("a.b", ".")..count', 2.0), ('len("é")', 2.0), ('length("é")', 1.0), ("round(-2.5)", -3.0), ("floor(2.7)", 2.0), ("max(1, 5, 3)", 5.0), ('"a" & 1 & true', "a1true"), ('"x" & unknown("r")', "xUnknown: r"),
         ("[1, 2, 3][item > 1]..count", 2.0), ("[10, 20, 30]..remove(20)..combine(\",\")", "10,30"), ("[10, 20, 30]..remove(1)..combine(\",\")", "10,30"), ("[1, 2]..append(3)..combine(\"\")", "123"),
         ("not 0", True), ("1 < \"a\"", False), ("1 = 1", True), ("@2024-01 = @2024-01-15", True), ("unknown(\"r\") ?= unknown", True), ("unknown(\"r\") ?= unknown(\"s\")", False), ("1 ?= unknown(\"s\")", False),
-        ("$5.00 > $3.00", True), ("$5.00 > €3.00", False), ("text($5.00)", "5.00 USD"), ("text(@2024-01-02 03)", "2024-01-02 03:00"), ("to_json([1, 2])", "[1,2]"), ("to_json(2.5)", "2.5"), ("to_json(1000000)", "1000000"), ('to_json("a")', '"a"'), ("to_json(true)", "true"), ("to_json(@2024-01-02)", '"2024-01-02T00:00:00Z"'), ("to_json($2.50)", '{"amount":2.5,"currency":"USD"}'), ('to_json({b: 1, a: [2, 3]})', '{"a":[2,3],"b":1}'), ("(2..4)[0]", 2.0),
+        ("$5.00 > $3.00", True), ("$5.00 > €3.00", False), ("text($5.00)", "5.00 USD"), ("text(@2024-01-02 03)", "2024-01-02 03:00"), ("to_json([1, 2])", "[1,2]"), ('split("aaaéaab", "aa")..count', 3.0), ('split("", "x")..count', 1.0), ('split("日x本xx", "x")..count', 4.0), ('split("ab", "")..count', 2.0), ("to_json(2.5)", "2.5"), ("to_json(1000000)", "1000000"), ('to_json("a")', '"a"'), ("to_json(true)", "true"), ("to_json(@2024-01-02)", '"2024-01-02T00:00:00Z"'), ("to_json($2.50)", '{"amount":2.5,"currency":"USD"}'), ('to_json({b: 1, a: [2, 3]})', '{"a":[2,3],"b":1}'), ("(2..4)[0]", 2.0),
     ],
 )
 def test_expressions_in_columns(spark, text, value):
