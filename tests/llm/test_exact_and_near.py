@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from evergrove.llm import components
+from evergrove.llm.common import Scratch, checkpoint_folder
 from evergrove.llm.components import connected_components
 from evergrove.llm.exact_dedup import drop_copies, exact_dedup, grace
 from evergrove.llm.fingerprints import GRAM, SPACED, WINDOW, fingerprint_edits, fingerprints
@@ -320,6 +321,39 @@ def test_no_band_holds_both_ends_of_a_permutation():
         assert len({int(k) for k in minmax.order.ravel()}) == bands * rows
 
 
+def test_scratch_tables_are_gone_and_results_stay(spark):
+    import glob
+
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    docs = table(spark, corpus(7, groups=4))
+    found = near_duplicates(docs, words=2)
+    assert glob.glob(f"{folder}/scratch-*") == []
+    assert found.count() == docs.count() and found.where("not kept").count() > 0
+    with pytest.raises(ZeroDivisionError), Scratch(spark) as own:
+        own.table(spark.range(3), "t")
+        assert glob.glob(f"{folder}/scratch-*/t") != []
+        own.drop("t")
+        assert glob.glob(f"{folder}/scratch-*/t") == []
+        raise ZeroDivisionError
+    assert glob.glob(f"{folder}/scratch-*") == []
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        checkpoint_folder(Session())
+    Context.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError):
+        checkpoint_folder(Session())
+
+
 def test_min_max_estimates_are_unbiased():
     rng = random.Random(5)
     sign, cut = MinMax(bands=40, rows=5), Shingles(1)
