@@ -21,7 +21,6 @@ powers of two, so that none needs padding.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -49,7 +48,7 @@ class Mixture:
         self.horizon = max((-(-t // w) for t, w in zip(self.totals, self.weights) if w), default=1) + 1
         # what is remembered is bounded in bytes, however many queues there are
         width = max(1, len(self.totals))
-        self.block = lru_cache(maxsize=max(2, CACHE_BYTES // (8 * (BLOCK + 1) * width)))(self._block)
+        self.block = lru_cache(maxsize=max(2, CACHE_BYTES // (16 * (BLOCK + 1) * width)))(self._block)
         self.served_before = lru_cache(maxsize=max(64, min(1024, CACHE_BYTES // (100 * width))))(self._served_before)
 
     def _at(self, time: int) -> list[int]:
@@ -79,9 +78,10 @@ class Mixture:
         due = [(min(t * VIRTUAL, w * low) - n * VIRTUAL) / VIRTUAL for t, w, n in zip(self.totals, self.weights, served)]
         return tuple(served), tuple(due)
 
-    def _block(self, block: int) -> tuple[int, np.ndarray]:
-        """(first window, service): row k of ``service`` has every queue's
-        tokens served before the block's k-th window."""
+    def _block(self, block: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """(first window, service, places): row k of ``service`` has every queue's
+        tokens served before the block's k-th window, row k of ``places`` where in
+        that window each queue's tokens begin."""
         first = block * BLOCK
         last = min(first + BLOCK, self.windows)
         before, carried = self.served_before(first)
@@ -93,7 +93,8 @@ class Mixture:
             give = self._round(min(self.capacity, int(left.sum())), left, deficit, weights)
             left -= give
             served[k + 1] = served[k] + give
-        return first, served + start
+        given = np.diff(served, axis=0)
+        return first, served + start, np.cumsum(given, axis=1) - given
 
     @staticmethod
     def _round(size: int, left: np.ndarray, deficit: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -138,18 +139,19 @@ class Mixture:
             else:
                 high = middle
         block = low
+        stop = start + length
         while done < length:
-            first, served = self.block(block)
+            first, served, places = self.block(block)
             column = served[:, queue]
-            k = bisect_right(column, start + done) - 1
-            while done < length and k < len(column) - 1:
-                at = start + done
-                step = min(length - done, int(column[k + 1]) - at)
-                if step > 0:
-                    before = int((served[k + 1, :queue] - served[k, :queue]).sum())
-                    yield done, step, first + k, before + at - int(column[k])
-                    done += step
-                k += 1
+            k = int(column.searchsorted(start + done, "right")) - 1
+            last = min(int(column.searchsorted(stop, "left")), len(column) - 1)
+            edges = column[k : last + 1]
+            begins, ends = np.maximum(edges[:-1], start + done), np.minimum(edges[1:], stop)
+            offsets = places[k:last, queue] + begins - edges[:-1]
+            for begin, end, window, offset in zip(begins.tolist(), ends.tolist(), range(first + k, first + last), offsets.tolist()):
+                if end > begin:
+                    yield begin - start, end - begin, window, offset
+            done = max(done, min(int(column[-1]), stop) - start)
             block += 1
 
 
@@ -207,21 +209,25 @@ def _cutter(queues: list[str | None], totals: list[int], weights, capacity: int,
 
     def run(batches):
         mixture, index = Mixture(totals, weights, capacity), {q: k for k, q in enumerate(queues)}
-        rows: list[tuple] = []
+        columns: list[list] = [[] for _ in schema]
 
         def batch_of():
-            columns = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            found = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            for c in columns:
+                c.clear()
+            return found
 
         for batch in batches:
             for key, queue, place, n, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = memoryview(np.frombuffer(packed, "<u4" if wide else "<u2").astype("<u4").tobytes())
-                for start, length, sequence, offset in _sequences(mixture, mixture.pieces(index[queue], place, n)):
-                    rows.append((key, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, sequence, offset, queue))
-                if len(rows) > 20_000:
+                starts, lengths, sequences, offsets = zip(*_sequences(mixture, mixture.pieces(index[queue], place, n)))
+                sums = [zlib.crc32(ids[4 * a : 4 * (a + b)]) for a, b in zip(starts, lengths)]
+                count = len(starts)
+                for column, values in zip(columns, ([key] * count, starts, lengths, sums, [n] * count, sequences, offsets, [queue] * count)):
+                    column.extend(values)
+                if len(columns[0]) > 20_000:
                     yield batch_of()
-                    rows.clear()
-        if rows:
+        if columns[0]:
             yield batch_of()
 
     return run
