@@ -424,12 +424,16 @@ class InstanceLog:
         exists = hidden is None and not visible(self.frame).where(F.col("path") == path).isEmpty()
         return model.Unknown(no_value(written or path, time, f"{no_instance(time)}{named}" if exists else f"path not found: {named}"))
 
-    def children(self, prefix: str, hidden: Mapping | None = None) -> list[str]:
-        """Names right below ``prefix``: one row per name comes to the driver."""
+    def children(self, prefix: str, hidden: Mapping | None = None, limit: int = 100_000) -> list[str]:
+        """Names right below ``prefix``.  They come to the driver, so there is a
+        limit; beyond it ``children`` of this module gives them as rows."""
         rows = visible(self.frame)
         if hidden:
             rows = self._newest(below_prefix(rows, prefix), None, hidden)
-        return sorted(r["name"] for r in children(rows, prefix).collect())
+        found = [r["name"] for r in children(rows, prefix).limit(limit + 1).collect()]
+        if len(found) > limit:
+            raise ValueError(f"{prefix} has more than {limit} children")
+        return sorted(found)
 
     def record(self, prefix: str, time: model.Time | None = None, limit: int = 10_000, hidden: Mapping | None = None, readable: Callable[[list[str]], set[str]] | None = None):
         """Everything below ``prefix`` as a record, without the paths that are not

@@ -20,6 +20,7 @@ from evergrove.operators import placement
 from evergrove.plans.interpreter import Engine
 from evergrove.queries import query, table
 from evergrove.sources import ari, xml
+from evergrove.streaming import reactive
 from evergrove.streaming.reactive import Reactor
 
 
@@ -287,6 +288,44 @@ def watcher_ticks(spark, sf_dir):
     return _outcome(spark, found)
 
 
+def _event_stream(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parque[t]").select(  # a pattern, since the table may be one file
+        F.concat(F.lit("world.users."), F.col("user_id").cast("string"), F.lit("."), "event_type").alias("path"), "user_id", "ts", "event_id", "event_type", "value"
+    )
+
+
+@query("SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_type <> 'view' GROUP BY user_id")
+def stream_commits(spark, sf_dir):
+    """A stream of changes in ticks, committed to files, read as current values."""
+    at = _folder(spark)
+    reactive.tick_stream(_event_stream(spark, sf_dir).where("event_type <> 'view'"), at, f"{at}/checkpoint", available_now=True).awaitTermination()
+    changes = spark.read.parquet(f"{at}/changes")
+    return L.current(changes, "user_id", "ts", "event_id").select("user_id", "value")
+
+
+@query("""SELECT DISTINCT n AS name FROM events, (VALUES ('all', -1, ''), ('seven', 7, ''), ('nine_view', 9, 'view'), ('nobody', -5, '')) w(n, u, t) WHERE (u = -1 OR user_id = u) AND (t = '' OR event_type = t)""")
+def stream_triggers(spark, sf_dir):
+    """The watchers that a stream of changes triggers."""
+    at = _folder(spark)
+    registry = spark.createDataFrame([("all", ["world.users"], True), ("seven", ["world.users.7"], True), ("nine_view", ["world.users.9.view"], True), ("nobody", ["world.users.-5"], True), ("off", ["world"], False)], "name string, watching array<string>, enabled boolean")
+    reactive.tick_stream(_event_stream(spark, sf_dir), at, f"{at}/checkpoint", registry, available_now=True).awaitTermination()
+    return spark.read.parquet(f"{at}/triggered").select("name").distinct()
+
+
+@query("""SELECT 'total' AS name, CAST(count(*) AS VARCHAR) AS value FROM nation UNION ALL SELECT 'last', n_name || '!' FROM nation WHERE n_nationkey = (SELECT max(n_nationkey) FROM nation)""")
+def stream_reactions(spark, sf_dir):
+    """Watcher programs fed by a stream."""
+    at = _folder(spark)
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("world.in.n"), F.col("n_nationkey").cast("string")).alias("path"), F.col("n_name").alias("value"))
+    rows.coalesce(1).write.parquet(f"{at}/in")
+    reactor = Reactor(Engine(spark, agent=3))
+    reactor.write('watch seen (world.in): my.total = world.in..count')
+    reactor.write('watch last (world.in.n24): my.last = world.in.n24 & "!"')
+    reactive.react_stream(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), reactor, f"{at}/checkpoint", available_now=True).awaitTermination()
+    return _outcome(spark, {"total": reactor.engine.execute("my.total"), "last": reactor.engine.execute("my.last")})
+
+
 # --- sources ---------------------------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ from evergrove.sources import ari, files, xml
 
 #: Fixed value: bytes of a report that is read as one value.
 MAX_REPORT = 10 * 1024 * 1024
+MAX_TEXT = 256 * 1024 * 1024
 PREFIX = "my.computer.files."
 
 
@@ -33,7 +34,11 @@ def _filesystem(spark, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def read(spark, path: str) -> str:
+def read(spark, path: str):
+    """A file as one text, which comes to the driver whole and so has a limit."""
+    size = int(info(spark, path)["size"])
+    if size > MAX_TEXT:
+        return Unknown(f"#file_too_large: file size {size} exceeds maximum {MAX_TEXT}")
     return files.read_text(spark, path).first()["text"]
 
 

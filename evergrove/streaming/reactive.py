@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from evergrove.functions import model
 from evergrove.operators.log import explode_record, newest, numbered
-from evergrove.plans.interpreter import Engine, Program, Scope
+from evergrove.plans.interpreter import MAX_STAGED, Engine, Program, Scope
 
 #: A tick's length and the longest cascade.
 TICK_MS = 333
@@ -119,6 +119,12 @@ class Reactor:
                 self.changed[path] = None
         return [w.name for w, _ in ready]
 
+    def feed(self, writes: Sequence[tuple[str, object]]) -> int:
+        """Changes from outside, as one commit; the ticks that settle them."""
+        for path in self.engine.log.append([(self.engine.resolve(p), v) for p, v in writes], self.engine.agent, stamp=self.engine.stamp):
+            self.changed[path] = None
+        return self.settle()
+
     def settle(self) -> int:
         """Ticks until nothing is triggered; a cascade takes a tick per link."""
         self.rounds = 0
@@ -209,6 +215,48 @@ def watch_stream(stream: DataFrame, on_tick: Callable[[DataFrame, int], None], c
     return trigger.start()
 
 
+def tick_stream(
+    stream: DataFrame, folder: str, checkpoint: str, registry: DataFrame | None = None, failed: Column | None = None,
+    links: Sequence[tuple[Callable[[DataFrame], DataFrame], str]] = (), path: str = "path", available_now: bool = False,
+) -> StreamingQuery:
+    """Ticks over a stream of changes: a micro-batch whose rows ``failed`` nowhere
+    is committed with what it cascades to over ``links`` (``folder``/changes, with
+    ``tick`` and ``round``), and the watchers of ``registry`` that it triggers
+    (``folder``/triggered).
+
+    A micro-batch writes folders of its own, by its number, and overwrites them
+    when it runs again, so a tick that was interrupted is there once or not at all.
+    """
+
+    def on_tick(batch: DataFrame, number: int) -> None:
+        ticked = batch.withColumn("tick", F.lit(number).cast("long")).persist()
+        try:
+            kept = rolled_back(ticked, failed) if failed is not None else ticked
+            changes = cascade(kept, links)
+            changes.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
+            if registry is not None:
+                triggers(changes, registry, path).write.mode("overwrite").parquet(f"{folder}/triggered/batch={number}")
+        finally:
+            ticked.unpersist()
+
+    return watch_stream(stream, on_tick, checkpoint, available_now)
+
+
+def react_stream(stream: DataFrame, reactor: Reactor, checkpoint: str, path: str = "path", value: str = "value", available_now: bool = False) -> StreamingQuery:
+    """A reactor's ticks from a stream of (path, value): each micro-batch is
+    written as one commit and then settled.  Programs run on the driver, so a
+    micro-batch may have as many changes as a program may stage."""
+
+    def on_tick(batch: DataFrame, number: int) -> None:
+        del number
+        rows = batch.select(path, value).limit(MAX_STAGED + 1).collect()
+        if len(rows) > MAX_STAGED:
+            raise ValueError(f"more than {MAX_STAGED} changes in a tick: limit the stream's batches")
+        reactor.feed([(row[path], row[value]) for row in rows])
+
+    return watch_stream(stream, on_tick, checkpoint, available_now)
+
+
 def latest_per_stream(batch: DataFrame, stream: str, ts: str, seq: str) -> DataFrame:
     """What a push channel sends for a tick: the last value of every stream."""
     return newest(batch, [stream], ts, seq)

@@ -261,3 +261,28 @@ def test_histories_in_ranges_are_whole_histories(spark, ranges):
     left, right = log.where("n > 1 and ts is not null"), log.where("n <= 1 and ts is not null")
     assert same(lambda r: L.as_of_join(left, right, "key", ["seq", "value"], ranges=r))
     assert L.history(log.limit(0), "key", ranges=ranges).count() == 0
+
+
+def test_ticks_of_a_stream_cascade_and_roll_back(spark, tmp_path):
+    """Every file is a tick; one with a failed row leaves nothing."""
+    schema = "path string, ts timestamp_ntz, seq long, value double"
+    for n, values in enumerate([[1.0, 2.0], [3.0, -1.0], [4.0]]):
+        rows = [(f"a.b.k{k}", datetime(2024, 1, 1), 10 * n + k, v) for k, v in enumerate(values)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    registry = spark.createDataFrame([("w", ["a.b"], True), ("c", ["copy"], True), ("k1", ["a.b.k1"], True)], "name string, watching array<string>, enabled boolean")
+    links = [(lambda changes: changes.withColumn("path", F.concat(F.lit("copy."), "path")), "copy")]
+    R.tick_stream(stream, str(tmp_path / "out"), str(tmp_path / "c"), registry, F.col("value") < 0, links, available_now=True).awaitTermination(180)
+    changes = spark.read.parquet(str(tmp_path / "out/changes"))
+    assert sorted((r["path"], r["value"], r["round"]) for r in changes.collect()) == sorted((p + f"a.b.k{k}", v, len(p) // 5) for p in ("", "copy.") for k, v in ((0, 1.0), (1, 2.0), (0, 4.0)))
+    found = {(r["name"], r["batch"]) for r in spark.read.parquet(str(tmp_path / "out/triggered")).collect()}
+    assert found == {("w", 0), ("k1", 0), ("c", 0), ("w", 2), ("c", 2)}
+
+
+def test_a_reactor_fed_by_a_stream(spark, reactor, tmp_path):
+    for n in range(3):
+        spark.createDataFrame([("world.in.x", float(n)), (f"world.in.y{n}", 1.0)], "path string, value double").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    reactor.write("watch count (world.in): my.n = world.in..count\nwatch then (my.n): my.twice = my.n * 2")
+    stream = spark.readStream.schema("path string, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    R.react_stream(stream, reactor, str(tmp_path / "c"), available_now=True).awaitTermination(180)
+    assert reactor.engine.execute("my.n") == 4.0 and reactor.engine.execute("my.twice") == 8.0
