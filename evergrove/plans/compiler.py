@@ -212,13 +212,17 @@ def _higher_order(node: S.Call, row: Row) -> Cell:
 
 
 def inline(body: tuple, row: Row) -> Cell:
-    """A pure procedure as one expression: assignments to its own names, if and
-    return."""
+    """A pure procedure as one expression: assignments to its own names, if,
+    loops over lists that change such names, and return."""
     for k, statement in enumerate(body):
         if isinstance(statement, S.Return):
             return compile_row(statement.value, row) if statement.value is not None else C.literal(None)
         if isinstance(statement, S.Assign) and len(statement.target.parts) == 1:
             row = row.bind(**{statement.target.parts[0]: compile_row(statement.value, row)})
+        elif isinstance(statement, S.For):
+            row = _looped(statement, row)
+        elif isinstance(statement, S.Pass):
+            continue
         elif isinstance(statement, S.If):
             rest = body[k + 1 :]
             result = inline((*statement.otherwise, *rest), row)
@@ -236,6 +240,78 @@ def inline(body: tuple, row: Row) -> Cell:
     return C.literal(None)
 
 
+def _looped(loop: S.For, row: Row) -> Row:
+    """``row`` after a loop: one aggregate over the list, whose state holds the
+    names that the body changes, each with its reason.  They must have a value
+    before the loop, of the kind that they keep."""
+    items = compile_row(loop.items, row)
+    if items.kind != "list":
+        raise CompileProblem(f"cannot iterate over {items.kind}")
+    names = sorted(_assigned(loop.body) - {loop.name, loop.index})
+    if unbound := [n for n in names if row.find(n) is None]:
+        raise CompileProblem(f"{unbound[0]} has no value before the loop")
+    before = {n: row.find(n) for n in names}
+    no_reason = F.lit(None).cast("string")
+    packed = lambda cells: F.struct(*[c for n in names for c in (cells[n].value.alias(n), F.coalesce(cells[n].reason if cells[n].reason is not None else no_reason, no_reason).alias(f"{n} reason"))])
+    opened = lambda state: {n: Cell(state[n], before[n].kind, state[f"{n} reason"], before[n].item) for n in names}
+
+    def step(state, pair):
+        inner = row.bind(**opened(state))
+        element = Cell(pair["item"].cast("double") if items.item == "number" else pair["item"], items.item or "text")
+        inner = inner.bind(**{loop.name: element}, **({loop.index: Cell(pair["at"].cast("double"), "number")} if loop.index else {}))
+        after = _effects(loop.body, inner)
+        for n in names:
+            if after.find(n).kind != before[n].kind:
+                raise CompileProblem(f"{n} changes from {before[n].kind} to {after.find(n).kind} in a loop")
+        return packed({n: after.find(n) for n in names})
+
+    if not names:
+        return row
+    pairs = F.transform(items.value, lambda item, at: F.struct(item.alias("item"), at.alias("at")))
+    state = F.aggregate(pairs, packed(before), step)
+    return row.bind(**{n: replace(c, reason=C.first_reason(items.reason, c.reason)) for n, c in opened(state).items()})
+
+
+def _assigned(body: tuple) -> set[str]:
+    """The plain names that statements assign to."""
+    names: set[str] = set()
+    for statement in body:
+        if isinstance(statement, S.Assign) and len(statement.target.parts) == 1:
+            names.add(statement.target.parts[0])
+        elif isinstance(statement, S.If):
+            for block in (*[b for _, b in statement.branches], statement.otherwise):
+                names |= _assigned(block)
+        elif isinstance(statement, S.For):
+            names |= _assigned(statement.body) - {statement.name, statement.index}
+    return names
+
+
+def _effects(body: tuple, row: Row) -> Row:
+    """``row`` after statements that only change names."""
+    for statement in body:
+        if isinstance(statement, S.Assign) and len(statement.target.parts) == 1:
+            row = row.bind(**{statement.target.parts[0]: compile_row(statement.value, row)})
+        elif isinstance(statement, S.For):
+            row = _looped(statement, row)
+        elif isinstance(statement, S.If):
+            names = sorted(_assigned((statement,)))
+            if unbound := [n for n in names if row.find(n) is None]:
+                raise CompileProblem(f"{unbound[0]} has no value before the condition")
+            found = _effects(statement.otherwise, row)
+            found = {n: found.find(n) for n in names}
+            for condition, block in reversed(statement.branches):
+                test, yes = compile_row(condition, row), _effects(block, row)
+                taken = C.truthy(test)
+                # an unknown condition makes what it decides unknown
+                found = {
+                    n: Cell(F.when(taken, yes.find(n).value).otherwise(c.value), c.kind, C.first_reason(test.reason, F.when(taken, yes.find(n).why).otherwise(c.why)), c.item) for n, c in found.items()
+                }
+            row = row.bind(**{n: C.guarded(c) for n, c in found.items()})
+        elif not isinstance(statement, S.Pass):
+            raise CompileProblem("only pure procedures can run inside a query")
+    return row
+
+
 def is_predicate(node: S.Node) -> bool:
     """Whether a bracket's content is a test rather than a key or an index."""
     if isinstance(node, S.Binary):

@@ -380,7 +380,8 @@ derived("type_of", "world.orders", ["o_orderkey"], {"a": "type_of(o_totalprice)"
         "SELECT o_orderkey, 'number' AS a, 'time' AS b, 'unknown' AS c, true AS d FROM orders")
 derived("time_format_precision", "world.orders", ["o_orderkey"], {"d": 'text(parse_time("1996-03")) & " " & text(o_orderdate)'},
         "SELECT o_orderkey, '1996-03 ' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS d FROM orders")
-derived("list_compare", "world.part", ["p_partkey"], {"a": "[p_size, 2] < [p_size, 3]", "b": "[1, 2] = [1, 2]"}, "SELECT p_partkey, true AS a, true AS b FROM part")
+derived("list_compare", "world.part", ["p_partkey"], {"a": "[p_size, 2] < [p_size, 3]", "b": "[p_size % 2, 2] = [1, 2]", "c": "[p_size % 3, 2] < [1, p_size]", "d": "[p_size] < [7, 1]"},
+        "SELECT p_partkey, true AS a, p_size % 2 = 1 AS b, CAST(NULL AS VARCHAR) AS b__reason, p_size % 3 < 1 OR (p_size % 3 = 1 AND 2 < p_size) AS c, CAST(NULL AS VARCHAR) AS c__reason, p_size <= 7 AS d FROM part")
 derived("procedure_inline", "world.part", ["p_partkey"], {"b": "map([p_size], procedure(x): x * x)[0]"},
         "SELECT p_partkey, CAST(p_size * p_size AS DOUBLE) AS b, CAST(NULL AS VARCHAR) AS b__reason FROM part")
 

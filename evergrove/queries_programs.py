@@ -499,3 +499,33 @@ def zone_splits(spark, sf_dir):
 def zone_parts(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("world.s."), "c_mktsegment", F.lit(".c")).alias("path"))
     return placement.spatial_parts(rows, "world.s").select("c_custkey", "part")
+
+
+# --- loops in row context -------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, coalesce(list_sum(list_transform(list_filter(string_split(p_type, ' '), lambda w: strlen(w) > 5), lambda w: strlen(w)))::DOUBLE, 0) AS long_letters,
+list_sum(list_transform(string_split(p_name, ' '), lambda w, i: strlen(w) * (i - 1)))::DOUBLE AS weighted FROM part""")
+def loops_in_rows(spark, sf_dir):
+    """Procedures with loops over a row's list, as one expression each."""
+    from evergrove.plans.compiler import Row, compile_row
+    from evergrove.plans.parser import parse, parse_expression
+
+    parts = Engine(spark)
+    parts.mount("world.part", table(spark, sf_dir, "part"), "p_partkey")
+    source = """procedure long_letters(words):
+    t = 0
+    for w in words:
+        if len(w) > 5:
+            t = t + len(w)
+    return t
+procedure weighted(words):
+    t = 0
+    for w, i in words:
+        t = t + len(w) * i
+    return t"""
+    procedures = {s.target.dotted(): s.value for s in parse(source).statements}
+    rows = parts.mounts["world.part"]
+    row = Row(rows, procedures=procedures)
+    cells = {"long_letters": compile_row(parse_expression('long_letters(split(p_type, " "))'), row), "weighted": compile_row(parse_expression('weighted(split(p_name, " "))'), row)}
+    return rows.rows.select("p_partkey", *[c.value.alias(name) for name, c in cells.items()])

@@ -376,3 +376,32 @@ def test_reports_have_a_limit(engine, tmp_path):
     (tmp_path / "r.txt").write_bytes(b"x" * (10 * 1024 * 1024 + 1))
     (tmp_path / "r.ari").write_text('section s:\n    field id: right 4 same: "ID:"\n')
     assert engine.execute(f'my.computer.files.import_fixed_width("{tmp_path}/r.txt", "{tmp_path}/r.ari")') == Unknown("#file_too_large: file size 10485761 exceeds maximum 10485760")
+
+
+@pytest.mark.parametrize(
+    ("body", "value"),
+    [
+        ("t = 0\nfor v in x:\n    t = t + v\nreturn t", 10.0), ("t = 0\nfor v, i in x:\n    t = t + v * i\nreturn t", 20.0),
+        ("t = 0\nn = 0\nfor v in x:\n    if v > 2:\n        t = t + v\n        n = n + 1\n    else if v = 1:\n        t = t + 100\n    else:\n        pass\nreturn t * 10 + n", 1072.0),
+        ("t = 0\nfor v in x:\n    for w in x:\n        if w <= v:\n            t = t + w\nreturn t", 20.0), ('t = ""\nfor v in x:\n    t = t & v & ","\nreturn t', "1,2,3,4,"),
+        ("t = 1\nfor v in x:\n    t = t / (v - 3)\nreturn t", Unknown("division by zero")), ("for v in x:\n    pass\nreturn x..count", 4.0),
+    ],
+)
+def test_loops_in_row_context_are_the_programs(spark, engine, body, value):
+    from evergrove.plans.compiler import Row, compile_row
+
+    source = "procedure f(x):\n" + "\n".join("    " + line for line in body.split("\n"))
+    assert engine.execute(source + "\nf([1, 2, 3, 4])") == value
+    procedure = parse(source).statements[0].value
+    cell = compile_row(parse_expression("f([1, 2, 3, 4])"), Row(procedures={"f": procedure}))
+    row = spark.range(1).select(cell.value.alias("v"), cell.why.alias("why")).first()
+    assert (Unknown(row["why"]) if row["why"] is not None else row["v"]) == value
+
+
+def test_loops_that_cannot_be_columns(spark):
+    from evergrove.plans.compiler import CompileProblem, Row, compile_row
+
+    for body in ("for v in x:\n        t = v\n    return t", 't = 0\n    for v in x:\n        t = "a"\n    return t', "for v in 5:\n        pass\n    return 1"):
+        procedure = parse(f"procedure f(x):\n    {body}").statements[0].value
+        with pytest.raises(CompileProblem):
+            compile_row(parse_expression("f([1])"), Row(procedures={"f": procedure}))
