@@ -39,6 +39,17 @@ def _keys(keys: str | Sequence[str]) -> list[str]:
 _TIMES, _COUNTS = ("timestamp", "timestamp_ntz"), ("bigint", "int", "smallint", "tinyint")
 
 
+def micros(rows: DataFrame, ts: str) -> Column:
+    """A timestamp as microseconds since 1970, in its own order: a time without a
+    zone is not taken for one of the session's zone, where hours are skipped and
+    repeated."""
+    time = F.col(ts)
+    if dict(rows.dtypes)[ts] != "timestamp_ntz" or rows.sparkSession.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        return F.unix_micros(time.cast("timestamp"))
+    seconds = F.unix_date(time.cast("date")).cast("bigint") * 86_400 + F.hour(time) * 3_600 + F.minute(time) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), time) * 1_000_000).cast("bigint")
+
+
 def instance_order(log: DataFrame, ts: str = "ts", seq: str = "seq") -> Column:
     """What orders instances totally, for ``max_by``.  A timestamp and a whole
     number become one decimal, microseconds high and sequence low: that fits an
@@ -49,7 +60,7 @@ def instance_order(log: DataFrame, ts: str = "ts", seq: str = "seq") -> Column:
     if kinds.get(ts) not in _TIMES or kinds.get(seq) not in _COUNTS:
         return F.struct(ts, seq)
     lowest = F.lit(-(2**62))
-    high = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), lowest).cast("decimal(19,0)")
+    high = F.coalesce(micros(log, ts), lowest).cast("decimal(19,0)")
     low = F.coalesce(F.col(seq).cast("bigint"), F.lit(-(2**63))).cast("decimal(19,0)")
     return (high * F.lit(Decimal(2 * 10**19)) + low).cast("decimal(38,0)")
 
@@ -116,7 +127,7 @@ def ranged(rows: DataFrame, ts: str, ranges: int) -> DataFrame:
 
     A window by key is one task a key; where a key may hold a large share of the
     rows, windows by key and range, and one row a range to carry over, are not."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    at = micros(rows, ts)
     cuts = rows.agg(F.percentile_approx(at, [k / ranges for k in range(1, ranges)], max(10_000, 4 * ranges)).alias("cuts")).first()["cuts"] if ranges > 1 else []
     return rows.withColumn("__range", F.coalesce(cuts_passed(at, sorted(set(cuts or []))), F.lit(-1)))
 

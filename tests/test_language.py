@@ -405,3 +405,19 @@ def test_loops_that_cannot_be_columns(spark):
         procedure = parse(f"procedure f(x):\n    {body}").statements[0].value
         with pytest.raises(CompileProblem):
             compile_row(parse_expression("f([1])"), Row(procedures={"f": procedure}))
+
+
+def test_order_of_times_in_a_zone_that_skips_hours(spark):
+    """02:30 comes before 03:00, also where the session's zone knows no 02:30."""
+    rows = [(1, "2024-03-10 02:30:00.000001", 2, 1.0), (1, "2024-03-10 03:00:00", 1, 2.0), (2, "2024-11-03 01:30:00.5", 1, 3.0), (2, "2024-11-03 01:30:00.25", 2, 4.0), (3, "1901-01-01 23:59:59.999999", 5, 5.0), (3, None, 9, 6.0)]
+    frame = spark.createDataFrame(rows, "k long, t string, seq long, v double").selectExpr("k", "cast(t as timestamp_ntz) ts", "seq", "v")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("America/New_York", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            assert {r["k"]: r["v"] for r in L.current(frame, "k").collect()} == {1: 2.0, 2: 3.0, 3: 5.0}
+            ages = {(r["k"], r["v"]): r["age"] for r in L.history(frame, "k", ranges=4).collect()}
+            assert ages[1, 2.0] == 1 and ages[2, 3.0] == 1 and ages[3, 6.0] == 2
+            assert frame.select(L.micros(frame, "ts").alias("m")).collect()[0]["m"] == 1710037800000001
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
