@@ -262,11 +262,23 @@ class Program:
         problem = self._stage(path, value, quiet)
         if problem is None and "cascade" in node.modifiers:
             problem = self._stage(f"{path}.{CASCADE}", "true", quiet)
-        for modifier in node.modifiers:
-            if modifier.split(" ")[0] in ("copy", "link", "reset", "exclude"):
-                problem = problem or self._stage(f"{path}.@heritability", modifier.split(" ")[0], quiet)
+        marked = [(path, m) for m in node.modifiers] + ([(f"{path}.{name}", m) for name, m, _ in node.value.fields if m] if isinstance(node.value, S.RecordOf) else [])
+        for at, modifier in marked:
+            rule, default = self._rule(modifier)
+            if rule is not None:
+                problem = problem or self._stage(f"{at}.@heritability", rule, quiet)
+            if default is not None:
+                problem = problem or self._stage(f"{at}.@default", default, quiet)
         return value if problem is None else problem
 
+    def _rule(self, modifier: str) -> tuple[str | None, object]:
+        """A modifier's rule of inheritance, and what ``reset`` sets, if it says."""
+        name, _, rest = modifier.partition(" ")
+        if name not in ("copy", "link", "reset", "exclude"):
+            return None, None
+        default = self.value(parse_expression(rest)) if name == "reset" and rest else None
+        return name, None if isinstance(default, Unknown) else default
+
     def _stage(self, path: str, value, quiet: bool):
         """A record is one write per field."""
         if isinstance(value, dict) and value:
@@ -509,7 +521,7 @@ class Program:
             items = [self.value(item) for item in node.items]
             return next((v for v in items if isinstance(v, Unknown)), items)
         if isinstance(node, S.RecordOf):
-            fields = {name: self.value(v) for name, modifier, v in node.fields if modifier != "exclude"}
+            fields = {name: self.value(v) for name, _, v in node.fields}
             return next((v for v in fields.values() if isinstance(v, Unknown)), fields)
         if isinstance(node, S.Unary):
             return self._unary(node)
@@ -778,6 +790,9 @@ class Program:
                 return Unknown(f"cannot create from {model.kind_of(record)}")
             path = self._absolute(list(source.parts)) if isinstance(source, S.Path) else None
             marks = self._marks(path, record) if path else {}
+            if isinstance(source, S.RecordOf):
+                rules = {name: self._rule(modifier) for name, modifier, _ in source.fields if modifier}
+                marks = {name: (rule, default) if rule == "reset" else rule for name, (rule, default) in rules.items() if rule}
             out = heritage(out, record, {k: node.modifier.split(" ")[0] for k in record} if node.modifier else marks, path)
         if node.type_name:
             out["_type"] = node.type_name

@@ -130,6 +130,13 @@ def test_templates(engine):
     assert made == {"a": 1.0, "b": 3.0, "c": 4.0, "_type": "Van"}
 
 
+def test_record_literals_with_modifiers(engine):
+    engine.execute('my.car: {wheels: 4, id: (reset) 9, runs: (reset 0) 3, plate: (exclude) "p", maker: (link) "m", colour: (copy) "red"}')
+    assert engine.execute("my.car{wheels, id, runs, plate}") == {"wheels": 4.0, "id": 9.0, "runs": 3.0, "plate": "p"}
+    assert engine.execute("new(my.car)") == {"wheels": 4.0, "runs": 0.0, "maker": model.Ref("world.agent.1.car.maker"), "colour": "red"}
+    assert engine.execute('new Van: {a: (exclude) 1, b: (reset 7) 2, c: 3}') == {"b": 7.0, "c": 3.0, "_type": "Van"}
+
+
 def test_cascade(engine):
     engine.execute('world.shop.tax: (cascade) = 19\nworld.shop.food.tax: (cascade) = 7\nworld.shop.plain = 1')
     assert engine.execute("world.shop.food.bread.tax") == 7.0
