@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from evergrove.llm import sentencepieces
-from evergrove.llm.packing import Mixture, pack, tail_lengths
+from evergrove.llm.packing import BLOCK, Mixture, pack, tail_lengths
 from evergrove.llm.piece_lattice import BLANK, START, Chunk, PieceModel, boundary_states, combined, product
 from evergrove.llm.sentencepieces import WordPieces, decode, encode
 from evergrove.llm.word_bpe import WordEncoder
@@ -247,6 +247,23 @@ def test_mixture_serves_every_token_once(totals, capacity):
     assert seen == {(k // capacity, k % capacity) for k in range(everything)}
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_parallel_blocks_are_the_serial_rounds_to_a_few_tokens(seed):
+    """Rounds from the first window on, deficits carried all the way, against
+    blocks that begin with the closed form."""
+    rng = random.Random(seed)
+    totals = [rng.randint(1, 60_000) for _ in range(rng.randint(1, 9))]
+    capacity = rng.choice([16, 64, 100])
+    mixture = Mixture(totals, None if seed % 2 else [rng.randint(1, 1000) for _ in totals], capacity)
+    left, deficit, served = np.array(totals), np.zeros(len(totals)), np.zeros(len(totals), dtype=np.int64)
+    for window in range(mixture.windows):
+        first, rows, _ = mixture.block(window // BLOCK)
+        assert np.abs(rows[window - first] - served).max() <= 6
+        give = mixture._round(min(capacity, int(left.sum())), left, deficit, np.array(mixture.weights, dtype=float))
+        left, served = left - give, served + give
+    assert served.tolist() == totals
+
+
 def test_tail():
     assert tail_lengths(1300) == [1024, 256, 16, 4] and tail_lengths(0) == []
 
