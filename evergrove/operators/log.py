@@ -68,9 +68,9 @@ def instance_order(log: DataFrame, ts: str = "ts", seq: str = "seq") -> Column:
 def newest(log: DataFrame, keys: Sequence[str], ts: str = "ts", seq: str = "seq") -> DataFrame:
     """The newest row of every key; the columns' order is the keys' first."""
     rest = [c for c in log.columns if c not in keys]
-    order = instance_order(log, ts, seq)
+    ordered = log.withColumn("__order", instance_order(log, ts, seq))
     # one aggregate per column: those that nobody reads are pruned, down to the scan
-    return log.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in rest])
+    return ordered.groupBy(*keys).agg(*[F.max_by(c, "__order").alias(c) for c in rest])
 
 
 def current(log: DataFrame, keys: str | Sequence[str], ts: str = "ts", seq: str = "seq") -> DataFrame:
@@ -162,7 +162,9 @@ def neighbours(rows: DataFrame, keys: Sequence[str], ts: str, seq: str, before:
     if not ranges:
         order = Window.partitionBy(*keys).orderBy(ts, seq)
         own = rows.withColumns({"__first": first, "__last": last})
-        return own.withColumns({"__before": F.lag("__last").over(order), "__after": F.lead("__first").over(order)}).drop("__first", "__last")
+        # nothing asked for, nothing computed
+        beside = {"__before": F.lag("__last").over(order) if before else F.lit(None), "__after": F.lead("__first").over(order) if after else F.lit(None)}
+        return own.withColumns(beside).drop("__first", "__last")
     dealt = ranged(rows, ts, ranges).withColumns({"__first": first, "__last": last})
     place = instance_order(dealt, ts, seq)
     ends = dealt.groupBy(*keys, "__range").agg(F.min_by("__first", place).alias("__from"), F.max_by("__last", place).alias("__to"))
