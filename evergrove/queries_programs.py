@@ -19,7 +19,7 @@ from evergrove.operators import log as L
 from evergrove.operators import placement
 from evergrove.plans.interpreter import Engine
 from evergrove.queries import query, table
-from evergrove.sources import ari, xml
+from evergrove.sources import ari, files, xml
 from evergrove.streaming import reactive
 from evergrove.streaming.reactive import Reactor
 
@@ -127,7 +127,7 @@ def program_literals(spark, sf_dir):
     })
 
 
-@query("""SELECT s_suppkey, sqrt(abs(s_acctbal)) AS root, ln(1 + abs(s_acctbal)) AS logarithm, exp(s_nationkey / 10.0) AS power,
+@query("""SELECT s_suppkey, round(sqrt(abs(s_acctbal)), 6) AS root, round(ln(1 + abs(s_acctbal)), 6) AS logarithm, round(exp(s_nationkey / 10.0), 6) AS power,
 round(pi() * s_nationkey, 6) AS circle, s_name LIKE 'Supplier#0000000%' AS early, 'world.supplier.' || s_suppkey AS named FROM supplier""")
 def math_functions(spark, sf_dir):
     engine = Engine(spark)
@@ -139,7 +139,7 @@ def math_functions(spark, sf_dir):
     values = {"root": "sqrt(abs(s_acctbal))", "logarithm": "log(1 + abs(s_acctbal))", "power": "exp(s_nationkey / 10)", "circle": "pi * s_nationkey", "early": 's_name starts "Supplier#0000000"', "named": '~"world.supplier.{s_suppkey}"~'}
     cells = {name: compile_row(parse_expression(text), Row(rows)) for name, text in values.items()}
     found = rows.rows.select("s_suppkey", *[c.value.alias(name) for name, c in cells.items()])
-    return found.withColumn("circle", F.round("circle", 6))
+    return found.withColumns({name: F.round(name, 6) for name in ("root", "logarithm", "power", "circle")})
 
 
 @query("SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages WHERE regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) LIKE '/de/%'")
@@ -323,6 +323,7 @@ def stream_reactions(spark, sf_dir):
     reactor.write('watch seen (world.in): my.total = world.in..count')
     reactor.write('watch last (world.in.n24): my.last = world.in.n24 & "!"')
     reactive.react_stream(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), reactor, f"{at}/checkpoint", available_now=True).awaitTermination()
+    files.delete(spark, at)
     return _outcome(spark, {"total": reactor.engine.execute("my.total"), "last": reactor.engine.execute("my.last")})
 
 
@@ -360,12 +361,14 @@ def file_calls(spark, sf_dir):
     run('my.computer.files.write(at & "/t.toml", "[top]" & newline & "name = " & quote & least & quote)')
     run('my.computer.files.export({name: most}, at & "/j.json", "json")')
     run('my.computer.files.export({name: least}, at & "/x.xml", "xml", {root_element: "nation"})')
-    return _outcome(spark, {
+    found = _outcome(spark, {
         "read": run('my.computer.files.read(at & "/d/n.txt")'), "exists": run('my.computer.files.exists(at & "/d/n.txt")'), "size": run('my.computer.files.info(at & "/d/n.txt").size'),
         "list": run('my.computer.files.list(at & "/d")..combine(",")'), "deleted": run('my.computer.files.delete(at & "/d/n.txt")'), "gone": run('my.computer.files.exists(at & "/d/n.txt")'),
         "document": run('my.computer.files.import(at & "/j.json", "json").name'), "toml": run('my.computer.files.import(at & "/t.toml", "toml").top.name'),
         "xml": run('my.computer.files.import(at & "/x.xml", "xml").name._text'), "form": run('my.computer.files.import(at, "xlsx")'),
     })
+    files.delete(spark, at)
+    return found
 
 
 @query("SELECT n_nationkey, n_name FROM nation")
